@@ -95,14 +95,14 @@ def ordered(df: DataFrame, order: list[str], sums: dict[str, str] | None = None)
     parts = W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)  # as many rows as partitions
     offsets = totals.select(
         F.col("__part").alias("__p"),
-        F.coalesce(F.sum("__n").over(parts), F.lit(0)).alias("__before"),
+        F.coalesce(F.sum("__n").over(parts), F.lit(0)).alias("__rows_before"),
         *(F.coalesce(F.sum(f"__t_{k}").over(parts), F.lit(0)).alias(f"__b_{k}") for k in sums),
     )
     return (
         local.join(F.broadcast(offsets), local["__part"] == offsets["__p"])  # at most a row for each partition
         .select(
             *(local[c] for c in df.columns),
-            (F.col("__rank") + F.col("__before")).cast("long").alias("rank"),
+            (F.col("__rank") + F.col("__rows_before")).cast("long").alias("rank"),
             *((F.col(f"__{k}") + F.col(f"__b_{k}")).cast("long").alias(k) for k in sums),
         )
     )
