@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, dac, toxicity, warc
+from . import chat, dac, topk, toxicity, warc
 from .common import scratch_path, table
 from .mixing import entropy_balance
 from .packing import pack_documents
@@ -36,6 +36,10 @@ def op7_entropy_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")
 
 
+def op8_pivot_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op9_prefix_target_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "<|im_end|><|im_start|>assistant ok"
     extra = spark.range(2).select(
@@ -74,11 +78,21 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_dac_tokens": op3_dac_tokens,
     "op5_vector_packing": op5_vector_packing,
     "op7_entropy_mixing": op7_entropy_mixing,
+    "op8_pivot_topk": op8_pivot_topk,
     "op9_prefix_target_chat": op9_prefix_target_chat,
     "op10_warc_transactions": op10_warc_transactions,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op8_pivot_topk": """
+        WITH v AS (
+            SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE)) AS v FROM embeddings
+            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        s AS (
+            SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
+            FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0),
+        r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+        SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5""",
     "op9_prefix_target_chat": """
         WITH r AS (
             SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations
