@@ -12,6 +12,7 @@ from . import chat, dac, topk, toxicity, warc
 from .common import scratch_path, table
 from .mixing import entropy_balance
 from .packing import pack_documents
+from .sharding import shard_rows
 
 
 def op2_ftrl_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,6 +32,16 @@ def op5_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")).drop("ids")
 
 
+def op6_label_propagation_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.coalesce("text", F.lit("")).cast("binary")
+    docs = table(spark, sf_dir, "documents").select(
+        "doc_id", (F.octet_length(text) + F.lit(1)).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.sha2(text, 256).alias("text_sha256")
+    )
+    return shard_rows(docs, "text_sha256", "doc_id").select(
+        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+    )
+
+
 def op7_entropy_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mix = entropy_balance(table(spark, sf_dir, "documents"))
     return mix.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")
@@ -77,6 +88,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_ftrl_toxicity": op2_ftrl_toxicity,
     "op3_dac_tokens": op3_dac_tokens,
     "op5_vector_packing": op5_vector_packing,
+    "op6_label_propagation_shards": op6_label_propagation_shards,
     "op7_entropy_mixing": op7_entropy_mixing,
     "op8_pivot_topk": op8_pivot_topk,
     "op9_prefix_target_chat": op9_prefix_target_chat,
