@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from . import chat, dac, topk, toxicity, warc
 from .common import scratch_path, table
 from .mixing import entropy_balance
+from .neardup import near_duplicates
 from .packing import pack_documents
 from .sharding import shard_rows
 
@@ -28,6 +29,10 @@ def op3_dac_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dac.read_documents(spark, path)
 
 
+def op4_bbit_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op5_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")).drop("ids")
 
@@ -87,6 +92,7 @@ def op10_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_ftrl_toxicity": op2_ftrl_toxicity,
     "op3_dac_tokens": op3_dac_tokens,
+    "op4_bbit_near_dedup": op4_bbit_near_dedup,
     "op5_vector_packing": op5_vector_packing,
     "op6_label_propagation_shards": op6_label_propagation_shards,
     "op7_entropy_mixing": op7_entropy_mixing,
