@@ -12,10 +12,15 @@ from . import chat, dac, topk, toxicity, warc
 from .common import scratch_path, table
 from .mixing import entropy_balance
 from .neardup import near_duplicates
+from .ordermin import fingerprints
 from .packing import pack_documents
 from .sharding import shard_rows
 
 
+def op1_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op2_ftrl_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
@@ -90,6 +95,7 @@ def op10_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_order_minhash": op1_order_minhash,
     "op2_ftrl_toxicity": op2_ftrl_toxicity,
     "op3_dac_tokens": op3_dac_tokens,
     "op4_bbit_near_dedup": op4_bbit_near_dedup,
