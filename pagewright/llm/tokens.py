@@ -1,69 +1,76 @@
 """Token ids of whole texts by the tokenizers library, with a bounded memory of pieces.
 
-Both tokenizers in use cut a text before they merge, and no merge crosses the place between a
-non-space and a blank that a non-space follows. So a text's ids are the ids of its pieces, one after
-the other, and a piece that has been encoded before need not be encoded again. Pieces not in memory
+Both tokenizers in use cut a text before they merge, and no merge crosses a lone line break, the place
+between a non-space and a blank that a non-space follows, or the end of a Latin word before ASCII
+punctuation. So a text's ids are the ids of its pieces, one
+after the other, and a piece that has been encoded before need not be encoded again. Pieces not in memory
 go to the library in lines of many.
 """
 
 from __future__ import annotations
 
+import os
 import re
 
 import numpy as np
 
-#: A blank beside other white space: there the plain split at blanks would cut in wrong places.
-_ODD = re.compile(r" \s|\s ")
+#: White space other than blanks and line breaks, or beside other white space, or at an end: there the plain
+#: cut would be in wrong places.
+_RARE = re.compile(r"[^\S \n]")
+_PLAIN = re.compile("\n| ?[0-9A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u024F]++(?=[ \n!-/:-@\\[-`{-~]|$)| ?[^ \n]+")
 _CUT = re.compile(r"(?<=\S)(?= \S)")
 _SPACE = re.compile(r"\s")
+_LINE = 100
+
+
+def _odd(text: str) -> bool:
+    return "  " in text or " \n" in text or "\n " in text or "\n\n" in text or text[0] in " \n" or text[-1] in " \n" or _RARE.search(text) is not None
 
 
 class PieceEncoder:
     """ids(texts) -> for each text its ids as little-endian unsigned 32-bit integers, in bytes.
 
-    path: a tokenizer file. separator: text whose ids mark where one piece of a line ends; pieces that
-    hold it are encoded one by one. memory: pieces kept at most (two generations of half as many).
+    path: a tokenizer file. separator: text of one id that marks where one piece of a line ends; pieces that
+    hold it are encoded one by one. memory: pieces kept at most, besides those of one group of texts.
     """
 
-    def __init__(self, path: str, separator: str, memory: int = 400_000):
+    def __init__(self, path: str, separator: str, memory: int = 800_000):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.separator, self.half = separator, memory // 2
+        self.separator, self.memory = separator, memory
         self.mark = np.array(self._ids(separator), dtype="<u4")
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {}
 
     def _ids(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
     @staticmethod
     def pieces(text: str) -> list[str]:
-        if text[:1] == " " or text[-1:] == " " or _ODD.search(text):
-            return _CUT.split(text)
-        first, *rest = text.split(" ")
-        return [first, *[" " + x for x in rest]]
-
-    def _learn(self, missing: list[str]) -> dict[str, bytes]:
-        bare = self.separator.strip()
-        out, plain = {}, []
+        return _CUT.split(text) if _odd(text) else _PLAIN.findall(text)
+
+    def _learn(self, missing: list[str]) -> None:
+        known, bare = self.known, self.separator.strip()
+        plain = []
         for p in missing:
-            if len(self.mark) == 1 and p[:1] == " " and not _SPACE.search(p, 1) and not (bare and bare in p):
+            if len(self.mark) == 1 and not _SPACE.search(p, 1) and p[0] != "\n" and not (bare and bare in p):
                 plain.append(p)
             else:
-                out[p] = np.array(self._ids(p), dtype="<u4").tobytes()
-        lines = [plain[i : i + 200] for i in range(0, len(plain), 200)]
+                known[p] = np.array(self._ids(p), dtype="<u4").tobytes()
+        lines = [plain[i : i + _LINE] for i in range(0, len(plain), _LINE)]
         for line, enc in zip(lines, self.tokenizer.encode_batch_fast([self.separator.join(x) for x in lines], add_special_tokens=False), strict=True):
             ids = np.array(enc.ids, dtype="<u4")
             ends = np.flatnonzero(ids == self.mark[0])
             if len(ends) != len(line) - 1:  # a piece has the mark's id itself
-                out.update((p, np.array(self._ids(p), dtype="<u4").tobytes()) for p in line)
+                known.update((p, np.array(self._ids(p), dtype="<u4").tobytes()) for p in line)
                 continue
-            starts, stops = [0, *(ends + 1).tolist()], [*ends.tolist(), len(ids)]
-            raw = ids.tobytes()
-            out.update((p, raw[4 * a : 4 * b]) for p, a, b in zip(line, starts, stops, strict=True))
-        return out
+            raw, stops = ids.tobytes(), [*(4 * ends).tolist(), 4 * len(ids)]
+            at = 0
+            for p, stop in zip(line, stops, strict=True):
+                known[p] = raw[at:stop]
+                at = stop + 4
 
     def ids(self, texts: list[str]) -> list[bytes]:
         out: list[bytes] = []
@@ -72,25 +79,19 @@ class PieceEncoder:
         for text in texts:
             cut.append(self.pieces(text) if text else [])
             size += len(text)
-            if size > 2_000_000:
+            if size > 4_000_000:
                 out += self._some(cut)
                 cut, size = [], 0
         return out + self._some(cut)
 
     def _some(self, cut: list[list[str]]) -> list[bytes]:
-        wanted = set().union(*cut) if cut else set()
-        known: dict[str, bytes] = {}
-        missing = []
-        for p in wanted:
-            if (v := self.young.get(p)) is None and (v := self.old.get(p)) is None:
-                missing.append(p)
-            else:
-                known[p] = v
-        known.update(self._learn(missing))
-        if len(self.young) + len(known) > self.half:
-            self.old, self.young = self.young, {}
-        self.young.update(known) if len(known) <= self.half else None
-        return [b"".join(map(known.__getitem__, x)) for x in cut]
+        wanted = set().union(*cut)
+        missing = wanted.difference(self.known)
+        if len(self.known) + len(missing) > self.memory:
+            self.known = {p: self.known[p] for p in wanted - missing}
+        self._learn(list(missing))
+        get = self.known.__getitem__
+        return [b"".join(map(get, x)) for x in cut]
 
 
 _ENCODERS: dict[tuple[str, str], PieceEncoder] = {}
