@@ -50,8 +50,8 @@ class Packer:
 
     def __init__(self, limits: Limits):
         self.limits, self.sequence, self.out = limits, 0, []
-        self.room = np.array([limits.tokens, limits.segments, limits.loss], dtype=np.int64)
         self.open: list[tuple[int, int, int]] = []
+        self._reset()
 
     def _close(self) -> None:
         """An open sequence that isn't full (segments or loss ran out) is cut to powers of two, too."""
@@ -71,8 +71,11 @@ class Packer:
                 self.out.append((item, start, n, self.sequence, offset))
                 start, left, offset = start + n, left - n, offset + n
             self.sequence += 1
+        self._reset()
+
+    def _reset(self) -> None:
         self.open = []
-        self.room[:] = self.limits.tokens, self.limits.segments, self.limits.loss
+        self.room = np.array([self.limits.tokens, self.limits.segments, self.limits.loss], dtype=np.int64)
 
     def _put(self, item: int, start: int, n: int, loss: int) -> None:
         self.open.append((item, start, n))
@@ -96,14 +99,11 @@ class Packer:
         rests: list[tuple[int, int, int, int]] = []
         for item, n, loss in items:
             start = 0
-            if n >= self.limits.tokens and self.open:  # full sequences first: nothing open may stand before them
-                kept, room = self.open, self.room.copy()
-                self.open = []
-                self.room[:] = self.limits.tokens, self.limits.segments, self.limits.loss
-                start, n, loss = self._full(item, start, n, loss)
-                self.open, self.room = kept, room
-            else:
-                start, n, loss = self._full(item, start, n, loss)
+            kept, room = self.open, self.room.copy()  # full sequences go beside what is open
+            self._reset()
+            start, n, loss = self._full(item, start, n, loss)
+            self._close()  # loss or segments may have run out before tokens
+            self.open, self.room = kept, room
             if n:
                 rests.append((item, start, n, loss))
         rests.sort(key=lambda x: (-x[2], x[0]))
