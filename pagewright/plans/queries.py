@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions import markdown as md
 from ..functions import textrules as t
-from ..operators import detect
-from ..sources.fixtures import FX_LINES_SQL, FX_PAGES_SQL, fx_content, fx_lines, fx_pages, fx_texts
+from ..operators import detect, items
+from ..sources.fixtures import FX_CELLS_SQL, FX_GRID_SQL, FX_LINES_SQL, FX_PAGES_SQL, fx_cells, fx_content, fx_grid, fx_lines, fx_pages, fx_texts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -218,3 +218,75 @@ ORACLE_SQL["det5_classify"] = f"""
            round(CASE rule WHEN 1 THEN 0.5 + 0.3 * (1 - te / s) WHEN 2 THEN x / s WHEN 3 THEN 0.95 WHEN 4 THEN 0.8 WHEN 5 THEN 0.7 WHEN 6 THEN 0.9 ELSE greatest(x / s, 0.5) END, 6) AS confidence,
            rule NOT IN (2, 7) AS ocr_recommended
     FROM r"""
+
+# Facts of items and lines.
+_BASE = "base AS (SELECT doc_id, coalesce((SELECT tenths FROM (SELECT CAST(floor(font_size * 10) AS INTEGER) AS tenths, count(*) AS n FROM fx_grid g WHERE g.doc_id = d.doc_id AND font_size >= 9 GROUP BY 1) ORDER BY n DESC, tenths LIMIT 1), 120) / 10 AS base_size FROM (SELECT DISTINCT doc_id FROM fx_grid) d)"
+_TIERS = "tiers AS (SELECT b.doc_id, base_size, coalesce(list_sort(list(DISTINCT font_size) FILTER (font_size >= base_size * 1.2), 'DESC'), []) AS tiers FROM base b JOIN fx_grid USING (doc_id) GROUP BY ALL)"
+
+
+def _bases(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    grid = fx_grid(spark, d)
+    return grid, items.modal_sizes(grid.select("doc_id", "font_size"))
+
+
+def _levels(spark: SparkSession, d: str) -> DataFrame:
+    grid, bases = _bases(spark, d)
+    known = grid.join(bases, "doc_id").join(items.heading_tiers(grid, bases), "doc_id")
+    return known.select("doc_id", "line_no", items.header_level(F.col("font_size"), F.col("base_size"), F.col("tiers")).alias("level"))
+
+
+QUERIES["md2_base_font"] = lambda spark, d: _bases(spark, d)[1]
+ORACLE_SQL["md2_base_font"] = f"WITH {FX_GRID_SQL}, {_BASE} SELECT doc_id, CAST(base_size AS DOUBLE) AS base_size FROM base"
+
+QUERIES["md9_heading_tiers"] = lambda spark, d: (lambda g, b: items.heading_tiers(g, b).select("doc_id", F.array_join(F.transform("tiers", lambda x: x.cast("int").cast("string")), ",").alias("tiers")))(*_bases(spark, d))
+ORACLE_SQL["md9_heading_tiers"] = f"WITH {FX_GRID_SQL}, {_BASE}, {_TIERS} SELECT doc_id, array_to_string(list_transform(tiers, lambda x: CAST(CAST(x AS INTEGER) AS VARCHAR)), ',') AS tiers FROM tiers"
+
+QUERIES["md10_header_level"] = _levels
+ORACLE_SQL["md10_header_level"] = f"""
+    WITH {FX_GRID_SQL}, {_BASE}, {_TIERS}
+    SELECT g.doc_id, line_no, CAST(CASE WHEN font_size / base_size < 1.2 THEN NULL WHEN list_contains(tiers, font_size) THEN list_position(tiers, font_size) END AS INTEGER) AS level
+    FROM fx_grid g JOIN tiers USING (doc_id)"""
+
+QUERIES["md12_para_threshold"] = lambda spark, d: items.paragraph_thresholds(*_bases(spark, d)).withColumn("threshold", F.round("threshold", 6))
+ORACLE_SQL["md12_para_threshold"] = f"""
+    WITH {FX_GRID_SQL}, {_BASE},
+    g AS (SELECT doc_id, CASE WHEN lag(page) OVER w = page THEN lag(y) OVER w - y END AS gap FROM fx_grid WINDOW w AS (PARTITION BY doc_id ORDER BY page, line_no)),
+    m AS (SELECT b.doc_id, base_size, list_sort(list(gap) FILTER (gap > 0 AND gap < base_size * 10)) AS gaps FROM base b JOIN g USING (doc_id) GROUP BY ALL)
+    SELECT doc_id, round(CASE WHEN coalesce(len(gaps), 0) < 5 THEN base_size * 1.8 ELSE greatest(gaps[len(gaps) // 2 + 1] * 1.3, base_size * 1.5) END, 6) AS threshold FROM m"""
+
+QUERIES["lay1_page_number_items"] = lambda spark, d: items.body_items(fx_grid(spark, d).withColumnRenamed("line", "text")).select("doc_id", "line_no", "text")
+ORACLE_SQL["lay1_page_number_items"] = f"WITH {FX_GRID_SQL} SELECT doc_id, line_no, line AS text FROM fx_grid WHERE NOT ({_has(_trim('line'), '^[0-9]{1,4}$')} AND (y > 720 OR y < 100))"
+
+# Every third line of a third of the documents goes to the top of the page, as a stream out of order would.
+_JUMPY = "CASE WHEN doc_id % 3 = 0 AND line_no % 3 = 0 THEN 790 ELSE y END"
+QUERIES["lay6_chaos"] = lambda spark, d: items.chaotic_order(fx_grid(spark, d).selectExpr("doc_id", "page", "line_no AS seq", f"CAST({_JUMPY} AS DOUBLE) AS y"))
+ORACLE_SQL["lay6_chaos"] = f"""
+    WITH {FX_GRID_SQL}, j AS (SELECT doc_id, page, line_no, {_JUMPY} AS y FROM fx_grid),
+    g AS (SELECT doc_id, page, y - lag(y) OVER (PARTITION BY doc_id, page ORDER BY line_no) AS delta FROM j),
+    f AS (SELECT doc_id, page, count(*) AS n, count(*) FILTER (delta > 50) AS up, count(*) FILTER (delta < -50) AS down FROM g GROUP BY ALL)
+    SELECT doc_id, page, n >= 5 AND up + down >= 3 AND coalesce(up / nullif(up + down, 0) > 0.4, false) AS chaotic FROM f"""
+
+QUERIES["tab2_regions"] = lambda spark, d: items.table_regions(fx_cells(spark, d))
+ORACLE_SQL["tab2_regions"] = f"""
+    WITH {FX_CELLS_SQL},
+    s AS (SELECT *, coalesce(y - lag(y) OVER w > 30, false) AS starts FROM fx_cells WINDOW w AS (PARTITION BY doc_id, page ORDER BY y, seq)),
+    r AS (SELECT *, CAST(sum(CAST(starts AS INTEGER)) OVER (PARTITION BY doc_id, page ORDER BY y, seq ROWS UNBOUNDED PRECEDING) AS INTEGER) AS region FROM s)
+    SELECT doc_id, page, region, min(y) - 5 AS y_min, max(y) + 5 AS y_max, count(*) AS n FROM r GROUP BY doc_id, page, region HAVING count(*) >= 4"""
+
+_CENTRES = (74.0, 174.0, 268.0, 400.0)
+QUERIES["tab7_cell_assign"] = lambda spark, d: (lambda c: fx_cells(spark, d).select("doc_id", "seq", items.nearest(c, F.col("x"), items.column_tolerance(c)).alias("column")))(F.array(*map(F.lit, _CENTRES)))
+ORACLE_SQL["tab7_cell_assign"] = f"""
+    WITH {FX_CELLS_SQL}, c AS (SELECT i, [{', '.join(map(str, _CENTRES))}][i + 1] AS centre FROM range(4) r(i)),
+    d AS (SELECT doc_id, seq, CAST(i AS INTEGER) AS i, abs(x - centre) AS d, row_number() OVER (PARTITION BY doc_id, seq ORDER BY abs(x - centre), i) AS r FROM fx_cells, c)
+    SELECT doc_id, seq, CASE WHEN d < 47 THEN i END AS "column" FROM d WHERE r = 1"""
+
+QUERIES["snk5_gap_stats"] = lambda spark, d: items.gap_statistics(fx_grid(spark, d))
+_GAPS = "gaps AS (SELECT * FROM (SELECT *, lag(y) OVER (PARTITION BY doc_id, page ORDER BY line_no) - y AS gap FROM fx_grid) WHERE gap > 0 AND gap < 200)"
+ORACLE_SQL["snk5_gap_stats"] = f"""
+    WITH {FX_GRID_SQL}, {_GAPS}
+    SELECT doc_id, page, count(*) AS n, min(gap) AS least, max(gap) AS most, list_sort(list(gap))[count(*) // 2 + 1] AS median, round(avg(gap), 6) AS mean FROM gaps GROUP BY doc_id, page"""
+
+QUERIES["snk5_gap_histogram"] = lambda spark, d: items.gap_histogram(*_bases(spark, d))
+ORACLE_SQL["snk5_gap_histogram"] = f"""
+    WITH {FX_GRID_SQL}, {_BASE}, {_GAPS}
+    SELECT doc_id, CAST(len(list_filter([{', '.join(map(str, items.GAP_EDGES))}], lambda e: e <= gap / base_size)) - 1 AS INTEGER) AS bucket, count(*) AS n FROM gaps JOIN base USING (doc_id) GROUP BY ALL"""

@@ -55,3 +55,31 @@ def fx_content(pages: DataFrame) -> DataFrame:
     """(doc_id, page, content): content streams with as many text operators as the page facts say."""
     ops = F.concat(F.repeat(F.lit("(a) Tj "), F.col("text_ops")), F.when(F.col("has_images"), "/Im1 Do").otherwise(""))
     return pages.select("doc_id", "page", ops.cast("binary").alias("content"))
+
+
+#: Lines on a page grid: 55 to a page, 12 points apart; some lines are headings by size.
+FX_GRID = """
+    SELECT doc_id, CAST(floor((line_no - 1) / 55) AS INTEGER) + 1 AS page, line_no, line, CAST(760 - 12 * ((line_no - 1) % 55) - CASE WHEN line_no % 9 = 0 THEN 6 ELSE 0 END AS DOUBLE) AS y,
+           CASE (doc_id * 7 + line_no * 5) % 24 WHEN 9 THEN 24.0 WHEN 19 THEN 18.0 WHEN 4 THEN 15.0 WHEN 8 THEN 8.0 ELSE CASE WHEN doc_id % 5 = 0 THEN 10.0 ELSE 12.0 END END AS font_size
+    FROM fx_lines"""
+FX_GRID_SQL = f"{FX_LINES_SQL}, fx_grid AS ({FX_GRID.replace('/ 55', '// 55')})"
+
+#: Cells of tables: an order is a document, its lines are rows, four columns 100 points apart.
+FX_CELLS = """
+    SELECT l_orderkey AS doc_id, 1 AS page, row_no * 4 + c AS seq, CAST(72 + 100 * c + (l_partkey % 5) AS DOUBLE) AS x,
+           CAST(700 - 12 * row_no - CASE WHEN row_no >= 4 AND l_orderkey % 3 = 0 THEN 40 ELSE 0 END AS DOUBLE) AS y
+    FROM (SELECT l_orderkey, l_partkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS row_no FROM lineitem) r
+    CROSS JOIN (SELECT 0 AS c UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3) k"""
+FX_CELLS_SQL = f"fx_cells AS ({FX_CELLS})"
+
+
+def fx_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, page, line_no, line, y, font_size): fx_lines placed on pages."""
+    fx_lines(spark, sf_dir).createOrReplaceTempView("fx_lines")
+    return spark.sql(FX_GRID).withColumn("font_size", F.col("font_size").cast("double"))
+
+
+def fx_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, page, seq, x, y): table cells from lineitem."""
+    _table(spark, sf_dir, "lineitem").createOrReplaceTempView("fx_lineitem")
+    return spark.sql(FX_CELLS.replace("FROM lineitem", "FROM fx_lineitem"))
