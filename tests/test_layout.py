@@ -51,3 +51,32 @@ def test_chaos():
     up = [it(str(k), 50, 100 + (k % 2) * 300 + k) for k in range(8)]
     assert is_chaotic(up) and not is_chaotic(up[:4])
     assert not is_chaotic([it("a", 50, 700 - 60 * k) for k in range(8)])
+
+
+from pagewright.layout.tables import clean_cells, detect_tables, merge_continuations, strict_regions, table_to_markdown  # noqa: E402
+
+
+def grid(xs, ys, size):
+    return [Item(f"{10 * r + c}.5" if c else f"Row{r}", x, y, 10, size, "F1", size) for r, y in enumerate(ys) for c, x in enumerate(xs)]
+
+
+def test_tables():
+    (t,) = detect_tables(grid([100, 200, 280, 360], [500, 480, 460, 440], 8), 10)
+    assert len(t.columns) == 4 and len(t.rows) == 4 and len(t.items) == 16
+    (t,) = detect_tables(grid([100, 200, 300, 400], [500, 480, 460, 440], 10), 10)
+    assert len(t.columns) == 4 and len(t.rows) >= 3
+    (t,) = detect_tables(grid([100, 200, 300], [700 - 12 * k for k in range(50)], 8), 10)
+    assert len(t.rows) >= 40
+    (t,) = detect_tables(grid([100, 200, 300], [700 - 10 * k for k in range(8)], 8), 12)
+    assert len(t.rows) == 8
+    assert detect_tables([Item("A line of a paragraph", 72, 700 - 14 * k, 400, 10, "F1", 10) for k in range(10)], 10) == []
+    words = [Item("word", 72 + 37 * (k % 7) + 9 * (k // 7), 700 - 14 * (k // 7), 30, 10, "F1", 10) for k in range(27)]
+    assert detect_tables(words, 10) == [] or strict_regions(words)
+
+
+def test_table_markdown():
+    assert table_to_markdown([["A", "Long"], ["1", "2"], ["", ""], ["", "more"], ["(1) note", ""]]) == "| A   | Long   |\n|-----|--------|\n| 1   | 2 more |\n\n(1) note\n"
+    assert clean_cells([["", "x"], ["a", ""]]) == ([["", "x"], ["a", ""]], [])
+    md = "| A   |\n|-----|\n| 1   |\n"
+    got = merge_continuations({1: [(700, md)], 2: [(700, md.replace("1 ", "2 "))], 4: [(700, md)]}, {2, 4})
+    assert set(got) == {1, 4} and got[1][0][1].endswith("| 1   |\n| 2   |\n")
