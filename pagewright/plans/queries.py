@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from ..functions import markdown as md
 from ..functions import textrules as t
-from ..operators import detect, items
-from ..sources.fixtures import FX_CELLS_SQL, FX_GRID_SQL, FX_LINES_SQL, FX_PAGES_SQL, fx_cells, fx_content, fx_grid, fx_lines, fx_pages, fx_texts
+from ..operators import detect, documents, items
+from ..sources import pdf
+from ..sources.fixtures import FX_CELLS_SQL, FX_GRID_SQL, FX_LINES_SQL, FX_PAGES_SQL, fx_cells, fx_content, fx_grid, fx_lines, fx_pages, fx_pdfs, fx_texts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -290,3 +291,31 @@ QUERIES["snk5_gap_histogram"] = lambda spark, d: items.gap_histogram(*_bases(spa
 ORACLE_SQL["snk5_gap_histogram"] = f"""
     WITH {FX_GRID_SQL}, {_BASE}, {_GAPS}
     SELECT doc_id, CAST(len(list_filter([{', '.join(map(str, items.GAP_EDGES))}], lambda e: e <= gap / base_size)) - 1 AS INTEGER) AS bucket, count(*) AS n FROM gaps JOIN base USING (doc_id) GROUP BY ALL"""
+
+# Whole documents, from PDF files made of the same grid.
+_SHOWN = f"fx_shown AS (SELECT doc_id, page, line_no, y, font_size, {_ligatures('line')} AS text FROM fx_grid WHERE {_trim(_ligatures('line'))} <> '')"
+
+QUERIES["cs_text_items"] = lambda spark, d: pdf.text_items(fx_pdfs(spark, d)).where("error IS NULL").select("doc_id", "page", F.col("y").cast("double").alias("y"), F.col("font_size").cast("double").alias("font_size"), "text")
+ORACLE_SQL["cs_text_items"] = f"WITH {FX_GRID_SQL}, {_SHOWN} SELECT doc_id, page, y, CAST(font_size AS DOUBLE) AS font_size, text FROM fx_shown"
+
+QUERIES["lay8_lines"] = lambda spark, d: documents.lines(pdf.text_items(fx_pdfs(spark, d))).select("doc_id", "page", "line_no", "y", "text")
+ORACLE_SQL["lay8_lines"] = f"""
+    WITH {FX_GRID_SQL}, {_SHOWN}
+    SELECT doc_id, page, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY line_no) AS INTEGER) AS line_no, y, text FROM fx_shown
+    WHERE NOT ({_has(_trim('text'), '^[0-9]{1,4}$')} AND (y > 720 OR y < 100))"""
+
+QUERIES["api3_detect_pdf"] = lambda spark, d: pdf.detect_pdf_types(fx_pdfs(spark, d)).drop("error")
+ORACLE_SQL["api3_detect_pdf"] = f"""
+    WITH {FX_GRID_SQL},
+    p AS (SELECT doc_id, page, count(*) AS ops, max(page) OVER (PARTITION BY doc_id) AS n FROM fx_grid GROUP BY doc_id, page),
+    s AS (SELECT * FROM p WHERE n <= 5 OR page IN (1, n, 1 + (n - 2) // 4, 1 + 2 * ((n - 2) // 4), 1 + 3 * ((n - 2) // 4))),
+    f AS (SELECT doc_id, CAST(max(n) AS INTEGER) AS page_count, CAST(count(*) AS INTEGER) AS k, CAST(count(*) FILTER (ops >= 3) AS INTEGER) AS x FROM s GROUP BY doc_id)
+    SELECT doc_id, 'text_based' AS pdf_type, page_count, k AS pages_sampled, x AS pages_with_text, round(CASE WHEN x / k >= 0.6 THEN x / k ELSE greatest(x / k, 0.5) END, 6) AS confidence,
+           'Document ' || doc_id AS title, false AS ocr_recommended FROM f"""
+
+QUERIES["api1_process_pdf"] = lambda spark, d: documents.process_pdfs(fx_pdfs(spark, d)).select("doc_id", "pdf_type", "page_count", "markdown")
+QUERIES["md17_document_markdown"] = lambda spark, d: documents.markdown(pdf.text_items(fx_pdfs(spark, d)))
+QUERIES["tab12_tables"] = lambda spark, d: documents.tables(
+    fx_cells(spark, d).select("doc_id", F.lit(1).alias("page"), "seq", F.concat((F.col("seq") % 4).cast("string"), F.lit("."), F.col("seq").cast("string")).alias("text"), "x", "y", F.lit(10.0).alias("width"), F.lit(8.0).alias("height"), F.lit(8.0).alias("font_size"), F.lit("text").alias("item_type"))
+    .unionByName(fx_cells(spark, d).where("seq % 4 = 0").select("doc_id", F.lit(2).alias("page"), "seq", F.lit("Body words in the text").alias("text"), "x", "y", F.lit(100.0).alias("width"), F.lit(10.0).alias("height"), F.lit(10.0).alias("font_size"), F.lit("text").alias("item_type")))
+).select("doc_id", "page", "table_no", F.size("columns").alias("n_columns"), F.size("rows").alias("n_rows"), "markdown")

@@ -83,3 +83,25 @@ def fx_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, page, seq, x, y): table cells from lineitem."""
     _table(spark, sf_dir, "lineitem").createOrReplaceTempView("fx_lineitem")
     return spark.sql(FX_CELLS.replace("FROM lineitem", "FROM fx_lineitem"))
+
+
+def fx_pdfs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, content): a PDF of each document's fx_grid, every line shown at its place, in UTF-16."""
+    shown = F.concat(
+        F.lit("BT /F1 "), F.col("font_size").cast("int").cast("string"), F.lit(" Tf 72 "), F.col("y").cast("int").cast("string"),
+        F.lit(" Td <FEFF"), F.hex(F.encode("line", "UTF-16BE")), F.lit("> Tj ET\n"),
+    )
+    joined = lambda c, key: F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(key, c))), lambda t: t["x"]), "")
+    pages = fx_grid(spark, sf_dir).groupBy("doc_id", "page").agg(joined(shown.alias("x"), "line_no").alias("text"))
+    number = lambda k: (F.col("page") * 2 + k).cast("string")
+    page = F.concat(
+        number(10), F.lit(" 0 obj\n<</Type /Page /Parent 2 0 R /Contents "), number(11), F.lit(" 0 R>>\nendobj\n"),
+        number(11), F.lit(" 0 obj\n<</Length "), F.octet_length("text").cast("string"), F.lit(">>\nstream\n"), F.col("text"), F.lit("\nendstream\nendobj\n"),
+    )
+    docs = pages.groupBy("doc_id").agg(joined(page.alias("x"), "page").alias("body"), joined(F.concat(number(10), F.lit(" 0 R ")).alias("x"), "page").alias("kids"), F.count(F.lit(1)).alias("n"))
+    content = F.concat(
+        F.lit("%PDF-1.4\n1 0 obj\n<</Type /Catalog /Pages 2 0 R>>\nendobj\n2 0 obj\n<</Type /Pages /Count "), F.col("n").cast("string"), F.lit(" /Kids ["), F.col("kids"),
+        F.lit("] /Resources <</Font <</F1 <</Type /Font /Subtype /Type1 /BaseFont /Helvetica>>>>>>>>\nendobj\n3 0 obj\n<</Title (Document "), F.col("doc_id").cast("string"),
+        F.lit(")>>\nendobj\n"), F.col("body"), F.lit("trailer\n<</Root 1 0 R /Info 3 0 R>>\n%%EOF\n"),
+    )
+    return docs.select("doc_id", content.cast("binary").alias("content"))
