@@ -6,77 +6,97 @@ by hash. Items are small (a few hundred bytes); a document of a million items is
 
 from __future__ import annotations
 
-from dataclasses import replace
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from ..functions.markdown import MarkdownOptions, clean_markdown
-from ..operators.detect import DetectionConfig
+from .detect import DetectionConfig
+from .items import modal_sizes
 from ..sources.pdf import detect_pdf_types, text_items
 
 _FIELDS = ("text", "x", "y", "width", "height", "font", "font_size", "page", "is_bold", "is_italic", "item_type", "seq")
 
 
-def _items(t: pa.Table) -> list:
-    from ..layout.spacing import Item
-
-    t = t.sort_by([("page", "ascending"), ("seq", "ascending")])
-    names = [f for f in _FIELDS if f in t.column_names]
-    return [Item(**dict(zip(names, row, strict=True))) for row in zip(*(t[n].to_pylist() for n in names), strict=True)]
-
-
 def _known(items: DataFrame) -> DataFrame:
     return items.where("page IS NOT NULL").select("doc_id", *(c for c in _FIELDS if c in items.columns))
 
 
+def _fold(items: DataFrame, keys: list[str], work: Callable, schema: str, more: tuple[str, ...] = ()) -> DataFrame:
+    """work(key values, more values, Items in order) -> rows, for each key. Rows of a key come to one task in order of
+    page and seq, and a task folds one key at a time."""
+    names = [f for f in _FIELDS if f in items.columns]
+    width = len(keys)
+    kind = StructType.fromDDL(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from ..layout.spacing import Item
+
+        out_schema = to_arrow_schema(kind)
+        out: list[dict] = []
+        key, extra, own = None, (), []
+        for batch in batches:
+            for row in zip(*(batch.column(c).to_pylist() for c in range(batch.num_columns)), strict=True):
+                if row[:width] != key:
+                    if own:
+                        out += work(key, extra, own)
+                    key, extra, own = row[:width], row[width : width + len(more)], []
+                    if len(out) >= 2000:
+                        yield pa.RecordBatch.from_pylist(out, schema=out_schema)
+                        out = []
+                own.append(Item(**dict(zip(names, row[width + len(more) :], strict=True))))
+        if own:
+            out += work(key, extra, own)
+        if out:
+            yield pa.RecordBatch.from_pylist(out, schema=out_schema)
+
+    columns = [F.col(k).alias(f"key_{k}") for k in keys] + [F.col(m).alias(f"more_{m}") for m in more] + [F.col(n) for n in names]
+    order = [f"key_{k}" for k in keys] + ["page", "seq"]
+    return items.select(*columns).repartition(*(F.col(f"key_{k}") for k in keys)).sortWithinPartitions(*order).mapInArrow(run, kind)
+
+
 def lines(items: DataFrame) -> DataFrame:
     """(doc_id, page, line_no, y, font_size, text) in reading order, without page numbers."""
 
-    def fold(key: tuple, t: pa.Table) -> pa.Table:
+    def work(key, _, own):
         from ..layout.lines import group_into_lines
 
-        found = group_into_lines([i for i in _items(t) if i.item_type == "text"])
-        rows = [{"doc_id": key[0].as_py(), "page": x.page, "line_no": n, "y": x.y, "font_size": x.items[0].font_size, "text": x.text()} for n, x in enumerate(found, 1)]
-        return pa.Table.from_pylist(rows, schema=pa.schema([("doc_id", pa.int64()), ("page", pa.int32()), ("line_no", pa.int32()), ("y", pa.float64()), ("font_size", pa.float64()), ("text", pa.string())]))
+        found = group_into_lines([i for i in own if i.item_type == "text"])
+        return [{"doc_id": key[0], "page": x.page, "line_no": n, "y": x.y, "font_size": x.items[0].font_size, "text": x.text()} for n, x in enumerate(found, 1)]
 
-    return _known(items).groupBy("doc_id").applyInArrow(fold, "doc_id long, page int, line_no int, y double, font_size double, text string")
+    return _fold(_known(items), ["doc_id"], work, "doc_id long, page int, line_no int, y double, font_size double, text string")
 
 
 def tables(items: DataFrame) -> DataFrame:
     """(doc_id, page, table_no, columns, rows, cells, markdown): tables of each page, found by page."""
 
-    def fold(key: tuple, t: pa.Table) -> pa.Table:
+    def work(key, more, own):
         from ..layout.tables import detect_tables, table_to_markdown
 
-        own = [i for i in _items(t) if i.item_type == "text"]
-        base = t["base_size"][0].as_py() if t.num_rows else 12.0
-        rows = [
-            {"doc_id": key[0].as_py(), "page": key[1].as_py(), "table_no": n, "columns": x.columns, "rows": x.rows, "cells": x.cells, "markdown": table_to_markdown(x.cells)}
-            for n, x in enumerate(detect_tables(own, base))
+        found = detect_tables([i for i in own if i.item_type == "text"], more[0])
+        return [
+            {"doc_id": key[0], "page": key[1], "table_no": n, "columns": x.columns, "rows": x.rows, "cells": x.cells, "markdown": table_to_markdown(x.cells)} for n, x in enumerate(found)
         ]
-        numbers = pa.list_(pa.float64())
-        return pa.Table.from_pylist(rows, schema=pa.schema([("doc_id", pa.int64()), ("page", pa.int32()), ("table_no", pa.int32()), ("columns", numbers), ("rows", numbers), ("cells", pa.list_(pa.list_(pa.string()))), ("markdown", pa.string())]))
-
-    from .items import modal_sizes
 
     known = _known(items)
     sized = known.join(modal_sizes(known.where("item_type = 'text'").select("doc_id", "font_size")), "doc_id")
-    return sized.groupBy("doc_id", "page").applyInArrow(fold, "doc_id long, page int, table_no int, columns array<double>, rows array<double>, cells array<array<string>>, markdown string")
+    return _fold(sized, ["doc_id", "page"], work, "doc_id long, page int, table_no int, columns array<double>, rows array<double>, cells array<array<string>>, markdown string", ("base_size",))
 
 
 def markdown(items: DataFrame, options: MarkdownOptions = MarkdownOptions()) -> DataFrame:
     """(doc_id, markdown) from items: the fold in Python, the cleaning in generated code."""
-    plain = replace(options)
+    raw = _fold(_known(items), ["doc_id"], lambda key, _, own: [{"doc_id": key[0], "raw": _markdown(own, options)}], "doc_id long, raw string")
+    return raw.select("doc_id", clean_markdown(F.col("raw"), options).alias("markdown"))
 
-    def fold(key: tuple, t: pa.Table) -> pa.Table:
-        from ..layout.assemble import items_to_markdown
 
-        return pa.table({"doc_id": pa.array([key[0].as_py()], pa.int64()), "raw": pa.array([items_to_markdown(_items(t), plain)])})
+def _markdown(own: list, options: MarkdownOptions) -> str:
+    from ..layout.assemble import items_to_markdown
 
-    raw = _known(items).groupBy("doc_id").applyInArrow(fold, "doc_id long, raw string")
-    return raw.select("doc_id", clean_markdown(F.col("raw"), options).alias("markdown"))
+    return items_to_markdown(own, options)
 
 
 def process_pdfs(docs: DataFrame, config: DetectionConfig = DetectionConfig(), options: MarkdownOptions = MarkdownOptions()) -> DataFrame:
