@@ -26,10 +26,12 @@ PERCENT = 75
 #: At the similarity 0.75 a pair shares no band with a probability of (1 - 0.75**ROWS)**BANDS, 2.3e-6.
 BANDS, ROWS = 48, 5
 BITS = 4
-#: Estimates of pairs at 0.75 have a deviation of 0.029; below this (5 deviations) a candidate is dropped.
-LEAST_ESTIMATE = 0.60
+#: Estimates of pairs at 0.75 have a deviation of 0.029; below this (4.5 deviations) a candidate is dropped.
+LEAST_ESTIMATE = 0.62
 #: Buckets up to this size are compared by a join, larger ones in blocks.
 SMALL_BUCKET, BLOCK = 32, 1000
+#: Bits of the bitmap of the texts to confirm.
+_BITMAP = 1 << 22
 _HASHES = BANDS * ROWS
 _U = np.uint64
 _MULTIPLIERS = np.random.default_rng(20240917).integers(0, 2**64, _HASHES, dtype=np.uint64) | _U(1)
@@ -126,7 +128,12 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, signed: DataFrame) -> DataFram
     """Of pairs (a, b) of nodes those that are links, worked out on the full sets of the two texts."""
     nodes = pairs.select(F.col("a").alias("uid")).unionByName(pairs.select(F.col("b").alias("uid"))).distinct()
     needed = stored(nodes.join(signed.select("uid", "key", "th1", "th2"), "uid"), "needed").alias("w")
-    own = docs.alias("d").join(needed, F.expr("d.th1 = w.th1 AND d.th2 = w.th2 AND d.key <=> w.key")).select("w.uid", "d.text")
+    # A bitmap of fixed size drops most other texts before the shuffle; the join that follows is exact.
+    slot = lambda: F.pmod(F.col("th1"), F.lit(_BITMAP))
+    bits = needed.select(slot().alias("s")).groupBy(F.floor(F.col("s") / 64).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(s % 64 as int))")).alias("bits"))
+    some = docs.withColumn("s", slot()).join(F.broadcast(bits), F.floor(F.col("s") / 64) == F.col("word"))  # at most _BITMAP / 64 rows
+    some = some.where(F.expr("(shiftrightunsigned(bits, cast(s % 64 as int)) & 1) = 1")).select("key", "text", "th1", "th2")
+    own = some.alias("d").join(needed, F.expr("d.th1 = w.th1 AND d.th2 = w.th2 AND d.key <=> w.key")).select("w.uid", "d.text")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -157,6 +164,13 @@ def _likely(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return near.select("a", "b", similarity(F.col("sa"), F.col("sb")).alias("estimate")).where(F.col("estimate") >= LEAST_ESTIMATE)
 
 
+def _crossing(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Those of the pairs (a, b, estimate) whose ends have different labels la and lb; a node without one is its own."""
+    la, lb = (labels.select(F.col("node").alias(x), F.col("label").alias(f"l{x}")) for x in "ab")
+    named = pairs.select("a", "b", "estimate").join(la, "a", "left").join(lb, "b", "left")
+    return named.withColumns({"la": F.coalesce("la", "a"), "lb": F.coalesce("lb", "b")}).where("la <> lb")
+
+
 def _across(members: DataFrame) -> DataFrame:
     """From members (bucket, uid, label, size, n, sig) of buckets with several components: (a, b, estimate) of
     all likely pairs of different components."""
@@ -177,10 +191,12 @@ def _across(members: DataFrame) -> DataFrame:
         get = lambda c: t[c].combine_chunks().to_numpy(zero_copy_only=False)
         sig = np.array(t["sig"].to_pylist(), dtype=np.int64).view(np.uint64)
         uid, label, n, first, second = (get(c) for c in ("uid", "label", "n", "first", "second"))
-        left, right = np.flatnonzero(first.astype(bool)), np.flatnonzero(second.astype(bool))
+        names, inverse, counts = np.unique(label, return_inverse=True, return_counts=True)
         out: list[list] = [[], [], []]
-        for i in left:
-            j = right[label[right] > label[i]] if first[right].all() else right[label[right] != label[i]]
+        rows = np.arange(len(uid))
+        first, second = first.astype(bool), second.astype(bool)
+        for i in np.flatnonzero(inverse != counts.argmax()) if len(names) > 1 else ():  # all but the largest component's
+            j = rows[(label != label[i]) & ((first[i] & second) | (second[i] & first))]
             j = j[100 * np.minimum(n[i], n[j]) >= PERCENT * np.maximum(n[i], n[j])]
             d = sig[j] ^ sig[i]
             d |= d >> _U(1)
@@ -217,20 +233,28 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
 
     # Bucket: a band's number and hash. Only buckets of several texts matter.
     buckets = nodes.select("uid", F.posexplode("bands").alias("band", "hash")).select("uid", F.xxhash64("band", "hash").alias("bucket"))
-    full = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("uid").alias("centre")).where("size > 1")
-    members = stored(buckets.join(full, "bucket"), "members")
-    stars = members.where("uid <> centre").select(F.col("centre").alias("a"), F.col("uid").alias("b")).distinct()
-    likely = _likely(stars, nodes)
-    best = stored(likely.groupBy("b").agg(F.max_by("a", "estimate").alias("a")).select("a", "b"), "best")
-    links = _confirmed(best, own, signed)
+    # Its centre is any of them, another one in each bucket, so that a text meets many of its like.
+    mask = F.col("bucket").bitwiseAND(F.lit((1 << 62) - 1))
+    full = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min(F.col("uid").bitwiseXOR(mask)).alias("low")).where("size > 1")
+    members = stored(buckets.join(full, "bucket").select("bucket", "uid", "size", F.col("low").bitwiseXOR(mask).alias("centre")), "members")
+    stars = members.where("uid <> centre").select(F.least("centre", "uid").alias("a"), F.greatest("centre", "uid").alias("b")).distinct()
+    likely = stored(_likely(stars, nodes), "likely")
+    likeliest = W.partitionBy("b").orderBy(F.desc("estimate"), "a")
+    tested = stored(likely.withColumn("r", F.row_number().over(likeliest)).where("r = 1").select("a", "b"), "tested")
+    links = _confirmed(tested, own, signed)
+    labels = components(links)
+    again = _crossing(likely.join(tested, ["a", "b"], "left_anti"), labels).withColumn("r", F.row_number().over(likeliest)).where("r <= 4")
+    more = stored(again.select("a", "b"), "more")
+    links = stored(links.unionByName(_confirmed(more, own, signed)), "links")
     labels = components(links)
+    tested = tested.unionByName(more)
 
     def mixed(labels: DataFrame) -> DataFrame:
         named = members.join(labels, F.col("uid") == F.col("node"), "left").withColumn("label", F.coalesce("label", "uid")).select("bucket", "uid", "size", "label")
         several = named.groupBy("bucket").agg((F.min("label") != F.max("label")).alias("several")).where("several").select("bucket")
         return named.join(several, "bucket").join(nodes.select("uid", "n", "sig"), "uid")
 
-    waiting = stored(_across(mixed(labels)).join(best, ["a", "b"], "left_anti"), "waiting")
+    waiting = stored(_across(mixed(labels)).join(tested, ["a", "b"], "left_anti"), "waiting")
     for turn in range(4):
         n = waiting.count()
         if not n:
@@ -238,9 +262,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
         whole = n <= 200_000 or turn == 3
         some = waiting.select("a", "b")
         if not whole:  # the likeliest pairs of each two components first: most others then lie within a component
-            la, lb = (labels.select(F.col("node").alias(x), F.col("label").alias(f"l{x}")) for x in "ab")
-            of = waiting.join(la, "a", "left").join(lb, "b", "left").withColumns({"la": F.coalesce("la", "a"), "lb": F.coalesce("lb", "b")}).where("la <> lb")
-            waiting = stored(of, "waiting")
+            waiting = stored(_crossing(waiting, labels), "waiting")
             lot = W.partitionBy(F.least("la", "lb"), F.greatest("la", "lb")).orderBy(F.desc("estimate"), "a", "b")
             some = stored(waiting.withColumn("r", F.row_number().over(lot)).where("r <= 8").select("a", "b"), "some")
         links = stored(links.unionByName(_confirmed(some, own, signed)), "links")
@@ -255,3 +277,10 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     joined = signed.select("key", "n", "set_hash").join(of, "set_hash", "left")  # a hot class: split by adaptive execution
     component = F.when(F.col("set_hash").isNull(), F.col("key")).otherwise(F.col("component"))
     return joined.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("key").eqNullSafe(component).alias("kept"))
+
+
+def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """docs without the rows whose component has a smaller key; of rows equal in key and text one stays."""
+    gone = stored(near_duplicates(docs, key, text).where(~F.col("kept")).select(F.col(key).alias("gone_key")).distinct(), "gone")
+    left = docs.alias("d").join(gone.alias("g"), F.expr(f"d.`{key}` <=> g.gone_key"), "left_anti")
+    return left.dropDuplicates([key, text]) if docs.groupBy(F.col(f"`{key}`")).count().where("count > 1").limit(1).count() else left
