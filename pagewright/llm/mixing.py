@@ -97,11 +97,14 @@ def apply_mix(docs: DataFrame, mix: DataFrame, key: str = "doc_id") -> DataFrame
     """docs with each document as often as its copies say (none for 0). Where rows share a key, the
     copies of all rows of that key are dealt over them, so `mix` and `docs` agree in number."""
     n, r = free_name(docs, "mix_copies"), free_name(docs, "mix_rows")
-    per = mix.groupBy(key).agg(F.sum("copies").alias(n), F.count(F.lit(1)).alias(r))
-    joined = docs.alias("d").join(per.alias("m"), F.expr(f"d.`{key}` <=> m.`{key}`")).select("d.*", f"m.{n}", f"m.{r}")
-    repeat = lambda df, times: df.withColumn(n, F.explode(F.array_repeat(F.lit(0), times.cast("int")))).select(*docs.columns)
+    per = stored(mix.groupBy(F.col(key).alias("mixed_key")).agg(F.sum("copies").cast("int").alias("copies"), F.count(F.lit(1)).alias("rows")), "copies")
+    joined = docs.alias("d").join(per.select("mixed_key", F.col("copies").alias(n), F.col("rows").alias(r)).alias("m"), F.expr(f"d.`{key}` <=> m.mixed_key")).select("d.*", n, r)
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    repeat = lambda df, times: df.withColumn(n, F.explode(F.array_repeat(F.lit(0), times.cast("int")))).select(*columns)
     single = repeat(joined.where(F.col(r) == 1), F.col(n))
+    if not per.where("rows > 1").limit(1).count():
+        return single
     row = free_name(joined, "mix_row")
-    shared = joined.where(F.col(r) > 1).withColumn(row, F.row_number().over(W.partitionBy(key).orderBy(F.xxhash64(*docs.columns))))
+    shared = joined.where(F.col(r) > 1).withColumn(row, F.row_number().over(W.partitionBy(F.col(f"`{key}`")).orderBy(F.xxhash64(*columns))))
     upto = lambda at: F.floor(at * F.col(n) / F.col(r))
     return single.unionByName(repeat(shared, upto(F.col(row)) - upto(F.col(row) - 1)))

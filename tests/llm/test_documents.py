@@ -1,0 +1,351 @@
+"""Operators over documents against brute force on small tables with nulls, ties, repeats and clashing names."""
+
+import hashlib
+import random
+import zlib
+from collections import Counter, defaultdict
+from itertools import combinations
+
+import numpy as np
+import public_tokenizers
+import pytest
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+import corpus_pipeline
+from pagewright.llm import dac, mixing, neardup, ordermin, packing, sharding, toxicity
+from pagewright.llm.common import ordered
+from pagewright.llm.tokens import PieceEncoder
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, rank int, shard string, key string, label string, copies string"
+WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau".split()
+
+
+def words(r, n):
+    return " ".join(r.choice(WORDS) + str(r.randint(0, 40)) for _ in range(n))
+
+
+@pytest.fixture(scope="session")
+def rows():
+    r = random.Random(5)
+    out = []
+    for i in range(60):
+        out.append((i * 3, words(r, r.randint(1, 80)), f"s{i % 4}"))
+    base = words(r, 120).split()
+    for i in range(40):  # a family of near copies
+        w = list(base)
+        for _ in range(r.randint(0, 9)):
+            w[r.randrange(len(w))] = "edit" + str(r.randint(0, 99))
+        out.append((500 + i, " ".join(w), "s1"))
+    out += [(900 + i, "The same text, five words and MORE in it.", "s0") for i in range(30)]
+    out += [(1000, None, "s2"), (1001, "", None), (1002, " \n\t ", "s3"), (1003, "one", None), (1004, "one two three four", "s2"), (1005, "ONE two three four", "s2")]
+    out += [(1006, words(r, 3000), "s3"), (None, "no id here but some words to tell", "s0"), (2, out[4][1], "s0"), (2, out[4][1], "s0"), (1007, "né 日本語のテキスト  two  blanks\n\n<|endoftext|> end ", "s1")]
+    return out
+
+
+@pytest.fixture(scope="session")
+def docs(spark, rows):
+    return spark.createDataFrame([(i, t, "en", s, len(t or ""), 1, "x", "k", "l", "c") for i, t, s in rows], SCHEMA).repartition(3)
+
+
+@pytest.fixture(scope="session")
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def key(i):
+    return (i is None, i or 0)
+
+
+def test_ordered(spark):
+    df = spark.range(1000).select((F.col("id") % 7).alias("k"), "id", F.lit(2).alias("v"))
+    got = ordered(df, ["k", "id"], {"before": "v"}).orderBy("rank").collect()
+    assert [r["rank"] for r in got] == list(range(1000)) and [r["before"] for r in got] == [2 * i for i in range(1000)]
+    assert [(r["k"], r["id"]) for r in got] == sorted((i % 7, i) for i in range(1000))
+
+
+def test_op1_texts(docs, rows, empty):
+    got = ordermin.fingerprints(docs).collect()
+    assert len(got) == len(rows) and ordermin.fingerprints(empty).count() == 0
+    order = sorted(((i, t or "") for i, t, _ in rows), key=lambda x: key(x[0]))
+    want = Counter()
+    for (i, t), (_, after) in zip(order, order[1:] + order[:1], strict=True):
+        cut = len(t) // 4
+        want[i, len(t), hashlib.sha256((t[: len(t) - cut] + after[:cut]).encode()).hexdigest()] += 1
+    assert Counter((r["doc_id"], r["n_chars"], r["edited_sha256"]) for r in got) == want
+    by_text = defaultdict(set)
+    text = dict((i, t or "") for i, t, _ in rows)
+    for r in got:
+        by_text[text[r["doc_id"]]].add(r["fingerprint"])
+        assert 0 <= r["near_edited"] <= 1 and 0 <= r["near_next"] <= 1
+    assert all(len(x) == 1 for x in by_text.values())
+    long = next(r for r in got if r["doc_id"] == 1006)
+    assert long["near_edited"] > 0.2 > long["near_next"]
+
+
+def test_op1_order_counts(spark):
+    r = random.Random(1)
+    w = words(r, 400).split()
+    texts = [" ".join(w), " ".join(w[200:] + w[:200]), " ".join(reversed(w)), "a " * 500, "a " * 501, "a " * 30]
+    got = ordermin.with_sketch(spark.createDataFrame(list(enumerate(texts)), "i int, t string"), "t", "s")
+    s = {x["i"]: x["s"] for x in got.collect()}
+
+    def brute(text):
+        from pyspark.sql.functions import xxhash64  # the same hash, one k-mer at a time
+
+        return xxhash64, text
+
+    like = lambda a, b: len(set(s[a]) & set(s[b])) / len({x >> 24 for x in s[a] + s[b]})
+    assert like(0, 0) == 1 and 0.2 < like(0, 1) < 1 and like(0, 2) < 0.2
+    assert like(3, 4) > 0.8 > like(3, 5)  # repeats count
+
+
+def test_op1_occurrences(spark):
+    """Numbers of equal k-mers are exact for runs of any length."""
+    n = 300
+    text = "b " * n
+    got = ordermin.with_sketch(spark.createDataFrame([(text,)], "t string"), "t", "s").first()["s"]
+    mask = (1 << 33) - 1
+    h = spark.range(1).select(F.xxhash64(F.lit("b"), F.lit("b")).alias("h")).first()["h"] & mask
+    hashed = spark.range(n - 1).select("id", F.xxhash64(F.lit(h), F.col("id").cast("int")).bitwiseAND(F.lit(mask)).alias("f")).collect()
+    buckets = defaultdict(list)
+    for r in hashed:
+        buckets[r["f"] >> 27].append((r["f"], r["id"]))
+    pairs = [(b, [f for f, _ in sorted(sorted(v)[:2], key=lambda x: x[1])]) for b, v in sorted(buckets.items())]
+    frame = spark.createDataFrame([(b, v[0], v[1] if len(v) > 1 else None) for b, v in pairs], "b long, x long, y long")
+    low = F.when(F.col("y").isNull(), F.xxhash64("x")).otherwise(F.xxhash64("x", "y")).bitwiseAND(F.lit((1 << 24) - 1))
+    assert got == [r["e"] for r in frame.orderBy("b").select((F.shiftleft("b", 24).bitwiseOR(low)).alias("e")).collect()]
+
+
+def test_op2(spark, empty):
+    r = random.Random(3)
+    data = []
+    for i in range(1500):
+        toxic = i % 5 == 0
+        w = words(r, r.randint(5, 60)).split()
+        if toxic:
+            for _ in range(3):
+                w.insert(r.randrange(len(w)), r.choice(["vile", "foul", "nasty"]))
+        data.append((i, " ".join(w), int(toxic)))
+    docs = spark.createDataFrame([(i, t) for i, t, _ in data] + [(5000, None), (5001, ""), (0, "twice vile vile foul")], "doc_id long, text string").withColumn("score", F.lit("x"))
+    labels = spark.createDataFrame([(i, 1, y) for i, _, y in data] + [(None, 1, 1), (3, 0, None), (4, 0, 7), (7, 1, 0)], "doc_id long, quality int, toxic int")
+    model = toxicity.train(docs, labels)
+    assert 0 < len(model.places) < 2000
+    got = {(x["doc_id"], x["text"]): x["score"] for x in toxicity.score(docs, model).collect()}
+    assert len(got) == 1503 and got[5000, None] == got[5001, ""] < 0.3
+    held = [(i, t, y) for i, t, y in data if zlib.crc32(str(i).encode()) % 4 == 2]
+    assert np.mean([(got[i, t] >= 0.3) == bool(y) for i, t, y in held]) > 0.97
+    again = {(x["doc_id"], x["text"]): x["score"] for x in toxicity.score(docs.repartition(7), toxicity.train(docs.repartition(5), labels)).collect()}
+    assert again == got
+    none = toxicity.train(empty.select("doc_id", "text"), labels.limit(0))
+    assert toxicity.score(docs, none).agg(F.max("score")).first()[0] < 0.01
+    assert toxicity.score(empty, model).count() == 0
+    assert set(docs.join(labels, "doc_id").select(toxicity.held_out()).distinct().toPandas().iloc[:, 0]) == {True, False}
+
+
+@pytest.mark.parametrize(("name", "separator"), [("byte_bpe_50k.json", "\n"), ("word_bpe_49k.json", " \x01 ")])
+def test_pieces_give_the_librarys_ids(name, separator):
+    r = random.Random(2)
+    abc = "ab  \n\t.'sStτςΣé́ \x1c\x1f<|>end\x01 　中1_9,A "
+    texts = ["".join(r.choice(abc) for _ in range(r.randint(0, 60))) for _ in range(3000)]
+    texts += ["", " ", "a ", " a", "<|endoftext|> a <|startoftext|>", "one two.\nthree, four's 'five' 3.14 a_b", "x!.y é.", "it's we'll I'd."]
+    t = Tokenizer.from_file(public_tokenizers.path(name))
+    t.encode_special_tokens = True
+    want = [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
+    enc = PieceEncoder(public_tokenizers.path(name), separator, memory=500)
+    for _ in range(2):
+        assert [np.frombuffer(x, "<u4").tolist() for x in enc.ids(texts)] == want
+
+
+def test_dac_segments():
+    r = random.Random(4)
+    for n in (0, 1, 511, 512, 513, 3000):
+        ids = np.array([r.choice([0, 1, 255, 256, 65535, 65536, 2**24, 2**32 - 1, r.randint(0, 60000)]) for _ in range(n)], dtype="<u4")
+        s = dac.Segment(dac.encode([None, 7], [ids[: n // 3].tobytes(), ids[n // 3 :].tobytes()]))
+        assert len(s) == n and s.doc_ids == [None, 7] and s.first.tolist() == [0, n // 3, n]
+        assert s.slice(0, n).tolist() == ids.tolist()
+        for _ in range(20):
+            a = r.randint(0, n)
+            b = r.randint(a, n)
+            assert s.slice(a, b).tolist() == ids[a:b].tolist()
+        assert all(s[i] == ids[i] for i in range(0, n, 37))
+
+
+def _ids(text, name):
+    t = Tokenizer.from_file(public_tokenizers.path(name))
+    t.encode_special_tokens = True
+    return t.encode(text or "", add_special_tokens=False).ids + [2]
+
+
+def test_op3(spark, docs, rows, empty, tmp_path, monkeypatch):
+    monkeypatch.setattr(dac, "SEGMENT", 500)
+    dac.write_tokens(docs, str(tmp_path / "t"), public_tokenizers.path("byte_bpe_50k.json"))
+    got = sorted(dac.read_documents(spark, str(tmp_path / "t"), ids=True).collect(), key=lambda r: r["start"])
+    assert [key(r["doc_id"]) for r in got] == sorted(key(i) for i, _, _ in rows)
+    at, text = 0, {i: t for i, t, _ in rows}
+    for r in got:
+        ids = _ids(text[r["doc_id"]], "byte_bpe_50k.json")
+        raw = np.array(ids, dtype="<u4").tobytes()
+        assert (r["start"], r["n_tokens"], r["ids_crc32"], bytes(r["ids"])) == (at, len(ids), zlib.crc32(raw), raw)
+        at += len(ids)
+    dac.write_tokens(empty, str(tmp_path / "e"), public_tokenizers.path("byte_bpe_50k.json"))
+    assert dac.read_documents(spark, str(tmp_path / "e")).count() == 0
+
+
+def brute_components(rows):
+    sets = []
+    for _, t, _ in rows:
+        w = (t or "").encode().lower().split()
+        sets.append({tuple(w[j : j + 5]) for j in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set()))
+    parent = list(range(len(rows)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in combinations(range(len(rows)), 2):
+        n = len(sets[a] & sets[b])
+        if n and 100 * n >= 75 * (len(sets[a]) + len(sets[b]) - n):
+            parent[find(a)] = find(b)
+    low = {}
+    for a, (i, _, _) in enumerate(rows):
+        low[find(a)] = min(low.get(find(a), i), i, key=key)
+    return Counter((i, len(sets[a]), low[find(a)]) for a, (i, _, _) in enumerate(rows))
+
+
+@pytest.mark.parametrize("small", [32, 2])
+def test_op4(docs, rows, empty, monkeypatch, small):
+    monkeypatch.setattr(neardup, "SMALL_BUCKET", small)
+    monkeypatch.setattr(neardup, "BLOCK", 7)
+    got = neardup.near_duplicates(docs).collect()
+    assert Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == brute_components(rows)
+    assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in got)
+    if small == 32:
+        assert neardup.near_duplicates(empty).count() == 0
+        left = [r["doc_id"] for r in neardup.drop_near_duplicates(docs).collect()]
+        assert Counter(left) == Counter({i for i, _, low in brute_components(rows) if i == low})
+
+
+def test_op4_similarity_estimate(spark):
+    a, b = [0x1111, -1], [0x1010, 0]
+    got = spark.createDataFrame([(a, b)], "a array<long>, b array<long>").select(neardup.similarity(F.col("a"), F.col("b"))).first()[0]
+    assert got == pytest.approx((1 - (2 + 16) / 240 - 1 / 16) / (15 / 16))
+
+
+def check_pieces(got, rows, name, limit, limits):
+    text = {i: t for i, t, _ in rows}
+    seqs, per_doc = defaultdict(list), defaultdict(list)
+    for r in got:
+        ids = _ids(text[r["doc_id"]], name)
+        piece = np.array(ids[r["start"] : r["start"] + r["length"]], dtype="<u4").tobytes()
+        assert r["doc_tokens"] == len(ids) and r["ids_crc32"] == zlib.crc32(piece) and len(piece) == 4 * r["length"] > 0
+        seqs[r["sequence_id"]].append((r["offset"], r["length"]))
+        per_doc[r["doc_id"]].append((r["start"], r["length"], len(ids)))
+    copies = Counter(i for i, _, _ in rows)
+    for i, pieces in per_doc.items():
+        covered = Counter(k for s, n, _ in pieces for k in range(s, s + n))
+        assert covered == Counter({k: copies[i] for k in range(pieces[0][2])})
+    assert set(per_doc) == set(copies)
+    for pieces in seqs.values():
+        at = 0
+        for o, n in sorted(pieces):
+            assert o == at
+            at += n
+        assert at <= limit and at & (at - 1) == 0 and len(pieces) <= limits.segments
+
+
+@pytest.mark.parametrize("limits", [packing.Limits(), packing.Limits(64, 5, 50), packing.Limits(256, 2, 256)])
+def test_op5(docs, rows, empty, limits):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    got = packing.pack_documents(docs, path, limits=limits, loss_from=3).collect()
+    check_pieces(got, rows, "word_bpe_49k.json", limits.tokens, limits)
+    loss = defaultdict(int)
+    for r in got:
+        loss[r["sequence_id"]] += max(0, r["length"] - max(0, 3 - r["start"]))
+    assert max(loss.values()) <= limits.loss
+    assert packing.pack_documents(empty, path).count() == 0
+
+
+def test_op6(docs, rows, empty):
+    prepared = docs.withColumn("link", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256))
+    got = sharding.shard_rows(prepared, "link", "doc_id").collect()
+    assert Counter(r["doc_id"] for r in got) == Counter(i for i, _, _ in rows)
+    slots = defaultdict(list)
+    for r in got:
+        slots[r["shard"]].append(r["slot"])
+    assert set(slots) <= set(range(16)) and all(sorted(v) == list(range(len(v))) for v in slots.values())
+    sizes = [len(slots[s]) for s in range(16)]
+    assert max(sizes) - min(sizes) <= 1
+    groups = defaultdict(lambda: [0, set()])
+    for r in got:
+        groups[r["link"]][0] += 1
+        groups[r["link"]][1].add(r["shard"])
+    assert all(len(s) <= max(1, -(-n // min(sizes)) + 1) for n, s in groups.values())
+    assert sharding.shard_rows(empty.withColumn("link", F.lit("a")), "link", "doc_id").count() == 0
+
+
+def brute_targets(rows):
+    size = defaultdict(int)
+    for _, t, s in rows:
+        size[s] += len((t or "").encode().split())
+    order = sorted(size, key=lambda s: (s is None, s or ""))
+    weight = {s: (5, 2, 1)[k % 3] for k, s in enumerate(order)}
+    whole, target, open_ = sum(size.values()), {s: 0.0 for s in order}, set(order)
+    excess = float(whole)
+    while excess > 1e-9 and open_:
+        w = sum(weight[s] for s in open_)
+        for s in open_:
+            target[s] += excess * weight[s] / w
+        excess = 0.0
+        for s in list(open_):
+            if target[s] >= 3 * size[s]:
+                excess += target[s] - 3 * size[s]
+                target[s] = 3.0 * size[s]
+                open_.remove(s)
+    return size, target
+
+
+def test_op7(docs, rows, empty):
+    got = mixing.entropy_balance(docs).collect()
+    size, target = brute_targets(rows)
+    assert len(got) == len(rows)
+    taken, largest = defaultdict(int), max(size.values())
+    for r in got:
+        assert r["source_size"] == size[r["source"]] and r["target"] == pytest.approx(target[r["source"]])
+        assert 0 <= r["copies"] <= 3
+        taken[r["source"]] += r["size"] * r["copies"]
+    for s in size:
+        most = max([r["size"] for r in got if r["source"] == s])
+        assert abs(taken[s] - target[s]) <= most, (s, taken[s], target[s], largest)
+    again = Counter((r["doc_id"], r["size"], r["copies"]) for r in mixing.entropy_balance(docs.repartition(5)).collect())
+    assert again == Counter((r["doc_id"], r["size"], r["copies"]) for r in got)
+    assert mixing.entropy_balance(empty).count() == 0
+    want = Counter()
+    for r in got:
+        want[r["doc_id"]] += r["copies"]
+    mixed = mixing.apply_mix(docs, mixing.entropy_balance(docs))
+    assert mixed.columns == docs.columns and Counter(r["doc_id"] for r in mixed.collect()) == +want
+
+
+def test_pipeline(spark, docs, rows, tmp_path):
+    r = random.Random(8)
+    bad = [(3000 + i, words(r, 30) + " vile foul nasty " + words(r, 5), "s1") for i in range(60)]
+    every = [x for x in rows if x[0] is not None and x[0] != 2] + bad
+    spark.createDataFrame([(i, t, "en", s, len(t or "")) for i, t, s in every], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, 1, int(i >= 3000)) for i, _, _ in every], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    kept = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    names = kept.columns
+    stages = dict(corpus_pipeline.STAGES)
+    clean = stages["toxicity"](spark, kept, str(tmp_path))
+    left = {x["doc_id"] for x in clean.collect()}
+    assert clean.columns == names and len(left & {x[0] for x in bad}) <= 20 and len(left) >= len(every) - 65
+    one = stages["near_dedup"](spark, clean, str(tmp_path))
+    lows = brute_components([x for x in every if x[0] in left])
+    assert one.columns == names and {x["doc_id"] for x in one.collect()} == {i for i, _, low in lows if i == low}
+    mixed = stages["mixing"](spark, one, str(tmp_path))
+    copies = Counter(x["doc_id"] for x in mixed.collect())
+    assert mixed.columns == names
+    pieces = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    text = {i: t for i, t, _ in every}
+    check_pieces(pieces, [(i, text[i], None) for i, n in copies.items() for _ in range(n)], "word_bpe_49k.json", 4096, packing.Limits())
