@@ -108,6 +108,46 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op4_bbit_near_dedup": r"""
+        WITH RECURSIVE w AS (
+            SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+        x AS (SELECT doc_id, len(w) AS n, unnest(w) AS x, unnest(range(len(w))) AS i FROM w),
+        g AS (
+            SELECT doc_id, n, i, concat_ws(' ', x, lead(x) OVER o, lead(x, 2) OVER o, lead(x, 3) OVER o, lead(x, 4) OVER o) AS sh FROM x
+            WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+        u AS (SELECT DISTINCT doc_id, sh FROM g WHERE i = 0 OR i <= n - 5),
+        k AS (SELECT doc_id, count(*) AS n, md5(string_agg(sh, chr(10) ORDER BY sh)) AS h FROM u GROUP BY doc_id),
+        c AS (SELECT h, min(doc_id) AS rep, any_value(n) AS n FROM k GROUP BY h),
+        r AS (SELECT rep, n, sh FROM c JOIN u ON u.doc_id = c.rep),
+        links AS (
+            SELECT a.rep AS a, b.rep AS b FROM r a JOIN r b ON a.sh = b.sh AND a.rep < b.rep GROUP BY a.rep, b.rep, a.n, b.n
+            HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))),
+        edges AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+        reach(rep, r) AS (SELECT rep, rep FROM c UNION SELECT reach.rep, edges.b FROM reach JOIN edges ON reach.r = edges.a),
+        low AS (SELECT rep, min(r) AS low FROM reach GROUP BY rep)
+        SELECT d.doc_id, CAST(coalesce(k.n, 0) AS BIGINT) AS n_shingles, coalesce(low, d.doc_id) AS component_id, coalesce(low, d.doc_id) = d.doc_id AS kept
+        FROM documents d LEFT JOIN k ON d.doc_id = k.doc_id LEFT JOIN c USING (h) LEFT JOIN low USING (rep)""",
+    "op7_entropy_mixing": r"""
+        WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
+        s AS (
+            SELECT source, CAST(sum(size) AS BIGINT) AS source_size, [5.0, 2.0, 1.0][CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS INTEGER)]::DOUBLE AS weight FROM d GROUP BY source),
+        b AS (SELECT *, 3.0::DOUBLE * source_size AS top, 3.0::DOUBLE * source_size / weight AS stop FROM s),
+        l AS (SELECT stop, ((SELECT sum(source_size) FROM b) - coalesce((SELECT sum(top) FROM b x WHERE x.stop < b.stop), 0)) / (SELECT sum(weight) FROM b x WHERE x.stop >= b.stop) AS level FROM b),
+        t AS (SELECT source, source_size, least(top, weight * (SELECT arg_min(level, stop) FROM l WHERE level <= stop)) AS target FROM b),
+        r AS (
+            SELECT doc_id, d.source, size, source_size, target, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate,
+                   row_number() OVER (PARTITION BY d.source ORDER BY size, doc_id) - 1 AS k
+            FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+        m AS (SELECT *, CAST(floor(round((k + 1) * rate, 9) + 0.5) - floor(round(k * rate, 9) + 0.5) AS INTEGER) AS n, CAST(floor(round(rate, 9)) AS INTEGER) AS least_n FROM r),
+        o AS (
+            SELECT *, sum(size * n) OVER (PARTITION BY source) - target AS over, CASE WHEN n > least_n THEN size ELSE 0 END AS up,
+                   CASE WHEN n <= least_n AND round(rate, 9) > least_n THEN size ELSE 0 END AS down
+            FROM m),
+        q AS (
+            SELECT *, sum(up) OVER w AS up_sum, sum(down) OVER w AS down_sum FROM o
+            WINDOW w AS (PARTITION BY source ORDER BY size, doc_id ROWS UNBOUNDED PRECEDING)),
+        f AS (SELECT *, n - CASE WHEN up > 0 AND up_sum <= over THEN 1 ELSE 0 END + CASE WHEN down > 0 AND down_sum <= -over THEN 1 ELSE 0 END AS copies FROM q)
+        SELECT doc_id, size, source_size, target, CAST(size * copies AS BIGINT) AS taken, CAST(copies AS INTEGER) AS copies FROM f""",
     "op8_pivot_topk": """
         WITH v AS (
             SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE)) AS v FROM embeddings
