@@ -23,7 +23,7 @@ def read_pdfs(spark: SparkSession, path: str) -> DataFrame:
     return files.select(F.xxhash64("path").alias("doc_id"), "path", "content")
 
 
-def _each(docs: DataFrame, work, schema: str) -> DataFrame:
+def each_document(docs: DataFrame, work, schema: str) -> DataFrame:
     """work(doc_id, Document) -> rows; schema: of those rows and, at its end, `error`."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
@@ -71,7 +71,7 @@ def sampled_page_facts(docs: DataFrame, config: DetectionConfig = DetectionConfi
             })
         return rows
 
-    return _each(docs, work, f"doc_id long, page_count int, title string, page int, text_ops int, has_images boolean, image_area long, has_template_image boolean, error {ERROR}")
+    return each_document(docs, work, f"doc_id long, page_count int, title string, page int, text_ops int, has_images boolean, image_area long, has_template_image boolean, error {ERROR}")
 
 
 def detect_pdf_types(docs: DataFrame, config: DetectionConfig = DetectionConfig()) -> DataFrame:
@@ -92,7 +92,7 @@ def text_items(docs: DataFrame) -> DataFrame:
         every = (i for n, page in enumerate(doc.pages(), 1) for i in page_items(doc, page, n))
         return [i | {"doc_id": doc_id, "seq": k} for k, i in enumerate(every)]
 
-    return _each(docs, work, f"{ITEM_SCHEMA}, error {ERROR}")
+    return each_document(docs, work, f"{ITEM_SCHEMA}, error {ERROR}")
 
 
 def extract_text(docs: DataFrame) -> DataFrame:
