@@ -319,3 +319,21 @@ QUERIES["tab12_tables"] = lambda spark, d: documents.tables(
     fx_cells(spark, d).select("doc_id", F.lit(1).alias("page"), "seq", F.concat((F.col("seq") % 4).cast("string"), F.lit("."), F.col("seq").cast("string")).alias("text"), "x", "y", F.lit(10.0).alias("width"), F.lit(8.0).alias("height"), F.lit(8.0).alias("font_size"), F.lit("text").alias("item_type"))
     .unionByName(fx_cells(spark, d).where("seq % 4 = 0").select("doc_id", F.lit(2).alias("page"), "seq", F.lit("Body words in the text").alias("text"), "x", "y", F.lit(100.0).alias("width"), F.lit(10.0).alias("height"), F.lit(10.0).alias("font_size"), F.lit("text").alias("item_type")))
 ).select("doc_id", "page", "table_no", F.size("columns").alias("n_columns"), F.size("rows").alias("n_rows"), "markdown")
+
+
+def _two_columns(spark: SparkSession, d: str) -> DataFrame:
+    """Lines of fx_grid as two columns of short words, left and right in turn."""
+    grid = fx_grid(spark, d).withColumn("k", ((F.col("line_no") - 1) % 55).cast("int"))
+    return grid.selectExpr(
+        "doc_id", "page", "CAST(line_no AS BIGINT) AS seq", "concat(CASE WHEN k % 2 = 0 THEN 'L' ELSE 'R' END, k) AS text", "CASE WHEN k % 2 = 0 THEN 72.0D ELSE 330.0D END AS x", "760.0D - 12 * floor(k / 2) AS y",
+        "18.0D AS width", "12.0D AS height", "'F1' AS font", "12.0D AS font_size", "false AS is_bold", "false AS is_italic", "'text' AS item_type",
+    )
+
+
+QUERIES["lay10_sections"] = lambda spark, d: documents.lines(_two_columns(spark, d)).select("doc_id", "page", "line_no", "y", "text")
+ORACLE_SQL["lay10_sections"] = f"""
+    WITH {FX_GRID_SQL},
+    k AS (SELECT doc_id, page, CAST((line_no - 1) % 55 AS INTEGER) AS k, count(*) OVER (PARTITION BY doc_id, page) AS n FROM fx_grid),
+    c AS (SELECT doc_id, page, n >= 20 AS two, CASE WHEN n >= 20 THEN k % 2 ELSE 0 END AS side, k // 2 AS row_no, k, CASE WHEN k % 2 = 0 THEN 'L' ELSE 'R' END || k AS word FROM k),
+    l AS (SELECT doc_id, page, side, row_no, string_agg(word, ' ' ORDER BY k) AS text FROM c GROUP BY doc_id, page, two, side, row_no)
+    SELECT doc_id, page, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY page, side, row_no) AS INTEGER) AS line_no, CAST(760 - 12 * row_no AS DOUBLE) AS y, text FROM l"""
