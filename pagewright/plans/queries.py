@@ -125,7 +125,7 @@ _on_lines(
     lambda x: _footnote(reduce(lambda y, kv: f"replace({y}, '{kv[0]}', '{kv[1]}')", _NOTES.items(), x)),
 )
 
-# Lines as Rust's or Python's line iterators see them: a last, empty one isn't a line.
+# Lines without a last, empty one.
 _REAL_LINES = f"""
     {FX_LINES_SQL},
     ends AS (SELECT *, max(line_no) OVER (PARTITION BY doc_id) AS last_no FROM fx_lines),
