@@ -12,6 +12,18 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
+_HELD: dict[str, object] = {}
+
+
+def hold(name: str, clear) -> None:
+    """Called in a worker before it fills the memory called `name`: workers serve several operators one after the
+    other, so what others have remembered is cleared."""
+    _HELD.setdefault(name, clear)
+    for other, forget in _HELD.items():
+        if other != name:
+            forget()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -14,6 +14,8 @@ import re
 
 import numpy as np
 
+from .common import hold
+
 #: White space other than blanks and line breaks, or beside other white space, or at an end: there the plain
 #: cut would be in wrong places.
 _RARE = re.compile(r"[^\S \n]")
@@ -99,6 +101,7 @@ _ENCODERS: dict[tuple[str, str], PieceEncoder] = {}
 
 def encoder(path: str, separator: str) -> PieceEncoder:
     """One for each worker process."""
+    hold("tokens", _ENCODERS.clear)
     if (path, separator) not in _ENCODERS:
         _ENCODERS.clear()
         _ENCODERS[path, separator] = PieceEncoder(path, separator)

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name
+from .common import free_name, hold
 
 BITS = 20
 #: Labelled rows to learn from, at most (about; a hash of doc_id selects them). Documents to score have no bound.
@@ -30,7 +30,7 @@ class _Words(dict):
     """Hashes of words, remembered up to a bound."""
 
     def __missing__(self, word: str) -> int:
-        if len(self) >= 500_000:
+        if len(self) >= 300_000:
             self.clear()
         self[word] = value = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
         return value
@@ -100,6 +100,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, key: str =
     chosen = own.where(F.pmod(F.xxhash64("key", F.lit(7)), F.lit(1 << 30)) < int(share * (1 << 30)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold("toxicity", _WORDS.clear)
         for b in batches:
             found = [np.unique(features(t)).tobytes() for t in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(found, pa.binary())], ["key", "y", "found"])
@@ -124,6 +125,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", score_column: str =
     def scored(texts):
         import pandas as pd
 
+        hold("toxicity", _WORDS.clear)
         dense = np.zeros(1 << BITS)
         dense[places] = weights
         out = np.empty(len(texts))
