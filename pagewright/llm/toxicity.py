@@ -39,6 +39,10 @@ class _Words(dict):
 _WORDS = _Words()
 
 
+def _hold() -> None:
+    hold("toxicity", _WORDS.clear)
+
+
 def features(text: str | None) -> np.ndarray:
     """Places of all grams of a text, with repeats."""
     words = (text or "").lower().split()
@@ -100,7 +104,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, key: str =
     chosen = own.where(F.pmod(F.xxhash64("key", F.lit(7)), F.lit(1 << 30)) < int(share * (1 << 30)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hold("toxicity", _WORDS.clear)
+        _hold()
         for b in batches:
             found = [np.unique(features(t)).tobytes() for t in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(found, pa.binary())], ["key", "y", "found"])
@@ -125,7 +129,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", score_column: str =
     def scored(texts):
         import pandas as pd
 
-        hold("toxicity", _WORDS.clear)
+        _hold()
         dense = np.zeros(1 << BITS)
         dense[places] = weights
         out = np.empty(len(texts))
