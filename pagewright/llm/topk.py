@@ -23,7 +23,7 @@ PIVOTS = 24
 PIVOT_SAMPLE = 1024
 BLOCK = 4096
 QUERY_BLOCK = 2048
-#: Candidates evaluated at a time.
+#: Candidates evaluated first; each further step takes eight times as many.
 STEP = 256
 
 
@@ -47,6 +47,10 @@ def _exact(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     """Inner products as whole numbers: in doubles where they are exact there, else in Python's numbers."""
     if not len(x) or np.abs(q).max(initial=0) * np.abs(x).max(initial=0) * max(1, len(q)) < 2.0**53:
         return (x @ q).astype(np.int64)
+    return _long(q, x)
+
+
+def _long(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     qs = [int(v) for v in q]
     return np.array([max(-(2**63), min(2**63 - 1, sum(a * int(b) for a, b in zip(qs, row, strict=True)))) for row in x], dtype=np.int64)
 
@@ -62,27 +66,49 @@ def choose_pivots(sample: np.ndarray, n: int = PIVOTS) -> np.ndarray:
     return sample[chosen]
 
 
-def _search(q: np.ndarray, q_uid: np.ndarray, q_table: np.ndarray, x: np.ndarray, ids: np.ndarray, uids: np.ndarray, table: np.ndarray, k: int):
-    """For each query its k best rows of the block: (query, row, score), ties to the smaller id; and how many rows were evaluated."""
+def _reached(q: np.ndarray, q_uids: np.ndarray, sample: np.ndarray, uids: np.ndarray, k: int) -> np.ndarray:
+    """For each query a score that k other rows of the sample reach; minus infinity if it has fewer."""
+    if len(sample) <= k:
+        return np.full(len(q), -np.inf)
+    scores = q @ sample.T
+    scores -= 1e-9 * np.abs(scores)  # beyond 2**53 they are rounded
+    scores[q_uids[:, None] == uids[None]] = -np.inf
+    return np.sort(scores, axis=1)[:, -k]
+
+
+def _search(q: np.ndarray, q_uid: np.ndarray, q_table: np.ndarray, x: np.ndarray, ids: np.ndarray, uids: np.ndarray, table: np.ndarray, k: int, least: np.ndarray | None = None):
+    """For each query its k best rows of the block: (query, row, score), ties to the smaller id; and how many rows were evaluated.
+
+    least: for each query a score that k rows of the whole table are known to reach; rows below it don't count.
+    """
     q_norm, x_norm = (q * q).sum(axis=1), (x * x).sum(axis=1)
+    plain = np.abs(q).max(initial=0) * np.abs(x).max(initial=0) * max(1, x.shape[1]) < 2.0**53  # doubles are exact
     found, evaluated = [], 0
     for i in range(len(q)):
-        low = np.zeros(len(x))
-        for p in range(table.shape[1]):
-            np.maximum(low, np.abs(table[:, p] - q_table[i, p]), out=low)
+        low = np.abs(table - q_table[i]).max(axis=1) if table.shape[1] else np.zeros(len(x))
         # Distances are rounded: the bound gives way by a little more than that.
         upper = (q_norm[i] + x_norm - low * low) / 2 + 1e-9 * (q_norm[i] + x_norm) + 1e-6
-        order = np.argsort(-upper, kind="stable")
-        best: list[tuple[int, int, int, int]] = []
-        for at in range(0, len(order), STEP):
-            some = order[at : at + STEP]
-            if len(best) >= k and upper[some[0]] < -best[k - 1][0]:
-                break
-            scores = _exact(q[i], x[some])
+        floor = -np.inf if least is None else float(least[i])
+        left = np.flatnonzero(upper >= floor)
+        rows, scores = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        step = STEP
+        while len(left):
+            if len(left) > step:  # those with the highest bounds come next
+                top = np.argpartition(-upper[left], step - 1)
+                some, left = left[top[:step]], left[top[step:]]
+                step *= 8
+            else:
+                some, left = left, left[:0]
             evaluated += len(some)
-            best += [(-int(s), int(ids[r]), int(uids[r]), int(r)) for s, r in zip(scores, some, strict=True) if uids[r] != q_uid[i]]
-            best = sorted(best)[:k]
-        found += [(i, r, -s) for s, _, _, r in best]
+            new = (x[some] @ q[i]).astype(np.int64) if plain else _long(q[i], x[some])
+            good = (new >= floor) & (uids[some] != q_uid[i])
+            rows, scores = np.concatenate([rows, some[good]]), np.concatenate([scores, new[good]])
+            best = np.lexsort((uids[rows], ids[rows], -scores))[:k]
+            rows, scores = rows[best], scores[best]
+            if len(rows) == k:
+                floor = max(floor, float(scores[-1]))
+                left = left[upper[left] >= floor]
+        found += [(i, int(r), int(s)) for r, s in zip(rows, scores, strict=True)]
     return found, evaluated
 
 
@@ -98,41 +124,45 @@ def top_k(vectors: DataFrame, is_query, k: int = 5, key: str = "vec_id", vector:
     rows = vectors.select(F.col(key).alias("id"), quantized(F.col(vector)).alias("v"), F.coalesce(is_query, F.lit(False)).alias("q"), F.monotonically_increasing_id().alias("uid"))
     rows = stored(rows.where(F.col("v").isNotNull() & F.col("id").isNotNull()), "vectors")
     width = rows.agg(F.max(F.size("v"))).first()[0] or 0
-    sample = rows.select("v").limit(PIVOT_SAMPLE).toArrow()["v"].combine_chunks() if width else None
-    pivots = choose_pivots(_matrix(sample, width)) if width else np.zeros((0, 0))
+    some = rows.select("v", "uid").limit(PIVOT_SAMPLE).toArrow()
+    sample = _matrix(some["v"].combine_chunks(), width) if width else np.zeros((0, 0))
+    sample_uids = some["uid"].to_numpy()
+    pivots = choose_pivots(sample) if width else np.zeros((0, 0))
 
-    def blocks(size: int):
+    def blocks(size: int, with_least: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 for at in range(0, b.num_rows, size):
                     some = b.slice(at, size)
                     m = _matrix(some.column(1), width)
                     t = np.sqrt(np.maximum(0, ((m[:, None, :] - pivots[None]) ** 2).sum(axis=2)) if len(m) * len(pivots) * width < 50_000_000 else np.stack([((m - p) ** 2).sum(axis=1) for p in pivots], axis=1))
-                    cols = [some.column(0).to_numpy().astype("<i8").tobytes(), some.column(2).to_numpy().astype("<i8").tobytes(), m.astype("<f8").tobytes(), t.astype("<f8").tobytes()]
-                    yield pa.RecordBatch.from_arrays([pa.array([c], pa.binary()) for c in cols], ["ids", "uids", "m", "t"])
+                    uids = some.column(2).to_numpy()
+                    cols = [some.column(0).to_numpy().astype("<i8").tobytes(), uids.astype("<i8").tobytes(), m.astype("<f8").tobytes(), t.astype("<f8").tobytes()]
+                    cols.append(_reached(m, uids, sample, sample_uids, k).astype("<f8").tobytes() if with_least else b"")
+                    yield pa.RecordBatch.from_arrays([pa.array([c], pa.binary()) for c in cols], ["ids", "uids", "m", "t", "least"])
 
         return run
 
-    packed = "ids binary, uids binary, m binary, t binary"
+    packed = "ids binary, uids binary, m binary, t binary, least binary"
     numbered = lambda df, name: df.withColumn(name, F.monotonically_increasing_id())
-    x = stored(numbered(rows.select("id", "v", "uid").mapInArrow(blocks(BLOCK), packed), "xb"), "blocks")
-    q = stored(numbered(rows.where("q").select("id", "v", "uid").mapInArrow(blocks(QUERY_BLOCK), packed), "qb"), "query_blocks")
+    x = stored(numbered(rows.select("id", "v", "uid").mapInArrow(blocks(BLOCK, False), packed), "xb"), "blocks")
+    q = stored(numbered(rows.where("q").select("id", "v", "uid").mapInArrow(blocks(QUERY_BLOCK, True), packed), "qb"), "query_blocks")
     # Every block of queries meets every block of rows, in a task of its own: the pairs of block numbers are dealt out.
     pairs = q.select("qb").join(x.select("xb"), F.lit(True))
     met = (
-        pairs.join(x, "xb").join(q.select("qb", F.col("ids").alias("q_ids"), F.col("uids").alias("q_uids"), F.col("m").alias("q_m"), F.col("t").alias("q_t")), "qb")
-        .select("q_ids", "q_uids", "q_m", "q_t", "ids", "uids", "m", "t")
+        pairs.join(x, "xb").join(q.select("qb", F.col("ids").alias("q_ids"), F.col("uids").alias("q_uids"), F.col("m").alias("q_m"), F.col("t").alias("q_t"), F.col("least").alias("q_least")), "qb")
+        .select("q_ids", "q_uids", "q_m", "q_t", "ids", "uids", "m", "t", "q_least")
     )
     n_pivots = len(pivots)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(b.num_rows):
-                raw = [b.column(c)[i].as_buffer() for c in range(8)]
+                raw = [b.column(c)[i].as_buffer() for c in range(9)]
                 q_ids, q_uids, ids, uids = (np.frombuffer(raw[c], "<i8") for c in (0, 1, 4, 5))
                 qm, xm = np.frombuffer(raw[2], "<f8").reshape(len(q_ids), width), np.frombuffer(raw[6], "<f8").reshape(len(ids), width)
                 qt, xt = np.frombuffer(raw[3], "<f8").reshape(len(q_ids), n_pivots), np.frombuffer(raw[7], "<f8").reshape(len(ids), n_pivots)
-                found, _ = _search(qm, q_uids, qt, xm, ids, uids, xt, k)
+                found, _ = _search(qm, q_uids, qt, xm, ids, uids, xt, k, np.frombuffer(raw[8], "<f8"))
                 if found:
                     a, r, s = (np.array(c) for c in zip(*found, strict=True))
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (q_ids[a], q_uids[a], ids[r], uids[r], s)], ["query_id", "query_uid", "vec_id", "uid", "score"])
