@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import hold, stored
 
 WORDS_PER_SHINGLE = 5
 #: Link: 100 * intersection >= PERCENT * union.
@@ -40,7 +40,7 @@ _BAND_MULTIPLIERS = np.random.default_rng(20240918).integers(0, 2**64, (BANDS, R
 
 class _Words(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 500_000:
+        if len(self) >= 300_000:
             self.clear()
         self[word] = value = xxhash.xxh3_64_intdigest(word)
         return value
@@ -49,6 +49,10 @@ class _Words(dict):
 _WORDS = _Words()
 
 
+def _hold() -> None:
+    hold("neardup", _WORDS.clear)
+
+
 def shingles(text: bytes | None) -> np.ndarray:
     """Sorted 64-bit hashes of the distinct shingles of a text in UTF-8: five words each, A-Z lower-cased;
     with fewer words the whole sequence is one."""
@@ -75,6 +79,7 @@ def minima(found: np.ndarray) -> np.ndarray:
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    _hold()
     for batch in batches:
         for at in range(0, batch.num_rows, 1000):
             part = batch.slice(at, 1000)
@@ -124,9 +129,8 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, signed: DataFrame) -> DataFrame:
-    """Of pairs (a, b) of nodes those that are links, worked out on the full sets of the two texts."""
-    nodes = pairs.select(F.col("a").alias("uid")).unionByName(pairs.select(F.col("b").alias("uid"))).distinct()
+def _full_sets(nodes: DataFrame, docs: DataFrame, signed: DataFrame) -> DataFrame:
+    """(uid, found): shingle hashes of the texts of nodes (uid), as bytes."""
     needed = stored(nodes.join(signed.select("uid", "key", "th1", "th2"), "uid"), "needed").alias("w")
     # A bitmap of fixed size drops most other texts before the shuffle; the join that follows is exact.
     slot = lambda: F.pmod(F.col("th1"), F.lit(_BITMAP))
@@ -136,21 +140,29 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, signed: DataFrame) -> DataFram
     own = some.alias("d").join(needed, F.expr("d.th1 = w.th1 AND d.th2 = w.th2 AND d.key <=> w.key")).select("w.uid", "d.text")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _hold()
         for b in batches:
             for at in range(0, b.num_rows, 1000):
                 part = b.slice(at, 1000)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([shingles(t).tobytes() for t in part.column(1).to_pylist()], pa.binary())], ["uid", "found"])
 
-    full = stored(own.mapInArrow(sets, "uid long, found binary"), "sets")
+    return stored(own.mapInArrow(sets, "uid long, found binary"), "sets")
+
+
+def _is_link(x: np.ndarray, y: np.ndarray) -> bool:
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * both >= PERCENT * (len(x) + len(y) - both)
+
+
+def _confirmed(pairs: DataFrame, docs: DataFrame, signed: DataFrame) -> DataFrame:
+    """Of pairs (a, b) of nodes those that are links, worked out on the full sets of the two texts."""
+    nodes = pairs.select(F.col("a").alias("uid")).unionByName(pairs.select(F.col("b").alias("uid"))).distinct()
+    full = _full_sets(nodes, docs, signed)
     left, right = full.select(F.col("uid").alias("a"), F.col("found").alias("fa")), full.select(F.col("uid").alias("b"), F.col("found").alias("fb"))
 
     def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keep = []
-            for i in range(b.num_rows):
-                x, y = (np.frombuffer(b.column(c)[i].as_buffer(), np.uint64) for c in (2, 3))
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * both >= PERCENT * (len(x) + len(y) - both))
+            keep = [_is_link(*(np.frombuffer(b.column(c)[i].as_buffer(), np.uint64) for c in (2, 3))) for i in range(b.num_rows)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return stored(pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "fa", "fb").mapInArrow(links, "a long, b long").distinct(), "links")
@@ -171,32 +183,55 @@ def _crossing(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     return named.withColumns({"la": F.coalesce("la", "a"), "lb": F.coalesce("lb", "b")}).where("la <> lb")
 
 
-def _across(members: DataFrame) -> DataFrame:
-    """From members (bucket, uid, label, size, n, sig) of buckets with several components: (a, b, estimate) of
-    all likely pairs of different components."""
+def _across_small(members: DataFrame) -> DataFrame:
+    """(a, b) of all likely pairs of different components in buckets up to SMALL_BUCKET, from members (bucket, uid,
+    label, size, n, sig)."""
     small = members.where(F.col("size") <= SMALL_BUCKET)
     x, y = small.alias("x"), small.alias("y")
-    pairs = x.join(y, F.expr("x.bucket = y.bucket AND x.label < y.label AND 100 * least(x.n, y.n) >= 75 * greatest(x.n, y.n)".replace("75", str(PERCENT))))
-    joined = pairs.select(F.col("x.uid").alias("a"), F.col("y.uid").alias("b"), similarity(F.col("x.sig"), F.col("y.sig")).alias("estimate")).where(F.col("estimate") >= LEAST_ESTIMATE)
-
-    # Large buckets: members are dealt into blocks, and each pair of blocks is compared in a task, bit by bit.
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    large = members.where(F.col("size") > SMALL_BUCKET).withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("uid"), F.col("blocks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    dealt = large.withColumn("other", other).select(
-        "bucket", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), (F.col("block") <= F.col("other")).alias("first"), (F.col("block") >= F.col("other")).alias("second"), "uid", "label", "n", "sig"
-    )
+    sizes = 100 * F.least("x.n", "y.n") >= PERCENT * F.greatest("x.n", "y.n")
+    pairs = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.label") < F.col("y.label")) & sizes)
+    likely = pairs.where(similarity(F.col("x.sig"), F.col("y.sig")) >= LEAST_ESTIMATE)
+    return likely.select(F.least("x.uid", "y.uid").alias("a"), F.greatest("x.uid", "y.uid").alias("b")).distinct()
+
+
+def _links_of_large(members: DataFrame, docs: DataFrame, signed: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Links (a, b) between different components in buckets over SMALL_BUCKET: enough of them to join whatever is linked.
+
+    Members outside a bucket's largest component meet all members, in pairs of blocks; a pair is looked at in the
+    first bucket that it shares, first by its packed bits and then on the full sets, unless links found before in
+    the task have joined its components. So a task gives fewer links than it has members.
+    """
+    large = members.where(F.col("size") > SMALL_BUCKET).select("bucket", "band", "uid", "label", "size")
+    by_label = large.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("k"))
+    main = by_label.groupBy("bucket").agg(F.max_by("label", "k").alias("main"), (F.sum("k") - F.max("k")).alias("others"))
+    marked = stored(large.join(main, "bucket"), "large")
+    if not marked.limit(1).count():
+        return marked.select(F.col("uid").alias("a"), F.col("uid").alias("b")).limit(0)
+    found = _full_sets(marked.select("uid").distinct(), docs, signed)
+    facts = nodes.select("uid", "n", "sig", "bands").join(found, "uid")
+    some = lambda k, of: F.pmod(F.xxhash64("uid", F.lit(k)), F.ceil(of / BLOCK)).cast("int")
+    every = lambda of: F.explode(F.sequence(F.lit(0), F.ceil(of / BLOCK).cast("int") - 1))
+    minor = marked.where("label <> main")
+    left = minor.withColumns({"p": some(1, F.col("others")), "side": F.lit(0)}).withColumn("q", every(F.col("size")))
+    right = marked.withColumns({"q": some(2, F.col("size")), "side": F.lit(1)}).withColumn("p", every(F.col("others")))
+    dealt = left.unionByName(right).select("bucket", "band", "p", "q", "side", "uid", "label").join(facts, "uid")
 
     def compare(t: pa.Table) -> pa.Table:
         get = lambda c: t[c].combine_chunks().to_numpy(zero_copy_only=False)
-        sig = np.array(t["sig"].to_pylist(), dtype=np.int64).view(np.uint64)
-        uid, label, n, first, second = (get(c) for c in ("uid", "label", "n", "first", "second"))
-        names, inverse, counts = np.unique(label, return_inverse=True, return_counts=True)
-        out: list[list] = [[], [], []]
-        rows = np.arange(len(uid))
-        first, second = first.astype(bool), second.astype(bool)
-        for i in np.flatnonzero(inverse != counts.argmax()) if len(names) > 1 else ():  # all but the largest component's
-            j = rows[(label != label[i]) & ((first[i] & second) | (second[i] & first))]
+        matrix = lambda c: np.array(t[c].to_pylist(), dtype=np.int64)
+        uid, label, n, side, band = (get(c) for c in ("uid", "label", "n", "side", "band"))
+        sig, bands, sets = matrix("sig").view(np.uint64), matrix("bands"), t["found"].combine_chunks()
+        right = np.flatnonzero(side == 1)
+        parent: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            while parent.get(x, x) != x:
+                x = parent[x]
+            return x
+
+        out: list[tuple[int, int]] = []
+        for i in np.flatnonzero(side == 0):
+            j = right[label[right] != label[i]]
             j = j[100 * np.minimum(n[i], n[j]) >= PERCENT * np.maximum(n[i], n[j])]
             d = sig[j] ^ sig[i]
             d |= d >> _U(1)
@@ -204,14 +239,18 @@ def _across(members: DataFrame) -> DataFrame:
             unlike = np.bitwise_count(d & _U(0x1111111111111111)).sum(axis=1)
             est = (1 - unlike / _HASHES - 1 / 2**BITS) / (1 - 1 / 2**BITS)
             ok = est >= LEAST_ESTIMATE
-            out[0] += [uid[i]] * int(ok.sum())
-            out[1] += uid[j[ok]].tolist()
-            out[2] += est[ok].tolist()
-        return pa.table({"a": pa.array(out[0], pa.int64()), "b": pa.array(out[1], pa.int64()), "estimate": pa.array(out[2], pa.float64())})
+            j, est = j[ok], est[ok]
+            first = (bands[j] == bands[i]).argmax(axis=1) == band[i]
+            j, est = j[first], est[first]
+            x = np.frombuffer(sets[int(i)].as_buffer(), np.uint64)
+            for k in j[np.argsort(-est, kind="stable")]:
+                a, b = find(int(label[i])), find(int(label[k]))
+                if a != b and _is_link(x, np.frombuffer(sets[int(k)].as_buffer(), np.uint64)):
+                    parent[max(a, b)] = min(a, b)
+                    out.append((int(uid[i]), int(uid[k])))
+        return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
 
-    compared = dealt.groupBy("bucket", "p", "q").applyInArrow(compare, "a long, b long, estimate double")
-    every = joined.unionByName(compared).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "estimate")
-    return every.groupBy("a", "b").agg(F.max("estimate").alias("estimate"))
+    return stored(dealt.groupBy("bucket", "p", "q").applyInArrow(compare, "a long, b long").distinct(), "links")
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -232,11 +271,11 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     nodes = stored(signed.join(classes.select(F.col("rep").alias("uid")), "uid", "left_semi").select("uid", "n", "sig", "bands"), "nodes")
 
     # Bucket: a band's number and hash. Only buckets of several texts matter.
-    buckets = nodes.select("uid", F.posexplode("bands").alias("band", "hash")).select("uid", F.xxhash64("band", "hash").alias("bucket"))
+    buckets = nodes.select("uid", F.posexplode("bands").alias("band", "hash")).select("uid", "band", F.xxhash64("band", "hash").alias("bucket"))
     # Its centre is any of them, another one in each bucket, so that a text meets many of its like.
     mask = F.col("bucket").bitwiseAND(F.lit((1 << 62) - 1))
     full = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min(F.col("uid").bitwiseXOR(mask)).alias("low")).where("size > 1")
-    members = stored(buckets.join(full, "bucket").select("bucket", "uid", "size", F.col("low").bitwiseXOR(mask).alias("centre")), "members")
+    members = stored(buckets.join(full, "bucket").select("bucket", "band", "uid", "size", F.col("low").bitwiseXOR(mask).alias("centre")), "members")
     stars = members.where("uid <> centre").select(F.least("centre", "uid").alias("a"), F.greatest("centre", "uid").alias("b")).distinct()
     likely = stored(_likely(stars, nodes), "likely")
     likeliest = W.partitionBy("b").orderBy(F.desc("estimate"), "a")
@@ -249,27 +288,14 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     labels = components(links)
     tested = tested.unionByName(more)
 
-    def mixed(labels: DataFrame) -> DataFrame:
-        named = members.join(labels, F.col("uid") == F.col("node"), "left").withColumn("label", F.coalesce("label", "uid")).select("bucket", "uid", "size", "label")
-        several = named.groupBy("bucket").agg((F.min("label") != F.max("label")).alias("several")).where("several").select("bucket")
-        return named.join(several, "bucket").join(nodes.select("uid", "n", "sig"), "uid")
-
-    waiting = stored(_across(mixed(labels)).join(tested, ["a", "b"], "left_anti"), "waiting")
-    for turn in range(4):
-        n = waiting.count()
-        if not n:
-            break
-        whole = n <= 200_000 or turn == 3
-        some = waiting.select("a", "b")
-        if not whole:  # the likeliest pairs of each two components first: most others then lie within a component
-            waiting = stored(_crossing(waiting, labels), "waiting")
-            lot = W.partitionBy(F.least("la", "lb"), F.greatest("la", "lb")).orderBy(F.desc("estimate"), "a", "b")
-            some = stored(waiting.withColumn("r", F.row_number().over(lot)).where("r <= 8").select("a", "b"), "some")
-        links = stored(links.unionByName(_confirmed(some, own, signed)), "links")
-        labels = components(links)
-        if whole:
-            break
-        waiting = stored(waiting.select("a", "b", "estimate").join(some, ["a", "b"], "left_anti"), "waiting")
+    # What is left: buckets that still hold several components.
+    of = members.join(labels, F.col("uid") == F.col("node"), "left").withColumn("label", F.coalesce("label", "uid")).select("bucket", "band", "uid", "size", "label")
+    several = of.groupBy("bucket").agg((F.min("label") != F.max("label")).alias("several")).where("several").select("bucket")
+    mixed = stored(of.join(several, "bucket"), "mixed")
+    waiting = stored(_across_small(mixed.join(nodes.select("uid", "n", "sig"), "uid")).join(tested, ["a", "b"], "left_anti"), "waiting")
+    new = _confirmed(waiting, own, signed).unionByName(_links_of_large(mixed, own, signed, nodes))
+    if new.limit(1).count():
+        labels = components(links.unionByName(new))
 
     named = classes.join(labels, F.col("rep") == F.col("node"), "left").withColumn("label", F.coalesce("label", "rep"))
     lowest = named.groupBy("label").agg(F.min("least").alias("component"))
