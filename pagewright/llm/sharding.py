@@ -81,6 +81,10 @@ def shard_rows(rows: DataFrame, link: str, key: str, shards: int = SHARDS, round
     links = base.where(F.col(link).isNotNull()).join(groups, F.col(link) == F.col("__g"), "left_semi").select(F.col(uid).alias("id"), F.col(lk).alias("link"))
     linked = stored(links.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int")), "linked")
     linked = propagate(linked, shards, room, rounds)
+    # What a link could not bring to its main shard is dealt out in one piece, with the rows without links.
+    counts = linked.groupBy("link", "shard").agg(F.count(F.lit(1)).alias("n"))
+    main = counts.groupBy("link").agg(F.max(F.struct("n", "shard")).alias("top")).select(F.col("link").alias("of"), F.col("top.shard").alias("main"))
+    linked = stored(linked.join(main, (F.col("link") == F.col("of")) & (F.col("shard") == F.col("main")), "left_semi"), "whole")
     # Quotas: of a shard's linked rows as many stay as it holds, the rest are dealt out with those without links.
     ranked = ordered(linked, ["shard", "link", "id"])
     held = {r["shard"]: r["count"] for r in linked.groupBy("shard").count().collect()}  # a row for each shard
