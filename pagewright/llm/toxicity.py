@@ -3,7 +3,8 @@
 Features of a text (all of it): which words, pairs of neighbours and pairs with one word between occur,
 lower-cased, each hashed to one of 2**BITS places. FTRL-proximal learns with a rate for each coordinate,
 and its L1 term keeps all but a few thousand weights at exactly zero, so the model is a short list of
-places and weights that goes to every task.
+places and weights that goes to every task. A text is as toxic as the most toxic of its overlapping
+windows, so that a score depends on what a text says and not on how many grams it has.
 """
 
 from __future__ import annotations
@@ -19,7 +20,9 @@ from pyspark.sql import functions as F
 
 from .common import free_name, hold
 
-BITS = 20
+BITS = 32
+#: Words of a window; the next one starts half of it later. A text of up to so many words is one window.
+WINDOW = 512
 #: Labelled rows to learn from, at most (about; a hash of doc_id selects them). Documents to score have no bound.
 TRAIN_ROWS = 18_000
 THRESHOLD = 0.3
@@ -52,14 +55,14 @@ def features(text: str | None) -> np.ndarray:
     x = np.concatenate([w, pairs, skips])
     x ^= x >> _U(31)
     x *= _U(0xFF51AFD7ED558CCD)
-    return (x >> _U(64 - BITS)).astype(np.int32)
+    return (x >> _U(64 - BITS)).astype(np.uint32)
 
 
 @dataclass(frozen=True)
 class Model:
-    """Weights that aren't zero. A model that saw no example scores 0."""
+    """Weights that aren't zero, in ascending order of places. A model that saw no example scores 0."""
 
-    places: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int32))
+    places: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint32))
     weights: np.ndarray = field(default_factory=lambda: np.zeros(0))
     bias: float = -np.inf
 
@@ -68,7 +71,17 @@ def fit(examples: list[tuple[np.ndarray, int]], alpha: float = 0.5, beta: float
     """FTRL-proximal over (distinct places, label 0 or 1) in the order given; an example of label 1 counts `positive` times."""
     if not examples:
         return Model()
-    z, n = np.zeros(1 << BITS), np.zeros(1 << BITS)
+    # A place's z moves by less than max(1, positive) at each of its examples, so a place of fewer keeps weight 0.
+    known, examples_of = np.unique(np.concatenate([f for f, _ in examples]), return_counts=True)
+    known = known[examples_of * epochs * max(1.0, positive) > l1]
+    del examples_of
+
+    def numbers(f: np.ndarray) -> np.ndarray:
+        at = np.searchsorted(known, f)
+        return at[known.take(at, mode="clip") == f].astype(np.int32) if len(known) else np.zeros(0, np.int32)
+
+    examples = [(numbers(f), y) for f, y in examples]
+    z, n = np.zeros(len(known)), np.zeros(len(known))
     bz = bn = 0.0
 
     def weights(z, n):
@@ -86,7 +99,7 @@ def fit(examples: list[tuple[np.ndarray, int]], alpha: float = 0.5, beta: float
             bn += g * g
     w = weights(z, n)
     at = np.flatnonzero(w)
-    return Model(at.astype(np.int32), w[at], float(-bz * alpha / (beta + np.sqrt(bn))))
+    return Model(known[at], w[at], float(-bz * alpha / (beta + np.sqrt(bn))))
 
 
 def held_out(key: str = "doc_id"):
@@ -113,30 +126,47 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, key: str =
     kind = docs.schema[key].dataType.simpleString()
     got = table.mapInArrow(run, f"key {kind}, y int, found binary").toArrow()
     rank = sorted(range(got.num_rows), key=lambda i: (xxhash.xxh3_64_intdigest(str(got["key"][i].as_py())), got["found"][i].as_py()))
-    return fit([(np.frombuffer(got["found"][i].as_py(), np.int32), got["y"][i].as_py()) for i in rank])
+    return fit([(np.frombuffer(got["found"][i].as_py(), np.uint32), got["y"][i].as_py()) for i in rank])
+
+
+def logit(text: str | None, model: Model, some: np.ndarray) -> float:
+    """The bias and the weights of the distinct grams of a window, for the window where that is most. `some`: which
+    upper halves of 32 bits begin a place of the model."""
+    x = features(text)
+    hits = np.flatnonzero(some[x >> np.uint32(BITS - 16)])
+    at = np.searchsorted(model.places, x[hits])
+    real = model.places.take(at, mode="clip") == x[hits] if len(hits) else np.zeros(0, bool)
+    hits, at = hits[real], at[real]
+    n = len((text or "").split()) if len(x) > 3 * WINDOW - 3 else 0
+    if n <= WINDOW:
+        return float(model.weights[np.unique(at)].sum() + model.bias)
+    span = 1 + (hits >= n) + (hits >= 2 * n - 1)  # words, then pairs, then pairs with one between
+    start = hits - np.choose(span - 1, [0, n, 2 * n - 1])
+    order = np.argsort(start, kind="stable")
+    start, stop, at = start[order], (start + span)[order], at[order]
+    most = -np.inf
+    for a in range(0, n - WINDOW // 2, WINDOW // 2):
+        here = slice(*np.searchsorted(start, (a, a + WINDOW)))
+        most = max(most, model.weights[np.unique(at[here][stop[here] <= a + WINDOW])].sum())
+    return float(most + model.bias)
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", score_column: str = "score") -> DataFrame:
-    """docs with the score of each whole text (0 to 1; null and empty texts: the model's bias alone).
+    """docs with the score of each text, the highest of its windows over all of it (0 to 1; null and empty texts: the model's bias alone).
 
     Every row gets its score, repeats too. The score column goes last; a column of docs by that name is
     replaced. An empty table stays empty.
     """
     name = free_name(docs, "toxicity_score")
-    places, weights, bias = model.places, model.weights, model.bias
 
     @F.pandas_udf("double")
     def scored(texts):
         import pandas as pd
 
         _hold()
-        dense = np.zeros(1 << BITS)
-        dense[places] = weights
-        out = np.empty(len(texts))
-        for i, t in enumerate(texts):
-            f = features(t)
-            f = np.unique(f[dense[f] != 0])
-            out[i] = dense[f].sum() + bias
+        some = np.zeros(1 << 16, bool)
+        some[model.places >> np.uint32(BITS - 16)] = True
+        out = np.array([logit(t, model, some) for t in texts], dtype=float)
         return pd.Series(1 / (1 + np.exp(-np.clip(out, -700, 700))))
 
     keep = [c for c in docs.columns if c.lower() != score_column.lower()]

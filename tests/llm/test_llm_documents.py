@@ -143,6 +143,26 @@ def test_op2(spark, empty):
     assert set(docs.join(labels, "doc_id").select(toxicity.held_out()).distinct().toPandas().iloc[:, 0]) == {True, False}
 
 
+def test_op2_long_texts(spark):
+    """A score depends on what a text says, not on its length."""
+    r = random.Random(6)
+    vocabulary = ["".join(r.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(3000)]
+    some = lambda n: r.choices(vocabulary, k=n)
+    rows = [(i, " ".join(some(40) + ["vile", "foul", "nasty"] * (i % 4 == 0) + some(20)), int(i % 4 == 0)) for i in range(1200)]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    model = toxicity.train(docs, spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int"))
+    assert len(model.places) and (np.diff(model.places.astype(np.int64)) > 0).all()
+    clean = some(500_000)
+    bad = [*clean[:250_000], "vile", "foul", "nasty", *clean[250_000:]]
+    texts = [clean[:60], clean[:513], clean[:90_000], clean, bad, clean + bad[250_000:250_003], bad[250_000:250_003] + clean]
+    long = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string").repartition(2)
+    got = [x["score"] for x in toxicity.score(long, model).orderBy("doc_id").collect()]
+    assert max(got[:4]) < toxicity.THRESHOLD <= min(got[4:]), got
+    others = np.unique(np.concatenate([toxicity.features(f"other{i}") for i in range(2000)]))
+    crowded = toxicity.Model(others, np.full(len(others), 0.1), -2.0)  # none of its grams occurs
+    assert max(x["score"] for x in toxicity.score(long.limit(4), crowded).collect()) < 0.2
+
+
 @pytest.mark.parametrize(("name", "separator"), [("byte_bpe_50k.json", "\n"), ("word_bpe_49k.json", " \x01 ")])
 def test_pieces_give_the_librarys_ids(name, separator):
     r = random.Random(2)
