@@ -253,21 +253,16 @@ def _links_of_large(members: DataFrame, docs: DataFrame, signed: DataFrame, node
     return stored(dealt.groupBy("bucket", "p", "q").applyInArrow(compare, "a long, b long").distinct(), "links")
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """A row for each row of docs: (key, n_shingles, component_id, kept).
-
-    component_id: the smallest key that is reachable over links; kept: the row's key is that key. Links hold
-    between texts of which 100 * intersection >= 75 * union of the shingle sets. Null and empty texts, and
-    texts of white space, have no shingle and no link. Null keys come after all others: a row without a key
-    gets its component's id, null if that has none. Rows that repeat are linked with each other. Other
-    columns of docs play no part. An empty table gives no rows.
-    """
+def _labelled(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, th1, th2, n, set_hash, first) for each row of docs: two hashes of its text and the first row (no, key, th1,
+    th2) of its component, in order of keys with nulls last; null for a row without shingles."""
     own = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text"))
     own = own.withColumns({"th1": F.xxhash64("text"), "th2": F.xxhash64(F.lit(1), "text")})
     kind = docs.schema[key].dataType.simpleString()
     signed = own.select("key", "text", "th1", "th2").mapInArrow(_sign, f"key {kind}, th1 long, th2 long, n long, set_hash binary, bands array<long>, sig array<long>")
     signed = stored(signed.withColumn("uid", F.monotonically_increasing_id()), "signed")
-    classes = stored(signed.where("n > 0").groupBy("set_hash").agg(F.min("uid").alias("rep"), F.min("key").alias("least")), "classes")
+    row = F.struct(F.col("key").isNull().alias("no"), "key", "th1", "th2")
+    classes = stored(signed.where("n > 0").groupBy("set_hash").agg(F.min("uid").alias("rep"), F.min(row).alias("least")), "classes")
     nodes = stored(signed.join(classes.select(F.col("rep").alias("uid")), "uid", "left_semi").select("uid", "n", "sig", "bands"), "nodes")
 
     # Bucket: a band's number and hash. Only buckets of several texts matter.
@@ -298,15 +293,33 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
         labels = components(links.unionByName(new))
 
     named = classes.join(labels, F.col("rep") == F.col("node"), "left").withColumn("label", F.coalesce("label", "rep"))
-    lowest = named.groupBy("label").agg(F.min("least").alias("component"))
-    of = stored(named.join(lowest, "label").select("set_hash", "component"), "components")
-    joined = signed.select("key", "n", "set_hash").join(of, "set_hash", "left")  # a hot class: split by adaptive execution
-    component = F.when(F.col("set_hash").isNull(), F.col("key")).otherwise(F.col("component"))
+    lowest = named.groupBy("label").agg(F.min("least").alias("first"))
+    of = stored(named.join(lowest, "label").select("set_hash", "first"), "components")
+    return signed.select("key", "th1", "th2", "n", "set_hash").join(of, "set_hash", "left")  # a hot class: split by adaptive execution
+
+
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """A row for each row of docs: (key, n_shingles, component_id, kept).
+
+    component_id: the smallest key that is reachable over links; kept: the row's key is that key. Links hold
+    between texts of which 100 * intersection >= 75 * union of the shingle sets. Null and empty texts, and
+    texts of white space, have no shingle and no link. Null keys come after all others: a row without a key
+    gets its component's id, null if that has none. Rows that repeat are linked with each other. Other
+    columns of docs play no part. An empty table gives no rows.
+    """
+    joined = _labelled(docs, key, text)
+    component = F.when(F.col("set_hash").isNull(), F.col("key")).otherwise(F.col("first.key"))
     return joined.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("key").eqNullSafe(component).alias("kept"))
 
 
 def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs without the rows whose component has a smaller key; of rows equal in key and text one stays."""
-    gone = stored(near_duplicates(docs, key, text).where(~F.col("kept")).select(F.col(key).alias("gone_key")).distinct(), "gone")
-    left = docs.alias("d").join(gone.alias("g"), F.expr(f"d.`{key}` <=> g.gone_key"), "left_anti")
-    return left.dropDuplicates([key, text]) if docs.groupBy(F.col(f"`{key}`")).count().where("count > 1").limit(1).count() else left
+    """One row of each component of docs: that of the smallest key (nulls last), of several the one whose text has the
+    smallest hash. Rows without shingles are their own components; of rows equal in key and text one stays."""
+    rows = stored(_labelled(docs, key, text).select("key", "th1", "th2", "first"), "rows")
+    here = F.struct(F.col("key").isNull().alias("no"), "key", "th1", "th2")
+    gone = rows.where(F.col("first").isNotNull() & ~here.eqNullSafe(F.col("first"))).select("key", "th1", "th2").distinct()
+    own = F.coalesce(F.col(f"d.`{text}`"), F.lit("")).cast("binary")
+    same = F.col(f"d.`{key}`").eqNullSafe(F.col("g.key")) & (F.xxhash64(own) == F.col("g.th1")) & (F.xxhash64(F.lit(1), own) == F.col("g.th2"))
+    left = docs.alias("d").join(gone.alias("g"), same, "left_anti")
+    repeats = rows.groupBy("key", "th1", "th2").count().where("count > 1").limit(1).count()
+    return left.dropDuplicates([key, text]) if repeats else left

@@ -247,6 +247,21 @@ def test_op4(docs, rows, empty, monkeypatch, small):
         assert Counter(left) == Counter({i for i, _, low in brute_components(rows) if i == low})
 
 
+def test_op4_drops_rows(spark):
+    """Rows that share a key, or have none, stay or go one by one."""
+    r = random.Random(9)
+    a, b, c, d, e = (words(r, 40) for _ in range(5))
+    near = e + " end"  # 36 of 37 shingles
+    rows = [(5, a), (None, a), (None, b), (3, c), (7, c), (7, d), (None, e), (None, near), (9, b.upper()), (8, None), (8, ""), (11, near + " x"), (11, near)]
+    got = neardup.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    left = Counter((x["doc_id"], x["text"]) for x in got)
+    family = [x for x in left if x[0] == 11]
+    assert len(family) == 1 and family[0] in rows
+    assert left == Counter([(5, a), (3, c), (7, d), (9, b.upper()), (8, None), (8, ""), family[0]])
+    alone = neardup.drop_near_duplicates(spark.createDataFrame([(None, a), (None, a + " x"), (None, b)], "doc_id long, text string")).collect()
+    assert len(alone) == 2 and b in [x["text"] for x in alone]
+
+
 def test_op4_similarity_estimate(spark):
     a, b = [0x1111, -1], [0x1010, 0]
     got = spark.createDataFrame([(a, b)], "a array<long>, b array<long>").select(neardup.similarity(F.col("a"), F.col("b"))).first()[0]
