@@ -1,16 +1,18 @@
-"""Token ids of whole texts by the tokenizers library, with a bounded memory of pieces.
+"""Token ids of whole texts by the tokenizers library as it stands (strings of its special tokens in a text are those
+tokens), with a bounded memory of pieces.
 
 Both tokenizers in use cut a text before they merge, and no merge crosses a lone line break, the place
 between a non-space and a blank that a non-space follows, or the end of a Latin word before ASCII
 punctuation. So a text's ids are the ids of its pieces, one
 after the other, and a piece that has been encoded before need not be encoded again. Pieces not in memory
-go to the library in lines of many.
+go to the library in lines of many; texts that hold a special token's string go to it whole.
 """
 
 from __future__ import annotations
 
 import os
 import re
+from collections.abc import Iterator
 
 import numpy as np
 
@@ -19,7 +21,8 @@ from .common import hold
 #: White space other than blanks and line breaks, or beside other white space, or at an end: there the plain
 #: cut would be in wrong places.
 _RARE = re.compile(r"[^\S \n]")
-_PLAIN = re.compile("\n| ?[0-9A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u024F]++(?=[ \n!-/:-@\\[-`{-~]|$)| ?[^ \n]+")
+#: Letters that the tokenizers lower-case one to one, so without U+0130.
+_PLAIN = re.compile("\n| ?[0-9A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u012F\u0131-\u024F]++(?=[ \n!-/:-@\\[-`{-~]|$)| ?[^ \n]+")
 _CUT = re.compile(r"(?<=\S)(?= \S)")
 _SPACE = re.compile(r"\s")
 _LINE = 100
@@ -36,12 +39,12 @@ class PieceEncoder:
     hold it are encoded one by one. memory: pieces kept at most, besides those of one group of texts.
     """
 
-    def __init__(self, path: str, separator: str, memory: int = 800_000):
+    def __init__(self, path: str, separator: str, memory: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.separator, self.memory = separator, memory
         self.mark = np.array(self._ids(separator), dtype="<u4")
         self.known: dict[str, bytes] = {}
@@ -76,24 +79,48 @@ class PieceEncoder:
 
     def ids(self, texts: list[str]) -> list[bytes]:
         out: list[bytes] = []
-        cut: list[list[str]] = []
-        size = 0
-        for text in texts:
-            cut.append(self.pieces(text) if text else [])
-            size += len(text)
-            if size > 4_000_000:
-                out += self._some(cut)
-                cut, size = [], 0
-        return out + self._some(cut)
-
-    def _some(self, cut: list[list[str]]) -> list[bytes]:
-        wanted = set().union(*cut)
-        missing = wanted.difference(self.known)
-        if len(self.known) + len(missing) > self.memory:
-            self.known = {p: self.known[p] for p in wanted - missing}
-        self._learn(list(missing))
+        for group in _groups(texts):
+            out += self._some(group)
+        return out
+
+    def _some(self, texts: list[str]) -> list[bytes]:
+        out, late = [b""] * len(texts), []
         get = self.known.__getitem__
-        return [b"".join(map(get, x)) for x in cut]
+        for i, text in enumerate(texts):
+            if not text:
+                continue
+            if any(s in text for s in self.special):
+                out[i] = np.array(self._ids(text), dtype="<u4").tobytes()
+                continue
+            cut = self.pieces(text)
+            try:
+                out[i] = b"".join(map(get, cut))
+            except KeyError:
+                late.append((i, cut))
+        if late:
+            wanted = set().union(*(cut for _, cut in late))
+            missing = wanted.difference(self.known)
+            if len(self.known) + len(missing) > self.memory:
+                self.known = {p: self.known[p] for p in wanted - missing}
+            self._learn(list(missing))
+            get = self.known.__getitem__
+            for i, cut in late:
+                out[i] = b"".join(map(get, cut))
+        return out
+
+
+def _groups(texts: list[str], size: int = 1_000_000) -> Iterator[list[str]]:
+    """Runs of texts of about `size` characters, so that little is held besides the ids."""
+    group: list[str] = []
+    held = 0
+    for text in texts:
+        group.append(text)
+        held += len(text)
+        if held >= size:
+            yield group
+            group, held = [], 0
+    if group:
+        yield group
 
 
 _ENCODERS: dict[tuple[str, str], PieceEncoder] = {}
