@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import re
+import struct
 from dataclasses import dataclass
 
+_SINGLE = struct.Struct("5f")
 _CJK = re.compile("[　-ヿ一-鿿豈-﫿＀-￯]")
 #: Characters that never have a blank before them.
 _CLOSING = ".,;!?)]}'"
@@ -25,6 +27,12 @@ class Item:
     item_type: str = "text"
     seq: int = 0
 
+    @classmethod
+    def of(cls, row: dict, seq: int) -> Item:
+        """From a row of a content stream; coordinates have 24 bits, as items in tables have."""
+        x, y, width, height, size = _SINGLE.unpack(_SINGLE.pack(*(row[k] for k in ("x", "y", "width", "height", "font_size"))))
+        return cls(row["text"], x, y, width, height, row["font"], size, row["page"], row["is_bold"], row["is_italic"], row["item_type"], seq)
+
     @property
     def span(self) -> float:
         """Width, or a guess where it isn't known."""

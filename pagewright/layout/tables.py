@@ -7,11 +7,12 @@ from collections import Counter
 from dataclasses import dataclass
 from itertools import combinations, groupby
 
-from .spacing import Item, joins
+from ..functions.textrules import UNIT_MARKS
+from .spacing import Item
 
 _NUMBER = re.compile(r"(?=.*[0-9])[0-9.,+-]+")
 _FOOTNOTE = re.compile(r"\([0-9]*\)|[0-9]+\)|(?i:notes?:)")
-_UNIT = re.compile("[°VAµ]|Hz|pin")
+_UNIT = re.compile("|".join(UNIT_MARKS))
 
 
 @dataclass(frozen=True)
@@ -158,29 +159,29 @@ def row_index(rows: list[float], y: float) -> int | None:
 
 
 def cell_text(items: list[Item]) -> str:
+    """Texts with a blank between them, but for hyphens, and for smaller ones set higher or lower than their neighbours."""
     out = ""
     for i, item in enumerate(items):
         text = item.text.strip()
-        if i and out and not _tight(out, items[i - 1], item):
+        if not text:
+            continue
+        if out and not (out.endswith("-") or text.startswith("-") or _raised(items[i - 1], item)):
             out += " "
         out += text
-    return out.strip()
+    return out
 
 
-def _tight(before: str, prev: Item, cur: Item) -> bool:
-    if before.endswith(("-", " ")) or cur.text.strip().startswith("-"):
-        return True
-    ratio = cur.font_size / prev.font_size if prev.font_size else 1.0
-    return (ratio < 0.85 or ratio > 1 / 0.85) and abs(prev.y - cur.y) > 1 or joins(prev, cur) and prev.width > 0 and cur.x - prev.x - prev.width < prev.font_size * 0.15
+def _raised(prev: Item, cur: Item) -> bool:
+    small, large = sorted((prev.font_size, cur.font_size))
+    return small < 0.85 * large and abs(prev.y - cur.y) > 1
 
 
 def first_row(cells: list[list[list[Item]]]) -> int:
     """Where the table begins below the lines of a form that stand above it; 0 if nowhere."""
 
     def facts(row: list[list[Item]]) -> tuple[bool, int, float]:
-        texts = [" ".join(i.text for i in c).strip() for c in row]
-        texts = [t for t in texts if t]
-        form = any((t.endswith(":") and len(t) > 1) or ": " in t for t in texts)
+        texts = [t for t in map(cell_text, row) if t]
+        form = any((t.endswith(":") and len(t.encode()) > 1) or ": " in t for t in texts)
         return form, sum(map(looks_like_number, texts)), len(texts) / max(1, len(row))
 
     known = [facts(r) for r in cells]
@@ -205,14 +206,14 @@ def is_consistent(cells: list[list[str]]) -> bool:
     if len(cells) < 3:
         return True
     filled = [sum(bool(c) for c in r) for r in cells]
-    counts = Counter(f for f in filled if f)
+    counts = Counter(filled)
     mode = min(counts, key=lambda f: (-counts[f], f), default=0)
     return sum(abs(f - mode) <= 2 for f in filled) > 0.4 * len(cells)
 
 
 def has_data(cells: list[list[str]], mode: Mode) -> bool:
     body = [c for r in cells[1:] for c in r if c.strip()]
-    return (mode.small and len(cells[0]) >= 5) or (bool(body) and sum(map(looks_like_data, body)) / len(body) > mode.data)
+    return bool(body) and ((mode.small and len(cells[0]) >= 5) or sum(map(looks_like_data, body)) / len(body) > mode.data)
 
 
 def is_contents(cells: list[list[str]]) -> bool:
@@ -279,7 +280,7 @@ def clean_cells(cells: list[list[str]]) -> tuple[list[list[str]], list[str]]:
         whole = " ".join(c for c in texts if c)
         if not whole:
             continue
-        if _FOOTNOTE.match(next(c for c in texts if c)):
+        if _FOOTNOTE.match(texts[0]):
             notes.append(whole)
         elif not texts[0] and rows:
             rows[-1] = [f"{a} {b}".strip() if b else a for a, b in zip(rows[-1], texts, strict=True)]
@@ -294,7 +295,7 @@ def table_to_markdown(cells: list[list[str]]) -> str:
         return ""
     widths = [max(3, *(len(r[c].encode()) for r in rows)) for c in range(len(rows[0]))]
     shown = ["|" + "|".join(f" {x.ljust(w)} " for x, w in zip(r, widths, strict=True)) + "|" for r in rows]
-    shown.insert(1, "|" + "|".join("-" * (w + 2) for w in widths) + "|")
+    shown.insert(1, "|" + "|".join(f" {'-' * w} " for w in widths) + "|")
     return "\n".join(shown) + "\n" + ("\n" + "\n".join(notes) + "\n" if notes else "")
 
 

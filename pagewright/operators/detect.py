@@ -60,20 +60,26 @@ def analyze_images(images: DataFrame) -> DataFrame:
 def classify(pages: DataFrame, config: DetectionConfig = DetectionConfig()) -> DataFrame:
     """(doc_id, pdf_type, page_count, pages_sampled, pages_with_text, confidence, ocr_recommended) from sampled
     pages (doc_id, page_count, text_ops, has_images, has_template_image)."""
-    n = F.count(F.lit(1))
     facts = pages.groupBy("doc_id").agg(
-        F.max("page_count").alias("page_count"), n.cast("int").alias("pages_sampled"), F.count_if(F.col("text_ops") >= config.min_text_ops_per_page).cast("int").alias("pages_with_text"),
+        F.max("page_count").alias("page_count"), F.count(F.lit(1)).cast("int").alias("pages_sampled"),
+        F.count_if(F.col("text_ops") >= config.min_text_ops_per_page).cast("int").alias("pages_with_text"),
         F.count_if("has_images").alias("images"), F.count_if("has_template_image").alias("templates"), F.sum("text_ops").alias("ops"),
     )
-    ratio, template = F.col("pages_with_text") / F.col("pages_sampled"), F.col("templates") / F.col("pages_sampled")
+    pdf_type, confidence, ocr = verdict(*map(F.col, ("pages_sampled", "pages_with_text", "images", "templates", "ops")), config)
+    return facts.select("doc_id", pdf_type.alias("pdf_type"), "page_count", "pages_sampled", "pages_with_text", confidence.alias("confidence"), ocr.alias("ocr_recommended"))
+
+
+def verdict(sampled: Column, with_text: Column, images: Column, templates: Column, ops: Column, config: DetectionConfig = DetectionConfig()) -> tuple[Column, Column, Column]:
+    """Type, confidence and whether OCR is recommended, from counts over a document's sampled pages."""
+    ratio, template = F.try_divide(with_text, sampled), F.try_divide(templates, sampled)
     rules = [
-        ((F.col("templates") > 0) & (F.col("pages_with_text") > 0), "mixed", 0.5 + 0.3 * (1 - template), True),
+        ((templates > 0) & (with_text > 0), "mixed", 0.5 + 0.3 * (1 - template), True),
         (ratio >= config.text_page_ratio_threshold, "text_based", ratio, False),
-        ((F.col("pages_with_text") == 0) & (F.col("images") > 0) & (F.col("ops") == 0), "scanned", F.lit(0.95), True),
-        ((F.col("pages_with_text") == 0) & (F.col("images") > 0), "image_based", F.lit(0.8), True),
-        ((F.col("pages_with_text") > 0) & (F.col("images") > 0), "mixed", F.lit(0.7), True),
-        (F.col("ops") == 0, "scanned", F.lit(0.9), True),
+        ((with_text == 0) & (images > 0) & (ops == 0), "scanned", F.lit(0.95), True),
+        ((with_text == 0) & (images > 0), "image_based", F.lit(0.8), True),
+        ((with_text > 0) & (images > 0), "mixed", F.lit(0.7), True),
+        (ops == 0, "scanned", F.lit(0.9), True),
         (F.lit(True), "text_based", F.greatest(ratio, F.lit(0.5)), False),
     ]
     pick = lambda k: F.coalesce(*(F.when(r[0], F.lit(r[k]) if k != 2 else r[2]) for r in rules))
-    return facts.select("doc_id", pick(1).alias("pdf_type"), "page_count", "pages_sampled", "pages_with_text", F.round(pick(2), 6).alias("confidence"), pick(3).alias("ocr_recommended"))
+    return pick(1), F.round(pick(2), 6), pick(3)

@@ -7,6 +7,7 @@ by hash. Items are small (a few hundred bytes); a document of a million items is
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -17,7 +18,7 @@ from pyspark.sql.types import StructType
 from ..functions.markdown import MarkdownOptions, clean_markdown
 from .detect import DetectionConfig
 from .items import modal_sizes
-from ..sources.pdf import detect_pdf_types, text_items
+from ..sources.pdf import inspect
 
 _FIELDS = ("text", "x", "y", "width", "height", "font", "font_size", "page", "is_bold", "is_italic", "item_type", "seq")
 
@@ -88,7 +89,8 @@ def tables(items: DataFrame) -> DataFrame:
 
 
 def markdown(items: DataFrame, options: MarkdownOptions = MarkdownOptions()) -> DataFrame:
-    """(doc_id, markdown) from items: the fold in Python, the cleaning in generated code."""
+    """(doc_id, markdown) from items: the fold in Python, the cleaning in generated code. Documents without an item have
+    no row."""
     raw = _fold(_known(items), ["doc_id"], lambda key, _, own: [{"doc_id": key[0], "raw": _markdown(own, options)}], "doc_id long, raw string")
     return raw.select("doc_id", clean_markdown(F.col("raw"), options).alias("markdown"))
 
@@ -101,11 +103,9 @@ def _markdown(own: list, options: MarkdownOptions) -> str:
 
 def process_pdfs(docs: DataFrame, config: DetectionConfig = DetectionConfig(), options: MarkdownOptions = MarkdownOptions()) -> DataFrame:
     """(doc_id, pdf_type, page_count, pages_sampled, pages_with_text, confidence, title, ocr_recommended, error, markdown)
-    for (doc_id, content). Scanned and image-based documents aren't read beyond the sample; a document that can't be
-    read in full keeps its type and has no Markdown."""
-    kinds = detect_pdf_types(docs, config)
-    wanted = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "content").join(kinds.where("pdf_type IN ('text_based', 'mixed')").select("doc_id"), "doc_id", "left_semi")
-    return kinds.join(markdown(text_items(wanted), options), "doc_id", "left")
+    for (doc_id, content), in one parse of each file and without a shuffle. Scanned and image-based documents aren't read
+    beyond the sample; a document that can't be read in full keeps its type and has no Markdown."""
+    return inspect(docs, config, options).withColumn("markdown", clean_markdown(F.col("raw"), options)).drop("raw")
 
 
 def detection_json(kinds: DataFrame) -> DataFrame:
@@ -120,6 +120,39 @@ def processing_json(results: DataFrame) -> DataFrame:
     return results.select("doc_id", F.to_json(record, {"ignoreNullFields": "false"}).alias("value"))
 
 
+#: What a command recommends.
+ADVICE = {
+    "mixed": "Recommendation: Use OCR - images provide essential context (template PDF)",
+    "scanned": "Recommendation: Use OCR (MinerU or similar)",
+    "image_based": "Recommendation: Use OCR for best results",
+    "other": "Recommendation: Use OCR for complete extraction",
+    "none": "Recommendation: Use direct text extraction (fast)",
+}
+
+
 def recommendation(kinds: DataFrame) -> DataFrame:
-    """kinds with exit_status, 0, 1 (error) or 2 (OCR needed), as a command would end."""
-    return kinds.withColumn("exit_status", F.when(F.col("error").isNotNull(), 1).when(F.col("ocr_recommended"), 2).otherwise(0))
+    """kinds with recommendation (null on errors) and exit_status, 0, 1 (error) or 2 (OCR needed), as a command would end."""
+    of = F.when(F.col("error").isNotNull(), None).when(~F.col("ocr_recommended"), ADVICE["none"])
+    for kind in ("mixed", "scanned", "image_based"):
+        of = of.when(F.col("pdf_type") == kind, ADVICE[kind])
+    status = F.when(F.col("error").isNotNull(), 1).when(F.col("ocr_recommended"), 2).otherwise(0)
+    return kinds.withColumns({"recommendation": of.when(F.col("ocr_recommended"), ADVICE["other"]), "exit_status": status})
+
+
+def lines_markdown(lines: DataFrame, options: MarkdownOptions = MarkdownOptions()) -> DataFrame:
+    """(doc_id, markdown) from prepared lines: items with the line_no of their line in the document and their seq in it.
+    No tables or images are looked for; a line's height is that of its first item."""
+
+    def work(key, _, own):
+        from ..layout.assemble import lines_to_markdown
+        from ..layout.spacing import Line
+
+        found: list[Line] = []
+        for number, items in groupby(own, key=lambda i: i.seq >> 32):
+            row = list(items)
+            found.append(Line(row, row[0].y, row[0].page))
+        return [{"doc_id": key[0], "raw": lines_to_markdown(found, options)}]
+
+    numbered = lines.where("page IS NOT NULL AND line_no IS NOT NULL").withColumn("seq", F.shiftleft(F.col("line_no").cast("long"), 32) + F.coalesce("seq", F.lit(0)))
+    ordered = _fold(_known(numbered), ["doc_id"], work, "doc_id long, raw string")
+    return ordered.select("doc_id", clean_markdown(F.col("raw"), options).alias("markdown"))

@@ -24,13 +24,13 @@ def body_items(items: DataFrame) -> DataFrame:
     return items.where(~t.is_page_number_item(F.col("text"), F.col("y")))
 
 
-def modal_sizes(sizes: DataFrame, least: float = 9.0) -> DataFrame:
+def modal_sizes(sizes: DataFrame, least: float = 9.0, default: float = DEFAULT_SIZE) -> DataFrame:
     """(doc_id, base_size): the commonest font size in tenths from `least` up, the smaller of equally common
-    ones; DEFAULT_SIZE for documents without any. sizes: (doc_id, font_size)."""
+    ones; `default` for documents without any. sizes: (doc_id, font_size)."""
     key = F.when(F.col("font_size") >= least, F.floor(F.col("font_size") * 10).cast("int"))
     counts = sizes.groupBy("doc_id", key.alias("tenths")).agg(F.count(F.lit(1)).alias("n"))
     best = F.max_by(F.col("tenths"), F.struct(F.when(F.col("tenths").isNotNull(), F.col("n")).otherwise(F.lit(0)).alias("n"), (-F.col("tenths")).alias("small")))
-    return counts.groupBy("doc_id").agg((F.coalesce(best, F.lit(int(DEFAULT_SIZE * 10))) / 10).alias("base_size"))
+    return counts.groupBy("doc_id").agg((F.coalesce(best, F.lit(int(default * 10))) / 10).alias("base_size"))
 
 
 def heading_tiers(lines: DataFrame, bases: DataFrame) -> DataFrame:
@@ -98,6 +98,18 @@ def column_tolerance(columns: Column) -> Column:
     return F.when(F.size(columns) < 2, 50.0).otherwise(F.greatest(F.lit(25.0), F.least(F.lit(50.0), F.array_min(gaps) / 2)))
 
 
+#: A report on gaps takes this base for documents whose sizes say nothing, and marks paragraphs from this ratio on.
+GAP_BASE, GAP_PARAGRAPH = 10.0, 1.8
+
+
+def gap_lines(lines: DataFrame, bases: DataFrame) -> DataFrame:
+    """lines with gap (to the line above on its page, null for a page's first), ratio to the document's base size and
+    whether a paragraph begins there. bases: modal_sizes of the items with the default GAP_BASE."""
+    above = F.lag("y").over(W.partitionBy("doc_id", "page").orderBy("line_no"))
+    known = lines.join(bases, "doc_id").withColumn("gap", above - F.col("y")).withColumn("ratio", F.try_divide(F.col("gap"), F.col("base_size")))
+    return known.withColumn("paragraph", F.coalesce(F.col("gap") > F.col("base_size") * GAP_PARAGRAPH, F.lit(False)))
+
+
 def gap_statistics(lines: DataFrame) -> DataFrame:
     """(doc_id, page, n, least, most, median, mean) of gaps between lines over 0 and under 200 points."""
     gaps = _gaps(lines)

@@ -22,6 +22,14 @@ def order_facts(items: DataFrame, page: int, x_low: float, x_high: float) -> Dat
     return own.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.min("y").alias("y_least"), F.max("y").alias("y_most"))
 
 
+def items_with(items: DataFrame, words: tuple[str, ...], page: int = 1) -> DataFrame:
+    """Items of a page whose text holds one of the words, in stream order."""
+    holds = F.lit(False)
+    for w in words:
+        holds = holds | F.col("text").contains(w)
+    return items.where((F.col("page") == page) & holds).orderBy("doc_id", "seq")
+
+
 def items_at(items: DataFrame, page: int, y: float, within: float = 10.0) -> DataFrame:
     return items.where((F.col("page") == page) & (F.abs(F.col("y") - y) < within)).orderBy("doc_id", "seq")
 

@@ -12,18 +12,26 @@ import re
 from dataclasses import dataclass, field
 from typing import Any
 
+from ..functions.textrules import BOLD_NAMES, ITALIC_NAMES, LIGATURES
 from .fonts import Font, load_fonts
 from .objects import Document, Lexer, Name, Op, Ref, Stream
 
-_LIGATURES = str.maketrans({"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl"})
+_LIGATURES = str.maketrans(LIGATURES)
 _CONTROLS = re.compile(r"[\x00-\x08\x0b\x0c\x0e-\x1f]")
 _INLINE_END = re.compile(rb"[\x00\t\n\x0c\r ]EI(?=[\x00\t\n\x0c\r ]|$)")
-_BOLD = re.compile("bold|-bd|_bd|black|heavy|medium(?!.*mediumitalic)")
-_ITALIC = re.compile("italic|oblique|-it|_it|slant|inclined|kursiv")
 Matrix = tuple[float, float, float, float, float, float]
 IDENTITY: Matrix = (1.0, 0.0, 0.0, 1.0, 0.0, 0.0)
 
 
+def is_bold(name: str) -> bool:
+    n = name.lower()
+    return any(x in n for x in BOLD_NAMES) or ("medium" in n and "mediumitalic" not in n)
+
+
+def is_italic(name: str) -> bool:
+    return any(x in name.lower() for x in ITALIC_NAMES)
+
+
 def times(m: Matrix, n: Matrix) -> Matrix:
     return (m[0] * n[0] + m[1] * n[2], m[0] * n[1] + m[1] * n[3], m[2] * n[0] + m[3] * n[2], m[2] * n[1] + m[3] * n[3], m[4] * n[0] + m[5] * n[2] + n[4], m[4] * n[1] + m[5] * n[3] + n[5])
 
@@ -82,7 +90,7 @@ class Interpreter:
             elif op == "ET":
                 in_text = False
             elif op == "Tf" and len(args) >= 2:
-                font = self.fonts.get(str(args[0])) or Font(str(args[0]), str(args[0]), "")
+                font = self.fonts.get(str(args[0])) or Font(str(args[0]), str(args[0]), "", named=self.doc.font_maps.named(str(args[0])))
                 size = float(args[1]) if isinstance(args[1], (int, float)) else size
             elif op in ("Td", "TD"):
                 dx, dy = _numbers(args, (0.0, 0.0))
@@ -126,10 +134,9 @@ class Interpreter:
         return times((1.0, 0.0, 0.0, 1.0, width, 0.0), tm) if known else tm
 
     def _item(self, text: str, x: float, y: float, width: float, height: float, size: float, font: str = "", style: str = "", kind: str = "text", url: str | None = None) -> None:
-        lower = style.lower()
         self.items.append({
-            "page": self.page, "text": text, "x": x, "y": y, "width": width, "height": height, "font": font, "font_size": size, "is_bold": bool(_BOLD.search(lower)),
-            "is_italic": bool(_ITALIC.search(lower)), "item_type": kind, "url": url,
+            "page": self.page, "text": text, "x": x, "y": y, "width": width, "height": height, "font": font, "font_size": size, "is_bold": is_bold(style),
+            "is_italic": is_italic(style), "item_type": kind, "url": url,
         })
 
     def _do(self, name: str) -> None:
@@ -137,7 +144,7 @@ class Interpreter:
         if kind == "Image":
             self._item(f"[Image: {name}]", self.ctm[4], self.ctm[5], abs(self.ctm[0]), abs(self.ctm[3]), 0.0, kind="image")
         elif kind == "Form":
-            own = load_fonts(self.doc, stream.dict.get("Resources")) or self.fonts
+            own = load_fonts(self.doc, stream.dict.get("Resources"), by_reference=True)
             self.items += Interpreter(self.doc, self.page, own, {}, self.ctm, form=True).run(self.doc.decoded(stream))
 
 

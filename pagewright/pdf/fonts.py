@@ -4,25 +4,29 @@ from __future__ import annotations
 
 import re
 import unicodedata
+import zlib
 from dataclasses import dataclass, field
 from functools import cache
 
-from .objects import Document, Name, Stream
+from .objects import Document, Name, Ref, Stream
 
 # Glyph names that no rule below gives. Typographic double quotes are given as the plain one.
-_NAMED = dict(
-    x.split("=", 1)
-    for x in (
-        "exclam=! numbersign=# dollar=$ percent=% ampersand=& quotesingle=' parenleft=( parenright=) asterisk=* plus=+ comma=, hyphen=- period=. slash=/ "
-        "zero=0 one=1 two=2 three=3 four=4 five=5 six=6 seven=7 eight=8 nine=9 colon=: semicolon=; less=< greater=> question=? at=@ bracketleft=[ backslash=\\ "
-        "bracketright=] asciicircum=^ underscore=_ grave=` braceleft={ bar=| braceright=} asciitilde=~ quoteleft=‘ quoteright=’ quotesinglbase=‚ quotedblbase=„ "
-        "guilsinglleft=‹ guilsinglright=› guillemotleft=« guillemotright=» endash=– emdash=— bullet=• ellipsis=… dagger=† daggerdbl=‡ perthousand=‰ fraction=⁄ "
-        "florin=ƒ Euro=€ cent=¢ sterling=£ yen=¥ currency=¤ section=§ paragraph=¶ copyright=© registered=® trademark=™ degree=° plusminus=± multiply=× divide=÷ "
-        "minus=− periodcentered=· exclamdown=¡ questiondown=¿ ordfeminine=ª ordmasculine=º mu=µ onehalf=½ onequarter=¼ threequarters=¾ onesuperior=¹ twosuperior=² "
-        "threesuperior=³ brokenbar=¦ logicalnot=¬ macron=¯ dieresis=¨ acute=´ cedilla=¸ AE=Æ ae=æ OE=Œ oe=œ Oslash=Ø oslash=ø Eth=Ð eth=ð Thorn=Þ thorn=þ germandbls=ß "
-        "dotlessi=ı Lslash=Ł lslash=ł Aring=Å aring=å ff=ﬀ fi=ﬁ fl=ﬂ ffi=ﬃ ffl=ﬄ infinity=∞ notequal=≠ lessequal=≤ greaterequal=≥"
-    ).split()
-) | {"space": " ", "nbspace": "\xa0", "quotedbl": '"', "quotedblleft": '"', "quotedblright": '"', "equal": "="}
+_NAMED = {
+    "exclam": "!", "numbersign": "#", "dollar": "$", "percent": "%", "ampersand": "&", "quotesingle": "'", "parenleft": "(", "parenright": ")", "asterisk": "*",
+    "plus": "+", "comma": ",", "hyphen": "-", "period": ".", "slash": "/", "zero": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6",
+    "seven": "7", "eight": "8", "nine": "9", "colon": ":", "semicolon": ";", "less": "<", "greater": ">", "question": "?", "at": "@", "bracketleft": "[",
+    "backslash": "\\", "bracketright": "]", "asciicircum": "^", "underscore": "_", "grave": "`", "braceleft": "{", "bar": "|", "braceright": "}", "asciitilde": "~",
+    "quoteleft": "‘", "quoteright": "’", "quotesinglbase": "‚", "quotedblbase": "„", "guilsinglleft": "‹", "guilsinglright": "›", "guillemotleft": "«",
+    "guillemotright": "»", "endash": "–", "emdash": "—", "bullet": "•", "ellipsis": "…", "dagger": "†", "daggerdbl": "‡", "perthousand": "‰", "fraction": "⁄",
+    "florin": "ƒ", "Euro": "€", "cent": "¢", "sterling": "£", "yen": "¥", "currency": "¤", "section": "§", "paragraph": "¶", "copyright": "©", "registered": "®",
+    "trademark": "™", "degree": "°", "plusminus": "±", "multiply": "×", "divide": "÷", "minus": "−", "periodcentered": "·", "exclamdown": "¡", "questiondown": "¿",
+    "ordfeminine": "ª", "ordmasculine": "º", "mu": "µ", "onehalf": "½", "onequarter": "¼", "threequarters": "¾", "onesuperior": "¹", "twosuperior": "²",
+    "threesuperior": "³", "brokenbar": "¦", "logicalnot": "¬", "macron": "¯", "dieresis": "¨", "acute": "´", "cedilla": "¸", "AE": "Æ", "ae": "æ", "OE": "Œ", "oe": "œ",
+    "Oslash": "Ø", "oslash": "ø", "Eth": "Ð", "eth": "ð", "Thorn": "Þ", "thorn": "þ", "germandbls": "ß", "dotlessi": "ı", "Lslash": "Ł", "lslash": "ł", "Aring": "Å",
+    "aring": "å", "ff": "ﬀ", "fi": "ﬁ", "fl": "ﬂ", "ffi": "ﬃ", "ffl": "ﬄ", "infinity": "∞", "notequal": "≠", "lessequal": "≤", "greaterequal": "≥", "space": " ",
+    "nbspace": "\u00a0", "quotedbl": "\"", "quotedblleft": "\"", "quotedblright": "\"", "equal": "=", "f_i": "ﬁ", "f_l": "ﬂ", "f_f": "ﬀ", "f_f_i": "ﬃ", "f_f_l": "ﬄ",
+    "partialdiff": "∂", "summation": "∑", "product": "∏", "radical": "√", "approxequal": "≈", "lozenge": "◊", "Lambda": "Λ", "lambda": "λ",
+}
 _MARKS = {
     "grave": "\u0300", "acute": "\u0301", "circumflex": "\u0302", "tilde": "\u0303", "macron": "\u0304", "breve": "\u0306", "dotaccent": "\u0307", "dieresis": "\u0308",
     "ring": "\u030a", "hungarumlaut": "\u030b", "caron": "\u030c", "cedilla": "\u0327", "ogonek": "\u0328",
@@ -31,7 +35,8 @@ _MARKS = {
 
 @cache
 def glyph_to_char(name: str) -> str | None:
-    """Letters by themselves, letters with an accent by composition, Greek by Unicode's names, uniXXXX and uXXXX."""
+    """Letters by themselves, letters with an accent by composition, Greek by Unicode's names, uniXXXX and uXXXX (at
+    least four digits)."""
     if len(name) == 1 and name.isascii() and name.isalpha():
         return name
     if name in _NAMED:
@@ -47,7 +52,7 @@ def glyph_to_char(name: str) -> str | None:
             return unicodedata.lookup(f"GREEK SMALL LETTER {name}")
     except KeyError:
         pass
-    m = re.match(r"uni([0-9A-Fa-f]{4})", name) or re.fullmatch(r"u([0-9A-Fa-f]{1,6})", name)
+    m = re.match(r"uni([0-9A-Fa-f]{4})", name) or re.fullmatch(r"u([0-9A-Fa-f]{4,6})", name)
     code = int(m[1], 16) if m else 0
     return chr(code) if 0 < code < 0x110000 and not 0xD800 <= code < 0xE000 else None
 
@@ -132,6 +137,7 @@ class Font:
     default_width: float = 0.0
     space_width: float = 250.0
     scale: float = 0.001
+    named: list[ToUnicode] = field(default_factory=list)  # maps found by the font's names
 
     @property
     def wide(self) -> bool:
@@ -144,28 +150,84 @@ class Font:
         return sum(self.widths.get(c, self.default_width) for c in codes) * self.scale * size
 
     def decode(self, raw: bytes) -> str:
-        """The first way that gives text: ToUnicode, Differences, the base encoding, UTF-16 with its mark, Latin-1."""
-        if self.cmap and (text := self.cmap.decode(raw)):
-            return text
+        """The first way that gives text: the font's own ToUnicode map, maps found by its names, Differences, the base
+        encoding, UTF-16 with its mark, Latin-1."""
+        for cmap in [self.cmap] * (self.cmap is not None) + self.named:
+            if text := cmap.decode(raw):
+                return text
         if self.differences and any(c in self.differences for c in raw):
             return "".join(self.differences.get(c) or (chr(c) if c >= 32 else "") for c in raw)
-        if raw.startswith(b"\xfe\xff"):
-            return raw[2:].decode("utf-16-be", "replace")
         if self.codec and not self.wide:
             return raw.decode(self.codec, "replace").replace("�", "")
+        if raw.startswith(b"\xfe\xff"):
+            return raw[2:].decode("utf-16-be", "replace")
         return raw.decode("latin-1")
 
 
 _CODECS = {"WinAnsiEncoding": "cp1252", "MacRomanEncoding": "mac_roman"}
 
 
-def load_fonts(doc: Document, resources: object) -> dict[str, Font]:
-    """Fonts of a resource dictionary by their names there."""
-    return {name: load_font(doc, name, doc.dict_of(f)) for name, f in doc.dict_of(doc.dict_of(resources).get("Font")).items()}
+class FontMaps:
+    """ToUnicode maps of a file's raw bytes, by the numbers of their objects and by the names of their fonts.
+
+    A look at the bytes finds what references in a damaged or linearized file don't. by_name holds names of base
+    fonts (of several maps the last one's) and those names with the number of the map's object.
+    """
+
+    def __init__(self, data: bytes):
+        numbers = dict.fromkeys(int(n) for n in re.findall(rb"/ToUnicode[ \r\n]*([0-9]{1,9})", data))
+        found = {n: ToUnicode.parse(raw) for n in numbers if (raw := raw_stream(data, n)) is not None}
+        self.by_number = {n: cmap for n, cmap in found.items() if cmap}
+        self.by_name: dict[str, ToUnicode] = {}
+        for m in re.finditer(rb"/Type /Font", data):
+            start, end = data.rfind(b"<<", 0, m.start()), data.find(b">>", m.start())
+            if start < 0 or end < 0:
+                continue
+            name = re.search(rb"/BaseFont[ \r\n]*/([^ \t\n\x0c\r/>]+)", data[start:end])
+            number = re.search(rb"/ToUnicode[ \r\n]*([0-9]{1,9})", data[start:end])
+            cmap = self.by_number.get(int(number[1])) if number else None
+            if name and cmap:
+                base = name[1].decode("latin-1")
+                self.by_name[f"{base}_{int(number[1])}"] = self.by_name[base] = cmap
+
+    def get(self, name: str) -> ToUnicode | None:
+        """By the name, else by the first name, in their order, that holds it or that it holds; a leading F and names of
+        fewer than four characters don't count there."""
+        if name in self.by_name:
+            return self.by_name[name]
+        bare = name.removeprefix("F")
+        near = (n for n in sorted(self.by_name) if bare in n or n in bare) if len(bare.encode()) >= 4 else ()
+        return next((self.by_name[n] for n in near), None)
+
+    def named(self, *names: str) -> list[ToUnicode]:
+        return [cmap for n in names if (cmap := self.get(n))]
+
+
+def raw_stream(data: bytes, number: int) -> bytes | None:
+    """The stream of an object by a look at the bytes alone; as it stands where it can't be inflated."""
+    at = data.find(b"%d 0 obj" % number)
+    m = re.compile(rb"stream\r?\n?").search(data, at) if at >= 0 else None
+    end = data.find(b"endstream", m.end()) if m else -1
+    if end < 0:
+        return None
+    raw = re.sub(rb"\r?\n?\Z", b"", data[m.end() : end], count=1)
+    if b"FlateDecode" in data[at : m.start()]:
+        try:
+            return zlib.decompress(raw)
+        except zlib.error:
+            return raw
+    return raw
+
+
+def load_fonts(doc: Document, resources: object, by_reference: bool = False) -> dict[str, Font]:
+    """Fonts of a resource dictionary by their names there; by_reference: those alone that it refers to."""
+    known = doc.dict_of(doc.dict_of(resources).get("Font")).items()
+    return {name: load_font(doc, name, doc.dict_of(f)) for name, f in known if isinstance(f, Ref) or not by_reference}
 
 
 def load_font(doc: Document, name: str, d: dict) -> Font:
-    font = Font(name, str(doc.resolve(d.get("BaseFont")) or name), str(doc.resolve(d.get("Subtype")) or ""))
+    base = doc.resolve(d.get("BaseFont"))
+    font = Font(name, str(base or name), str(doc.resolve(d.get("Subtype")) or ""), named=doc.font_maps.named(*([str(base)] if base else []), name))
     stream = doc.resolve(d.get("ToUnicode"))
     if isinstance(stream, Stream):
         font.cmap = ToUnicode.parse(doc.decoded(stream))

@@ -9,6 +9,7 @@ from __future__ import annotations
 import base64
 import re
 import zlib
+from functools import cached_property
 from typing import Any, NamedTuple
 
 
@@ -235,6 +236,12 @@ class Document:
         if self.trailer["Root"] is None:
             raise PdfError("invalid_structure", "no catalog")
 
+    @cached_property
+    def font_maps(self):
+        from .fonts import FontMaps
+
+        return FontMaps(self.data)
+
     def _scan(self) -> None:
         at, streams = 0, []
         while m := _OBJECT.search(self.data, at):

@@ -12,10 +12,11 @@ from ..functions import markdown as md
 from ..functions import textrules as t
 from ..operators import detect, documents, items
 from ..sources import pdf
+from . import document_queries
 from ..sources.fixtures import FX_CELLS_SQL, FX_GRID_SQL, FX_LINES_SQL, FX_PAGES_SQL, fx_cells, fx_content, fx_grid, fx_lines, fx_pages, fx_pdfs, fx_texts
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = dict(document_queries.QUERIES)
+ORACLE_SQL: dict[str, str] = dict(document_queries.ORACLE_SQL)
 
 
 def _lit(pattern: str) -> str:

@@ -75,8 +75,8 @@ def test_tables():
 
 
 def test_table_markdown():
-    assert table_to_markdown([["A", "Long"], ["1", "2"], ["", ""], ["", "more"], ["(1) note", ""]]) == "| A   | Long   |\n|-----|--------|\n| 1   | 2 more |\n\n(1) note\n"
+    assert table_to_markdown([["A", "Long"], ["1", "2"], ["", ""], ["", "more"], ["(1) note", ""]]) == "| A   | Long   |\n| --- | ------ |\n| 1   | 2 more |\n\n(1) note\n"
     assert clean_cells([["", "x"], ["a", ""]]) == ([["", "x"], ["a", ""]], [])
-    md = "| A   |\n|-----|\n| 1   |\n"
+    md = "| A   |\n| --- |\n| 1   |\n"
     got = merge_continuations({1: [(700, md)], 2: [(700, md.replace("1 ", "2 "))], 4: [(700, md)]}, {2, 4})
     assert set(got) == {1, 4} and got[1][0][1].endswith("| 1   |\n| 2   |\n")
