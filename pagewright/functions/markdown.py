@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import textrules as t
+from .arrays import let, running
 
 
 @dataclass(frozen=True)
@@ -27,10 +28,6 @@ class MarkdownOptions:
     include_links: bool = True
 
 
-def _let(value: Column, body) -> Column:
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def lines(text: Column) -> Column:
     """array<string>: lines without their ends; a last, empty one isn't a line."""
     cut = F.transform(F.split(text, "\n", -1), lambda x: F.regexp_replace(x, r"\r$", ""))
@@ -52,20 +49,23 @@ def to_markdown(text: Column, options: MarkdownOptions = MarkdownOptions()) -> C
 
     def build(trimmed: Column) -> Column:
         def shown(classes: Column) -> Column:
-            # One letter for each line: c if a fence is open before it. List items hand the state on.
-            state = F.aggregate(classes, F.lit("n"), lambda s, k: F.concat(s, F.when(k == "l", F.substring(s, -1, 1)).when(k == "c", "c").otherwise("n")))
+            # Before each line: the class of the last line that is no list item, which hands the state on.
+            over = lambda s, k: F.when(k == "l", s).otherwise(k)
+            last = F.aggregate(classes, F.lit("n"), over)
+
+            def pieces(states: Column) -> Column:
+                def one(line: Column, i: Column) -> Column:
+                    k, fenced = F.get(classes, i), F.get(states, i) == "c"
+                    fence = F.when((k != "l") & (fenced != (k == "c")), "```\n").otherwise("")
+                    return F.concat(fence, F.when(k == "l", t.format_list_item(line)).otherwise(line), F.lit("\n"))
 
-            def one(line: Column, i: Column) -> Column:
-                k, fenced = F.get(classes, i), F.substring(state, i + 1, F.lit(1)) == "c"
-                fence = F.when((k != "l") & (fenced != (k == "c")), "```\n").otherwise("")
-                return F.concat(fence, F.when(k == "l", t.format_list_item(line)).otherwise(line), F.lit("\n"))
+                return F.array_join(F.transform(trimmed, one), "")
 
-            end = F.when(F.substring(state, -1, 1) == "c", "```\n").otherwise("")
-            return F.concat(F.array_join(F.transform(trimmed, one), ""), end)
+            return F.concat(let(running(classes, F.lit("n"), F.lit("l"), over), pieces), F.when(last == "c", "```\n").otherwise(""))
 
-        return _let(F.transform(trimmed, lambda x: line_class(x, options)), shown)
+        return let(F.transform(trimmed, lambda x: line_class(x, options)), shown)
 
-    return _let(F.transform(lines(text), t.trim), build)
+    return let(F.transform(lines(text), t.trim), build)
 
 
 def remove_page_numbers(text: Column) -> Column:
@@ -84,9 +84,9 @@ def remove_page_numbers(text: Column) -> Column:
 
             return F.array_join(F.filter(all_lines, stays), "\n")
 
-        return _let(F.transform(all_lines, t.trim), kept)
+        return let(F.transform(all_lines, t.trim), kept)
 
-    return _let(lines(text), keep)
+    return let(lines(text), keep)
 
 
 def clean_markdown(text: Column, options: MarkdownOptions = MarkdownOptions()) -> Column:

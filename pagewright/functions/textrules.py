@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .arrays import let, running
+
 #: The code points of Unicode White_Space, for a character class.
 WS = r"\x{9}-\x{D} \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 
@@ -97,23 +99,26 @@ def is_page_number_item(text: Column, y: Column) -> Column:
 
 def link_urls(text: Column) -> Column:
     """Markdown links for URLs, but not for the target or the text of a link: not after "](", and not where
-    more "[" than "]" stand before. The text is folded piece by piece between its URLs, so state is exact."""
-    cut = F.split(F.regexp_replace(text, f"({URL})", "\x00\x01$1\x00"), "\x00")
-
-    def add(acc: Column, piece: Column) -> Column:
-        url = piece.startswith("\x01")
-        plain = F.when(url, F.substr(piece, F.lit(2))).otherwise(piece)
-        count = lambda c: F.char_length(plain) - F.char_length(F.replace(plain, F.lit(c), F.lit("")))
-        linked = (acc["open"] > 0) | acc["last"].endswith("](")
-        shown = F.when(url & ~linked, F.concat(F.lit("["), plain, F.lit("]("), plain, F.lit(")"))).otherwise(plain)
-        return F.struct(
-            F.concat(acc["out"], F.array(shown)).alias("out"), (acc["open"] + count("[") - count("]")).alias("open"),
-            F.when(plain == "", acc["last"]).otherwise(F.substr(F.concat(acc["last"], plain), F.lit(-2))).alias("last"),
-        )
-
-    zero = F.struct(F.array().cast("array<string>").alias("out"), F.lit(0).alias("open"), F.lit("").alias("last"))
-    folded = F.array_join(F.aggregate(cut, zero, add)["out"], "")
-    return F.when(text.contains("http") & ~text.contains("\x00") & ~text.contains("\x01"), folded).otherwise(text)
+    more "[" than "]" stand before. Any characters may stand in the text."""
+    count = lambda c, x: F.char_length(c) - F.char_length(F.replace(c, F.lit(x), F.lit("")))
+    net = lambda c: count(c, "[") - count(c, "]")
+
+    def shown(cut: Column) -> Column:
+        plain, urls = cut["plain"], cut["urls"]
+        depths = running(F.zip_with(plain, urls, lambda p, u: net(p) + net(F.coalesce(u, F.lit("")))), F.lit(0), F.lit(0), lambda a, b: a + b)
+
+        def piece(p: Column, i: Column, before: Column) -> Column:
+            url = F.get(urls, i)
+            linked = (F.get(before, i) + net(p) > 0) | p.endswith("](")
+            return F.concat(p, F.when(url.isNull(), "").when(linked, url).otherwise(F.concat(F.lit("["), url, F.lit("]("), url, F.lit(")"))))
+
+        return let(depths, lambda before: F.array_join(F.transform(plain, lambda p, i: piece(p, i, before)), ""))
+
+    def build(x: Column) -> Column:
+        cut = F.struct(F.split(x, URL, -1).alias("plain"), F.regexp_extract_all(x, F.lit(f"({URL})"), F.lit(1)).alias("urls"))
+        return F.when(x.contains("http"), let(cut, shown)).otherwise(x)
+
+    return let(text, build)
 
 
 def looks_like_number(cell: Column) -> Column:

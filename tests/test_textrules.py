@@ -18,7 +18,7 @@ RULES = [
     (t.is_page_number_line, {"7": True, "12345": False, "Page 3 of 9": True, "PAGE OF": True, "page": True, "3 of 9": True, "- 7 -": True, "pages": False, "page ofof": False, "": False, "a of 3": False}),
     (t.collapse_dot_leaders, {"a....b": "a ... b", "a...b": "a...b"}),
     (t.join_spaced_hyphens, {"well - known": "well-known", "a - b - c": "a-b - c", "1 - 2": "1 - 2"}),
-    (t.link_urls, {"see https://a.b/c. x": "see [https://a.b/c](https://a.b/c). x", "[t](https://a.b/c)": "[t](https://a.b/c)", "[https://a.b/c] https://d.e/f": "[https://a.b/c] [https://d.e/f](https://d.e/f)", "[ https://a.b/c": "[ https://a.b/c", "none": "none"}),
+    (t.link_urls, {"see https://a.b/c. x": "see [https://a.b/c](https://a.b/c). x", "[t](https://a.b/c)": "[t](https://a.b/c)", "[https://a.b/c] https://d.e/f": "[https://a.b/c] [https://d.e/f](https://d.e/f)", "[ https://a.b/c": "[ https://a.b/c", "none": "none", "see \x01 https://a.b/c ok": "see \x01 [https://a.b/c](https://a.b/c) ok", "\x00https://a.b/c": "\x00[https://a.b/c](https://a.b/c)", "https://a.b/[x https://c.d/e": "[https://a.b/[x](https://a.b/[x) https://c.d/e", "": ""}),
     (t.looks_like_number, {"1,234.5": True, "-7": True, "+": False, "1a": False, "": False}),
     (t.looks_like_table_data, {"12/03/2024": True, "NE555": True, "5 V": True, "D (SOIC, 8)": True, "°C to": True, "word": False, "12 words": False}),
     (t.is_footnote_row, {"(1) x": True, "() x": True, "2) x": True, "Notes: x": True, "note x": False, ") x": False}),
@@ -38,6 +38,15 @@ def test_rule(spark, rule, cases):
     assert dict(zip(cases, apply(spark, rule, cases), strict=True)) == cases
 
 
+def test_many_urls_and_lines(spark):
+    """States run on over stretches of the arrays that hold them."""
+    text = "".join(f"[ https://a.b/{k} ] https://c.d/{k}\n" for k in range(700)) + "[" + "https://e.f/g " * 3
+    want = "".join(f"[ https://a.b/{k} ] [https://c.d/{k}](https://c.d/{k})\n" for k in range(700)) + "[" + "https://e.f/g " * 3
+    assert apply(spark, t.link_urls, [text, None]) == [want, None]
+    lines = ["let a = 1;"] + ["- item"] * 600 + ["let b = 2;", "plain"] + ["- item"] * 300
+    assert apply(spark, md.to_markdown, ["\n".join(lines)]) == ["```\nlet a = 1;\n" + "- item\n" * 600 + "let b = 2;\n```\nplain\n" + "- item\n" * 300]
+
+
 def test_options(spark):
     off = md.MarkdownOptions(detect_lists=False, detect_code=False)
     assert apply(spark, lambda c: md.to_markdown(c, off), ["• Item\nconst x = 5;"]) == ["• Item\nconst x = 5;\n"]
