@@ -1,9 +1,9 @@
 """Chat formatting by prefix-target expansion, in DataFrame functions alone.
 
-A conversation is formatted once, as marked turns; every assistant turn becomes an example of its own,
-which is a prefix of that text: all turns before as context, the reply as its only trainable span. So
-examples are spans of the formatted text, and a conversation of n turns takes n texts of room, not n*n.
-`materialized` cuts the examples' own texts out where they are wanted.
+A conversation is formatted once, as marked turns; every assistant turn becomes an example of its own, which is
+a prefix of that text: all turns before as context, the reply as its only trainable span. Examples are kept with
+their conversation as spans of its text (`write_examples`), so a conversation of n turns takes n texts of room, not
+n*n; `expand` explodes them and cuts each reply out by its loss mask, `materialized` the contexts, too.
 """
 
 from __future__ import annotations
@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .common import let
+
 START, END = "<|im_start|>", "<|im_end|>\n"
 
 
@@ -36,19 +38,36 @@ def _unrole(role: Column) -> Column:
 
 
 def format_conversations(rows: DataFrame) -> DataFrame:
-    """(conv_id, formatted) from (conv_id, turn, role, text): a row for each conversation.
+    """(conv_id, formatted, examples) from (conv_id, turn, role, text): a row for each conversation.
 
-    Turns go by turn (nulls first), ties by role and text; rows that repeat are turns that repeat. Null
-    text is empty; a null role stays null, a null conv_id is a conversation. Other columns play no part.
-    An empty table gives no rows.
+    examples: array<struct<example, start, end, byte_start, byte_end>>, one for each assistant turn in order;
+    `example` is the turn's place from 0, and formatted[start:end] (code points; byte_start and byte_end in its
+    UTF-8) its trainable span, the escaped reply. Turns go by turn (nulls first), ties by role and text; rows that
+    repeat are turns that repeat. Null text is empty; a null role stays null, a null conv_id is a conversation.
+    Other columns play no part. An empty table gives no rows. A conversation is put together in one task.
     """
-    turn = F.struct(F.col("turn"), F.col("role"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    shown = F.transform(F.sort_array(F.collect_list(turn)), lambda t: F.concat(F.lit(START), _role(t["role"]), F.lit("\n"), escape(t["text"]), F.lit(END)))
-    return rows.groupBy("conv_id").agg(F.array_join(shown, "").alias("formatted"))
+    own = rows.select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("text"))
+    order = W.partitionBy("conv_id").orderBy(*(F.col(c).asc_nulls_first() for c in ("turn", "role", "text")))
+    upto = order.rowsBetween(W.unboundedPreceding, 0)
+    shown = own.withColumn("place", F.row_number().over(order) - 1).withColumn("body", escape(F.col("text")))
+    shown = shown.withColumn("shown", F.concat(F.lit(START), _role(F.col("role")), F.lit("\n"), "body", F.lit(END)))
+    stop = lambda size: (F.sum(size("shown")).over(upto) - F.lit(len(END))).cast("long")
+    shown = shown.withColumns({"end": stop(F.char_length), "byte_end": stop(F.octet_length)})
+    span = F.struct(F.col("place").alias("example"), (F.col("end") - F.char_length("body")).alias("start"), "end", (F.col("byte_end") - F.octet_length("body")).alias("byte_start"), "byte_end")
+    return shown.groupBy("conv_id").agg(
+        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("place", "shown"))), lambda t: t["shown"]), "").alias("formatted"),
+        F.sort_array(F.collect_list(F.when(F.col("role") == "assistant", span))).alias("examples"),
+    )
+
+
+def write_examples(rows: DataFrame, path: str) -> None:
+    """format_conversations(rows) as Parquet files, of which `expand` makes the examples."""
+    format_conversations(rows).write.parquet(path)
 
 
 def read_back(formatted: Column) -> Column:
-    """From a formatted text: array<struct<role, text, chars>>; chars: code points of the turn with its marks."""
+    """From a formatted text: array<struct<role, text, chars, body>>; chars: code points of the turn with its marks,
+    body: those of its escaped text."""
     parts = F.filter(F.split(formatted, r"<\|im_start\|>", -1), lambda _, i: i > 0)
 
     def turn(part: Column) -> Column:
@@ -61,28 +80,27 @@ def read_back(formatted: Column) -> Column:
     return F.transform(parts, turn)
 
 
-def turn_spans(formatted: DataFrame) -> DataFrame:
-    """(conv_id, place, role, text, start, end, formatted_chars, target), read back from formatted texts: a
-    row for each turn. start and end: code points of its escaped text in `formatted`, from 0; target: an
-    assistant's turn, the reply of an example."""
-    turns = formatted.select("conv_id", F.char_length("formatted").alias("formatted_chars"), F.posexplode(read_back(F.col("formatted"))).alias("place", "t"))
-    stop = F.sum("t.chars").over(W.partitionBy("conv_id").orderBy("place")) - F.lit(len(END))
-    return turns.select(
-        "conv_id", "place", F.col("t.role").alias("role"), F.col("t.text").alias("text"), (stop - F.col("t.body")).alias("start"), stop.alias("end"),
-        "formatted_chars", F.coalesce(F.col("t.role") == "assistant", F.lit(False)).alias("target"),
-    )
+def _cut(formatted: Column, low: Column, high: Column) -> Column:
+    """Text between two byte places of a formatted text, which is given in UTF-8: as long to cut as it is long."""
+    return F.substring(formatted, (low + 1).cast("int"), (high - low).cast("int")).cast("string")
 
 
-def expand(formatted: DataFrame) -> DataFrame:
-    """(conv_id, example, start, end, reply): an example for each assistant turn, in order of `example`.
+def expand(formatted: DataFrame, contexts: bool = False) -> DataFrame:
+    """(conv_id, example, start, end, reply[, context]) from (conv_id, formatted, examples): an example for each
+    assistant turn.
 
     The example's text is formatted[0:end] (code points): its context before start, and the trainable reply
-    from start to end; `reply` is that reply unescaped. Conversations without an assistant turn have none.
+    from start to end; `reply` is cut out by that mask and unescaped, `context` stays as formatted. Conversations
+    without an assistant turn have none.
     """
-    return turn_spans(formatted).where("target").select("conv_id", F.col("place").alias("example"), "start", "end", F.col("text").alias("reply"))
+
+    def cut(raw: Column) -> Column:
+        more = (lambda e: [_cut(raw, F.lit(0), e["byte_start"]).alias("context")]) if contexts else lambda _: []
+        return F.transform("examples", lambda e: F.struct(e["example"].alias("example"), e["start"].alias("start"), e["end"].alias("end"), unescape(_cut(raw, e["byte_start"], e["byte_end"])).alias("reply"), *more(e)))
+
+    return formatted.select("conv_id", F.explode(let(F.col("formatted").cast("binary"), cut)).alias("e")).select("conv_id", "e.*")
 
 
-def materialized(formatted: DataFrame, examples: DataFrame) -> DataFrame:
-    """(conv_id, example, context, reply) with contexts of their own, as formatted; reply unescaped."""
-    f = formatted.select(F.col("conv_id").alias("of"), "formatted")
-    return examples.join(f, F.expr("conv_id <=> of")).select("conv_id", "example", F.substring("formatted", F.lit(1), F.col("start").cast("int")).alias("context"), "reply")
+def materialized(formatted: DataFrame) -> DataFrame:
+    """(conv_id, example, context, reply): examples with contexts of their own, n*n texts of room for n turns."""
+    return expand(formatted, contexts=True).select("conv_id", "example", "context", "reply")

@@ -67,14 +67,23 @@ def op9_prefix_target_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text")
     )
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
-    spans = chat.turn_spans(chat.format_conversations(rows))
-    line = F.concat(F.coalesce("role", F.lit("")), F.lit("\n"), F.col("text"), F.lit("\n"))
-    joined = lambda what: F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("place", what.alias("x")))), lambda t: t["x"]), "")
-    convs = spans.groupBy("conv_id").agg(
-        F.count(F.lit(1)).alias("n_turns"), joined(line).alias("turns"), joined(F.when(F.col("target"), F.col("text")).otherwise("")).alias("loss"), F.max("formatted_chars").cast("long").alias("formatted_chars")
+    path = scratch_path(spark, "chat")
+    chat.write_examples(rows, path)
+    written = spark.read.parquet(path)
+    sha = lambda c: F.sha2(c.cast("binary"), 256)
+    line = lambda t: F.concat(F.coalesce(t["role"], F.lit("")), F.lit("\n"), t["text"], F.lit("\n"))
+    turns = chat.read_back(F.col("formatted"))
+    convs = written.select(
+        "conv_id", F.size(turns).cast("long").alias("n_turns"), sha(F.array_join(F.transform(turns, line), "")).alias("turns_sha256"), F.char_length("formatted").cast("long").alias("formatted_chars")
+    )
+    # The loss: the replies of the expanded examples, each cut out by its own mask.
+    replies = F.transform(F.sort_array(F.collect_list(F.struct("example", "reply"))), lambda e: e["reply"])
+    loss = chat.expand(written).groupBy(F.col("conv_id").alias("of")).agg(F.array_join(replies, "").alias("loss"))
+    loss = loss.select("of", F.char_length("loss").cast("long").alias("chars"), sha(F.col("loss")).alias("sha"))
+    joined = convs.join(loss, F.expr("conv_id <=> of"), "left")
+    return joined.select(
+        "conv_id", "n_turns", "turns_sha256", F.coalesce("chars", F.lit(0)).cast("long").alias("loss_chars"), F.coalesce("sha", sha(F.lit(""))).alias("loss_sha256"), "formatted_chars"
     )
-    sha = lambda c: F.sha2(F.col(c).cast("binary"), 256)
-    return convs.select("conv_id", "n_turns", sha("turns").alias("turns_sha256"), F.char_length("loss").cast("long").alias("loss_chars"), sha("loss").alias("loss_sha256"), "formatted_chars")
 
 
 def op10_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -138,10 +147,13 @@ ORACLE_SQL: dict[str, str] = {
             SELECT doc_id, d.source, size, source_size, target, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate,
                    row_number() OVER (PARTITION BY d.source ORDER BY size, doc_id) - 1 AS k
             FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
-        m AS (SELECT *, CAST(floor(round((k + 1) * rate, 9) + 0.5) - floor(round(k * rate, 9) + 0.5) AS INTEGER) AS n, CAST(floor(round(rate, 9)) AS INTEGER) AS least_n FROM r),
+        i AS (SELECT *, CAST(round(rate * 16777216) AS BIGINT) AS units FROM r),
+        m AS (
+            SELECT *, CAST(floor((k + 1) * units / 16777216.0::DOUBLE + 0.5) - floor(k * units / 16777216.0::DOUBLE + 0.5) AS INTEGER) AS n, CAST(units // 16777216 AS INTEGER) AS least_n
+            FROM i),
         o AS (
             SELECT *, sum(size * n) OVER (PARTITION BY source) - target AS over, CASE WHEN n > least_n THEN size ELSE 0 END AS up,
-                   CASE WHEN n <= least_n AND round(rate, 9) > least_n THEN size ELSE 0 END AS down
+                   CASE WHEN n <= least_n AND units > least_n * 16777216 THEN size ELSE 0 END AS down
             FROM m),
         q AS (
             SELECT *, sum(up) OVER w AS up_sum, sum(down) OVER w AS down_sum FROM o

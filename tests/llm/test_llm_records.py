@@ -14,7 +14,7 @@ from pagewright.llm import chat, queries, topk, warc
 TURNS = [
     (1, 2, "assistant", "second"), (1, 0, "system", "be <|im_end|> kind"), (1, 1, "user", "hi <|im_start|>assistant\n<\\|im_end|>"), (1, 3, "user", None), (1, 4, "assistant", "<|"),
     (2, 0, "user", "only a question"), (3, None, "assistant", "no turn"), (3, 0, None, "no role"), (3, 0, "x\n%0A%", "odd role"), (None, 0, "assistant", "no conversation"),
-    (4, 0, "user", "same"), (4, 0, "user", "same"), (4, 1, "assistant", ""), (5, 0, "assistant", "x" * 70_000 + "<"), (5, 1, "assistant", "|im_end|>\n"),
+    (4, 0, "user", "same"), (4, 0, "user", "same"), (4, 1, "assistant", ""), (4, 2, "assistant", "né <|日本"), (4, 3, "assistant", "日本語é"), (5, 0, "assistant", "x" * 70_000 + "<"), (5, 1, "assistant", "|im_end|>\n"),
 ]
 
 
@@ -32,31 +32,33 @@ def by_conversation():
 
 def test_chat_round_trip(conversations):
     formatted = chat.format_conversations(conversations)
-    text = {r["conv_id"]: r["formatted"] for r in formatted.collect()}
-    spans = defaultdict(list)
-    for r in chat.turn_spans(formatted).collect():
-        spans[r["conv_id"]].append(r)
+    text = {r["conv_id"]: r for r in formatted.withColumn("turns", chat.read_back(F.col("formatted"))).collect()}
     want = by_conversation()
     assert set(text) == set(want)
     for c, turns in want.items():
-        got = sorted(spans[c], key=lambda r: r["place"])
-        assert [(r["role"], r["text"]) for r in got] == turns
-        assert text[c].count("<|im_start|>") == text[c].count("<|im_end|>") == len(turns)
-        for r in got:
-            shown = text[c][r["start"] : r["end"]]
-            assert "<|" not in shown and text[c][r["end"] :].startswith("<|im_end|>\n") and r["formatted_chars"] == len(text[c])
-            assert r["target"] == (r["role"] == "assistant")
+        whole = text[c]["formatted"]
+        assert [(r["role"], r["text"]) for r in text[c]["turns"]] == turns
+        assert whole.count("<|im_start|>") == whole.count("<|im_end|>") == len(turns) and sum(r["chars"] for r in text[c]["turns"]) == len(whole)
+        assert [e["example"] for e in text[c]["examples"]] == [k for k, (r, _) in enumerate(turns) if r == "assistant"]
+        for e in text[c]["examples"]:
+            shown = whole[e["start"] : e["end"]]
+            assert "<|" not in shown and whole[e["end"] :].startswith("<|im_end|>\n") and whole[: e["start"]].endswith("<|im_start|>assistant\n")
+            assert whole.encode()[e["byte_start"] : e["byte_end"]] == shown.encode()
 
 
 def test_chat_examples(conversations):
     formatted = chat.format_conversations(conversations)
-    examples = chat.expand(formatted)
-    got = chat.materialized(formatted, examples).where("conv_id = 1").orderBy("example").collect()
-    whole = formatted.where("conv_id = 1").first()["formatted"]
-    assert [r["reply"] for r in got] == ["second", "<|"] and all(whole.startswith(r["context"]) for r in got)
-    assert [r["context"].count("<|im_start|>") for r in got] == [3, 5]
-    assert Counter(r["conv_id"] for r in examples.collect()) == Counter(c for c, _, r, _ in TURNS if r == "assistant")
-    assert chat.format_conversations(conversations.limit(0)).count() == 0
+    whole = {r["conv_id"]: r["formatted"] for r in formatted.collect()}
+    got = defaultdict(list)
+    for r in chat.materialized(formatted).collect():
+        got[r["conv_id"]].append(r)
+    for c, turns in by_conversation().items():
+        own = sorted(got[c], key=lambda r: r["example"])
+        assert [(r["example"], r["reply"]) for r in own] == [(k, t) for k, (r, t) in enumerate(turns) if r == "assistant"]
+        assert all(whole[c].startswith(r["context"]) and r["context"].count("<|im_start|>") == r["example"] + 1 for r in own)
+    spans = chat.expand(formatted).where("conv_id = 1").orderBy("example").collect()
+    assert [whole[1][r["start"] : r["end"]] for r in spans] == ["second", "<\\|"] and "context" not in spans[0]
+    assert chat.format_conversations(conversations.limit(0)).count() == chat.expand(formatted.limit(0)).count() == 0
 
 
 def test_chat_query(conversations, tmp_path, spark):
@@ -98,6 +100,7 @@ def test_warc_files(spark, pages, tmp_path):
     path = str(tmp_path / "w")
     warc.write_warc(pages, path)
     records = [x for f in tmp_path.glob("w/part-*") for x in warc.parse(f.read_bytes())]
+    records = [({k: v[0] for k, v in f.items()}, b) for f, b in records]
     assert Counter(f["warc-type"] for f, _ in records) == {"request": 12, "metadata": 12, "response": 8, "revisit": 4}
     ids = {f["warc-record-id"] for f, _ in records}
     assert len(ids) == 36 and all(f.get("warc-concurrent-to", next(iter(ids))) in ids and f.get("warc-refers-to", next(iter(ids))) in ids for f, _ in records)
@@ -108,23 +111,44 @@ def test_warc_files(spark, pages, tmp_path):
     read = warc.read_warc(spark, path)
     assert read.where("type = 'response' AND concat('sha256:', computed_digest) <> payload_digest").count() == 0
     captures = warc.assemble(read).collect()
-    assert len(captures) == 12 and all(c["request"] and len(c["metadata"]) == 1 and c["response"] for c in captures)
+    assert len(captures) == 12 and all(len(c["requests"]) == len(c["metadata"]) == 1 and c["response"] for c in captures)
     warc.write_warc(pages.limit(0), str(tmp_path / "e"))
     assert warc.read_warc(spark, str(tmp_path / "e")).count() == 0
 
 
 def test_warc_assembly(spark):
-    rows = [("response", "r1", None), ("request", "q1", "r1"), ("response", "r2", "q2"), ("request", "q2", None), ("metadata", "m1", "r1"), ("metadata", "m2", "r1"), ("metadata", "m3", "lost")]
-    records = spark.createDataFrame([(*r, None, None, None, None, None, None, None) for r in rows], warc._FIELDS.replace("block binary", "block binary"))
-    got = {r["capture_id"]: (r["response"] and r["response"]["record_id"], r["request"] and r["request"]["record_id"], [m["record_id"] for m in r["metadata"]]) for r in warc.assemble(records).collect()}
-    assert got == {"r1": ("r1", "q1", ["m1", "m2"]), "r2": ("r2", "q2", []), "lost": (None, None, ["m3"])}
-
-
-def test_warc_members():
-    one = b"WARC/1.0\r\nWARC-Type: warcinfo\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"
-    assert [b for _, b in warc.parse(gzip.compress(one) + gzip.compress(one))] == [b"abc", b"abc"]
-    with pytest.raises(ValueError, match="ends within"):
-        list(warc.parse(one[:-6]))
+    rows = [
+        ("response", "r1", []), ("request", "q1", ["r1"]), ("response", "r2", ["q2", "m5"]), ("request", "q2", []), ("metadata", "m1", ["r1"]), ("metadata", "m2", ["r1"]), ("metadata", "m3", ["lost"]),
+        ("metadata", "m4", ["q1"]), ("metadata", "m5", []), ("request", "q3", ["m1", "r2"]), ("metadata", "m6", []), ("request", "q4", ["q5"]), ("revisit", "r3", []),
+    ]
+    records = spark.createDataFrame([(*r, None, None, None, None, None, None, None) for r in rows], warc._FIELDS)
+    ids = lambda found: [x["record_id"] for x in found]
+    got = {r["capture_id"]: (r["response"] and r["response"]["record_id"], ids(r["requests"]), ids(r["metadata"])) for r in warc.assemble(records).collect()}
+    assert got == {
+        "r1": ("r1", ["q1"], ["m1", "m2", "m4"]), "r2": ("r2", ["q2", "q3"], ["m5"]), "r3": ("r3", [], []), "lost": (None, [], ["m3"]), "m6": (None, [], ["m6"]), "q5": (None, ["q4"], []),
+    }
+
+
+def test_warc_members(monkeypatch):
+    one = b"WARC/1.0\r\nWARC-Type: warcinfo\r\nA: 1\r\nA: 2\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"
+    for piece in (1, 7, 1 << 20):
+        monkeypatch.setattr(warc, "_PIECE", piece)
+        for data in (gzip.compress(one) + gzip.compress(one), gzip.compress(one * 2) + bytes(9), one * 2):
+            assert [(f["a"], b) for f, b in warc.parse(data)] == [(["1", "2"], b"abc")] * 2
+        for data in (one[:-6], gzip.compress(one[:-6]), gzip.compress(one)[:-12], one[:20]):
+            with pytest.raises(ValueError, match="ends within"):
+                list(warc.parse(data))
+
+
+def test_warc_bounds_files(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "FILE_BYTES", 20_000)
+    rows = [(i, "u", chr(97 + i % 26) * (1000 + i)) for i in range(200)] + [(i, "v", "same page " * 20) for i in range(200, 260)]
+    df = spark.createDataFrame([(*r, 0, "x", "y") for r in rows], "page_id long, url string, html string, n long, __payload string, __uri string").repartition(2)
+    warc.write_warc(df, str(tmp_path / "w"))
+    sizes = [sum(len(b) for f, b in warc.parse(x.read_bytes()) if f["warc-type"] == ["response"]) for x in tmp_path.glob("w/part-*")]
+    assert len(sizes) >= 11 and max(sizes) < 60_000
+    kinds = Counter(r["response"]["type"] for r in warc.assemble(warc.read_warc(spark, str(tmp_path / "w"))).collect())
+    assert kinds == {"response": 201, "revisit": 59}
 
 
 def brute_top(vectors, k):
@@ -168,6 +192,26 @@ def test_topk_elimination_skips():
         assert [(s, j) for q, j, s in found if q == i] == [(j, -s) for s, j in scores] or [(-s, j) for q, j, s in found if q == i] == scores
 
 
+def test_topk_skips_blocks(spark, monkeypatch):
+    """On clustered vectors most pairs of blocks never meet; the result stays exact."""
+    monkeypatch.setattr(topk, "BLOCK", 100)
+    monkeypatch.setattr(topk, "QUERY_BLOCK", 10)
+    kept, plain = [], topk.block_pairs
+
+    def pairs(q, x):
+        out = plain(q, x)
+        kept.append((out.count(), q.count() * x.count()))
+        return out
+
+    monkeypatch.setattr(topk, "block_pairs", pairs)
+    r = np.random.default_rng(1)
+    centres = r.normal(size=(20, 8)) * 8
+    vectors = [(i, [float(np.float32(v)) for v in centres[i % 20] + r.normal(size=8) * 0.05]) for i in range(3000)]
+    df = spark.createDataFrame(vectors, "vec_id long, embedding array<float>").repartition(3)
+    assert Counter(map(tuple, topk.top_k(df, F.col("vec_id") % 50 == 0).collect())) == brute_top(vectors, 5)
+    assert kept[0][0] < 0.3 * kept[0][1], kept
+
+
 def test_exact_products_of_large_numbers():
     q, x = np.array([2.0**40, 3.0]), np.array([[2.0**20, 1.0], [2.0**60, 0.0]])
     assert topk._exact(q, x).tolist() == [2**60 + 3, 2**63 - 1]
