@@ -28,8 +28,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of full training sequences."""
-    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json")).drop("ids")
+    """The pieces of full training sequences, with their ids."""
+    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
 STAGES = [("toxicity", drop_toxic), ("near_dedup", drop_near_duplicates), ("mixing", mix_sources), ("packing", pack)]
