@@ -12,6 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import textrules
 from ..operators import documents, items, reports
 from ..sources import pdf
 
@@ -429,3 +430,22 @@ QUERIES["api8_lines_markdown"] = lambda spark, d: documents.lines_markdown(
     _items(spark, d, [{"text": _filled(t, "||"), "y": str(y), "font_size": str(s)} for t, y, s in _PREPARED]).withColumn("line_no", F.col("seq") + 1)
 )
 ORACLE_SQL["api8_lines_markdown"] = f"{_SQL} SELECT doc_id, '# Title' || chr(10) || chr(10) || 'Two three ' || n || chr(10) || chr(10) || 'Four' || chr(10) AS markdown FROM s"
+
+# Tables and images between lines, on pages of their own, and after the last line.
+_PICTURE = lambda name, y, page: {"text": f"'[Image: {name}]'", "y": str(y), "page": str(page), "font_size": "0", "item_type": "'image'"}
+_OBJECTS = [
+    {"text": "'above'", "y": "700"}, _PICTURE("Im1", 650, 1), {"text": "concat('below ', n)", "y": "600"}, *_grid([_HEAD, *_PARTS], 540), {"text": "'after'", "y": "400"},
+    _PICTURE("Im2", 500, 2), {"text": "'last'", "y": "700", "page": "3"}, _PICTURE("Im3", 100, 3), _PICTURE("Im4", 300, 4),
+]
+QUERIES["md_objects"] = lambda spark, d: documents.markdown(_items(spark, d, _OBJECTS))
+_BREAK = " || chr(10) || chr(10) || "
+ORACLE_SQL["md_objects"] = (
+    f"{_SQL} SELECT doc_id, 'above'{_BREAK}'![Image: Im1](image)' || chr(10) || 'below ' || n{_BREAK}{_shown([_HEAD, *_SQL_PARTS], (6, 3, 5, 5))} || chr(10) || 'after'{_BREAK}'![Image: Im2](image)'{_BREAK}'last'{_BREAK}"
+    f"'![Image: Im3](image)'{_BREAK}'![Image: Im4](image)' || chr(10) AS markdown FROM s"
+)
+
+# URLs beside and within brackets, and control characters.
+_BRACKETS = "[ https://a.b/{n} ] https://c.d/{n} [t](https://e.f/{a}) (https://g.h/i). \x01https://j.k/[x https://l.m/"
+_LINKED = "[ https://a.b/{n} ] [https://c.d/{n}](https://c.d/{n}) [t](https://e.f/{a}) ([https://g.h/i](https://g.h/i)). \x01[https://j.k/[x](https://j.k/[x) https://l.m/"
+QUERIES["md26_link_brackets"] = lambda spark, d: _documents(spark, d).select("doc_id", textrules.link_urls(F.expr(_filled(_BRACKETS.replace("\x01", "' || char(1) || '"), "||"))).alias("linked"))
+ORACLE_SQL["md26_link_brackets"] = f"{_SQL} SELECT doc_id, {_filled(_LINKED.replace(chr(1), chr(39) + ' || chr(1) || ' + chr(39)), '||')} AS linked FROM s"

@@ -19,16 +19,33 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = dict(document_que
 ORACLE_SQL: dict[str, str] = dict(document_queries.ORACLE_SQL)
 
 
+# Fixed values, written out here once more, so that a wrong one in the rules doesn't go unseen.
+_WS = r"\t\n\x0B\x0C\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+_CAPTIONS = (
+    "['Figure ', 'Figura ', 'Fig. ', 'Fig ', 'Table ', 'Tabela ', 'Source:', 'Fonte:', 'Source ', 'Fonte ', 'Note:', 'Nota:', 'Chart ', 'Gráfico ', 'Graph ', 'Diagram ', 'Image ', 'Imagem ',"
+    " 'Photo ', 'Foto ']"
+)
+_CODE = "['import ', 'export ', 'from ', 'const ', 'let ', 'var ', 'function ', 'class ', 'def ', 'pub fn ', 'fn ', 'async fn ', 'impl ', '=> ', '-> ', ':: ', ':= ']"
+_LETTERS = "a-zA-ZáàâãéèêíïóôõöúçñÁÀÂÃÉÈÊÍÏÓÔÕÖÚÇÑ"
+_BOLD_PARTS = "['bold', '-bd', '_bd', 'black', 'heavy', 'demibold', 'semibold', 'demi-bold', 'semi-bold', 'extrabold', 'ultrabold']"
+_ITALIC_PARTS = "['italic', 'oblique', '-it', '_it', 'slant', 'inclined', 'kursiv']"
+_MONO_PARTS = "['courier', 'consolas', 'monaco', 'menlo', 'mono', 'fixed', 'terminal', 'typewriter', 'source code', 'fira code', 'jetbrains', 'inconsolata']"
+
+
+def _any(test: str, words: str, x: str) -> str:
+    return f"len(list_filter({words}, lambda w: {test}({x}, w))) > 0"
+
+
 def _lit(pattern: str) -> str:
     return "'" + pattern.replace("'", "''") + "'"
 
 
 def _trim(x: str) -> str:
-    return f"regexp_replace({x}, {_lit(f'^[{t.WS}]+|[{t.WS}]+$')}, '', 'g')"
+    return f"regexp_replace({x}, {_lit(f'^[{_WS}]+|[{_WS}]+$')}, '', 'g')"
 
 
 def _trim_start(x: str) -> str:
-    return f"regexp_replace({x}, {_lit(f'^[{t.WS}]+')}, '')"
+    return f"regexp_replace({x}, {_lit(f'^[{_WS}]+')}, '')"
 
 
 def _has(x: str, pattern: str) -> str:
@@ -36,7 +53,7 @@ def _has(x: str, pattern: str) -> str:
 
 
 def _caption(x: str) -> str:
-    return f"({_has(_trim(x), t._starts(t.CAPTION_PREFIXES))} OR {_has(f'lower({_trim(x)})', t._starts(t.CAPTION_ANY_CASE))})"
+    return f"({_any('starts_with', _CAPTIONS, _trim(x))} OR {_has(f'lower({_trim(x)})', '^(figure |table |source:)')})"
 
 
 def _list(x: str) -> str:
@@ -47,20 +64,21 @@ def _list(x: str) -> str:
 
 def _list_format(x: str) -> str:
     s = _trim_start(x)
-    bullet = _has(s, f"^[{t.BULLETS}]")
+    bullet = _has(s, "^[•○●◦]")
     return f"CASE WHEN {bullet} THEN concat('- ', {_trim_start(f'substring({s}, 2)')}) ELSE {s} END"
 
 
 def _code(x: str) -> str:
     s = _trim(x)
     marks = f"length(regexp_replace({s}, {_lit(r'[^{}()\[\];=<>]')}, '', 'g'))"
-    return f"({_has(s, t._starts(t.CODE_PREFIXES))} OR ({marks} >= 3 AND strlen({s}) < 200) OR {_has(s, '[;{}]$')})"
+    return f"({_any('starts_with', _CODE, s)} OR ({marks} >= 3 AND strlen({s}) < 200) OR {_has(s, '[;{}]$')})"
 
 
 def _page_number(x: str) -> str:
     of = f"instr({x}, ' of ')"
     before, after = _trim(f"substring({x}, 1, {of} - 1)"), _trim(f"substring({x}, {of} + 4)")
-    some = " OR ".join(_has(f"lower({x})", p) for p in t.PAGE_NUMBER)
+    numbers = (r"^\d{1,4}$", f"^page[{_WS}]*($|of|[0-9])", f"^-[{_WS}]*[0-9]+[{_WS}]*-$")
+    some = " OR ".join(_has(f"lower({x})", p) for p in numbers)
     return f"({x} <> '' AND ({some} OR ({of} > 0 AND {_has(before, '^[0-9]+$')} AND {_has(after, '^[0-9]+$')})))"
 
 
@@ -69,16 +87,16 @@ def _dots(x: str) -> str:
 
 
 def _hyphens(x: str) -> str:
-    return f"regexp_replace({x}, {_lit(f'([{t.HYPHEN_LETTERS}]) - ([{t.HYPHEN_LETTERS}])')}, '\\1-\\2', 'g')"
+    return f"regexp_replace({x}, {_lit(f'([{_LETTERS}]) - ([{_LETTERS}])')}, '\\1-\\2', 'g')"
 
 
 def _urls(x: str) -> str:
-    return f"regexp_replace({x}, {_lit(f'({t.URL})')}, '[\\1](\\1)', 'g')"
+    return f"regexp_replace({x}, {_lit(f'(https?://[^{_WS}<>)\\]]+[^{_WS}<>)\\].,;])')}, '[\\1](\\1)', 'g')"
 
 
 def _ligatures(x: str) -> str:
     out = f"regexp_replace({x}, {_lit(r'[\x{0}-\x{8}\x{B}\x{C}\x{E}-\x{1F}]')}, '', 'g')"
-    for one, letters in t.LIGATURES.items():
+    for one, letters in (("ﬀ", "ff"), ("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬃ", "ffi"), ("ﬄ", "ffl")):
         out = f"replace({out}, '{one}', '{letters}')"
     return out
 
@@ -92,7 +110,7 @@ def _table_data(x: str) -> str:
     digit, short = _has(s, "[0-9]"), f"strlen({s}) <= 10"
     return (
         f"({s} <> '' AND ({_number(x)} OR ({short} AND {_has(s, '^[0-9/-]+$')} AND {_has(s, '[/-]')} AND {_has(s, '([0-9][/-]*){4}')})"
-        f" OR ({short} AND {_has(s, r'^[\pL\pN]+$')} AND {digit}) OR ({digit} AND {_has(s, '|'.join(t.UNIT_MARKS))})"
+        f" OR ({short} AND {_has(s, r'^[\pL\pN]+$')} AND {digit}) OR ({digit} AND {_has(s, '°|V|A|Hz|µ|pin')})"
         f" OR (contains({s}, '(') AND contains({s}, ')') AND {digit}) OR ({_has(s, '°[CF]')} AND contains({s}, 'to'))))"
     )
 
@@ -182,7 +200,7 @@ def _fonts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["fnt8_font_styles"] = _fonts
-_BOLD, _ITALIC, _MONO = (_has("lower(font)", "|".join(x)) for x in (t.BOLD_NAMES, t.ITALIC_NAMES, t.MONOSPACE_NAMES))
+_BOLD, _ITALIC, _MONO = (_any("contains", x, "lower(font)") for x in (_BOLD_PARTS, _ITALIC_PARTS, _MONO_PARTS))
 ORACLE_SQL["fnt8_font_styles"] = f"""
     WITH f AS (SELECT p_partkey, [{', '.join(map(_lit, FONT_NAMES))}][CAST(p_partkey % {len(FONT_NAMES)} + 1 AS INTEGER)] || '-' || (p_partkey % 7) AS font FROM part)
     SELECT p_partkey, font, {_BOLD} OR (contains(lower(font), 'medium') AND NOT contains(lower(font), 'mediumitalic')) AS is_bold,

@@ -80,3 +80,21 @@ def test_table_markdown():
     md = "| A   |\n| --- |\n| 1   |\n"
     got = merge_continuations({1: [(700, md)], 2: [(700, md.replace("1 ", "2 "))], 4: [(700, md)]}, {2, 4})
     assert set(got) == {1, 4} and got[1][0][1].endswith("| 1   |\n| 2   |\n")
+
+
+def test_cells():
+    small = Item("2", 106, 502, 3, 6, "F1", 6.0)
+    cell = lambda *items: cell_text(list(items))
+    word = lambda text, x: Item(text, x, 500, 5, 8, "F1", 8.0)
+    assert cell(word("12", 100), word("34", 105)) == "12 34"
+    assert cell(word("a-", 100), word("b", 110)) == "a-b" and cell(word("a", 100), word("-b", 110)) == "a-b"
+    assert cell(word("m", 100), small) == "m2" and cell(word("m", 100), word(" ", 103), word("n", 106)) == "m n" and cell() == ""
+
+
+def test_rules_of_tables():
+    assert is_consistent([["", ""]] * 3 + [["a", "b"]]) and not is_consistent([["a"] * 8, ["a"] * 4 + [""] * 4, ["a"] + [""] * 7])
+    assert not has_data([["a"] * 5, [""] * 5], SMALL) and has_data([["a"] * 5, ["word"] * 5], SMALL) and not has_data([["a"] * 5, ["word"] * 5], BODY)
+    assert clean_cells([["a", "b"], ["", "(1) x"], ["(2) y", "z"]]) == ([["a", "b (1) x"]], ["(2) y z"])
+
+
+from pagewright.layout.tables import BODY, SMALL, cell_text, has_data, is_consistent  # noqa: E402

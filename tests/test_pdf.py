@@ -106,3 +106,26 @@ def test_spark(spark, tmp_path):
     text = {names[r["doc_id"]]: r["text"] for r in pdf.extract_text(docs).collect()}
     assert text["text.pdf"].startswith("Hello\nWor ld\nHello")
     assert pdf.text_items(docs).where("error IS NULL").count() == 43
+
+
+def test_maps_by_names():
+    cmap = stream(b"begincodespacerange <0000> <FFFF> endcodespacerange beginbfchar <0001> <0046> endbfchar")
+    named = {"Type": b"/Font", "Subtype": b"/Type0", "BaseFont": b"/Sans", "ToUnicode": b"70 0 R"}
+    fonts = {"N1": {"Subtype": b"/Type1", "BaseFont": b"/ABCDEF+Sans"}, "E1": {"Subtype": b"/Type1", "BaseFont": b"/E", "Encoding": b"/WinAnsiEncoding"}}
+    data = simple([b"BT /N1 9 Tf <0001> Tj /FSans 9 Tf <0001> Tj /E1 9 Tf <FEFF0041> Tj ET"], fonts, more={70: cmap, 71: named})
+    d = Document(data)
+    assert [i["text"] for i in items(data)] == ["F", "F", "þÿA"]
+    maps = d.font_maps
+    assert set(maps.by_number) == {70} and set(maps.by_name) == {"Sans", "Sans_70"} and maps.get("FSa") is None and maps.get("XSansX") is maps.by_number[70]
+    assert raw_stream(data, 70).startswith(b"begincode") and raw_stream(data, 999) is None and raw_stream(b"1 0 obj stream\nx\r\nendstream", 1) == b"x"
+
+
+def test_styles():
+    names = {"foo-mediumitalic": (False, True), "Foo-Medium": (True, False), "A-Bd": (True, False), "SemiBoldOblique": (True, True), "Plain": (False, False)}
+    assert {n: (is_bold(n), is_italic(n)) for n in names} == names
+    wanted = {"f_i": "ﬁ", "f_l": "ﬂ", "f_f": "ﬀ", "f_f_i": "ﬃ", "f_f_l": "ﬄ", "partialdiff": "∂", "summation": "∑", "product": "∏", "radical": "√", "approxequal": "≈", "lozenge": "◊", "Lambda": "Λ", "lambda": "λ"}
+    assert {n: glyph_to_char(n) for n in wanted} == wanted and glyph_to_char("u41") is None
+
+
+from pagewright.pdf.content import is_bold, is_italic  # noqa: E402
+from pagewright.pdf.fonts import raw_stream  # noqa: E402
