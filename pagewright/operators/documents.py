@@ -18,7 +18,7 @@ from pyspark.sql.types import StructType
 from ..functions.markdown import MarkdownOptions, clean_markdown
 from .detect import DetectionConfig
 from .items import modal_sizes
-from ..sources.pdf import inspect
+from ..sources.pdf import detect_pdf_types, inspect, text_items  # noqa: F401  two are called by these names, too
 
 _FIELDS = ("text", "x", "y", "width", "height", "font", "font_size", "page", "is_bold", "is_italic", "item_type", "seq")
 
