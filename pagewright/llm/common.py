@@ -4,64 +4,141 @@ distributed ranks and prefix sums."""
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
 import tempfile
 import uuid
+import weakref
+from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-
+from pyspark.sql.types import ArrayType, StructField, StructType
 
 _HELD: dict[str, object] = {}
+_LAST: list[str] = []
 
 
 def hold(name: str, clear) -> None:
     """Called in a worker before it fills the memory called `name`: workers serve several operators one after the
-    other, so what others have remembered is cleared."""
+    other, so what others have remembered is cleared and handed back to the system."""
     _HELD.setdefault(name, clear)
     for other, forget in _HELD.items():
         if other != name:
             forget()
+    if _LAST and _LAST[0] != name:
+        release()
+    _LAST[:] = [name]
+
+
+def release() -> None:
+    """Hands a worker's free memory back to the system."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows and bytes of an Arrow batch at most: texts can be long, and a batch is held several times on its way.
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Lowers the session's Arrow batches to these bounds; each task holds only a few batches of texts."""
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.{name}"
+        now = spark.conf.get(key).removesuffix("b")
+        if not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(key, str(most))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir of the session.
 
-    Only where that is unset (single-machine sessions, as in tests) a folder of our own is set.
+    Only where that is unset in a session of one machine (as in tests) a folder of our own is set; on a cluster, whose
+    executors would not see it, that is an error.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
         path = tempfile.mkdtemp(prefix="pagewright-")
         spark.conf.set("spark.checkpoint.dir", path)
         spark.sparkContext.setCheckpointDir(path)
     return path
 
 
+def _remove(spark: SparkSession, path: str) -> None:
+    with contextlib.suppress(Exception):  # the session is gone: the folder's owner cleans up
+        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder, deleted when the driver ends."""
     path = f"{shared_dir(spark).rstrip('/')}/pagewright/{name}-{uuid.uuid4().hex}"
+    atexit.register(_remove, spark, path)
+    return path
 
-    def remove() -> None:
-        try:
-            jvm = spark.sparkContext._jvm
-            hadoop = jvm.org.apache.hadoop.fs.Path(path)
-            hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
-        except Exception:  # noqa: BLE001  the session is gone: the folder's owner cleans up
-            pass
 
-    atexit.register(remove)
-    return path
+#: Paths of the tables that `stored` has written, by their DataFrames.
+_STORED: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """df as a table written to the shared folder: cuts lineage and survives lost executors."""
+def stored(df: DataFrame, name: str, *over: DataFrame) -> DataFrame:
+    """df as a table written to the shared folder: cuts lineage and survives lost executors. over: earlier results of
+    `stored` that nothing needs once this one is written."""
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    _STORED[out] = path
+    forget(*over)
+    return out
+
+
+def forget(*over: DataFrame) -> None:
+    """Deletes tables that `stored` has written and nothing will read again."""
+    for df in over:
+        if path := _STORED.pop(df, None):
+            _remove(df.sparkSession, path)
+
+
+#: Of all rows, a key's share from which it is heavy; fewer keys than that are.
+HEAVY = 1000
+
+
+def join_counted(rows: DataFrame, groups: DataFrame, key: str, n: str, total: int, how: str = "left") -> DataFrame:
+    """rows joined (left or inner) to groups (key, n, ...: a row for each key, n of the `total` rows having it), without
+    `key` of groups.
+
+    Keys of more than 1/HEAVY of all rows, of which there are fewer than HEAVY, come to the driver and go into the plan
+    as a literal; their rows and those of null keys aren't shuffled, so no key's rows meet in one task. Names in
+    groups other than `key` are to be new to rows.
+    """
+    more, of = [c for c in groups.columns if c != key], F.col(f"`{key}`")
+    own = free_name(rows, "heavy_key")
+    entry = StructType([StructField("k", groups.schema[key].dataType), StructField("v", StructType([groups.schema[c] for c in more]))])
+    few = groups.where(F.col(n) * HEAVY > total).select(of.alias("k"), F.struct(*more).alias("v"))
+    heavy = few.select("k", F.to_json(F.struct("k", "v")).alias("entry")).collect()  # fewer than HEAVY rows
+    known = rows.where(of.isNotNull())
+    rest = groups.select(of.alias(own), *more)
+    parts = []
+    if heavy:
+        some = of.isin([r["k"] for r in heavy])
+        entries = F.from_json(F.lit("[" + ",".join(r["entry"] for r in heavy) + "]"), ArrayType(entry))
+        found = F.element_at(F.map_from_entries(entries), of)
+        parts.append(known.where(some).select("*", found.alias(own)).select(*(F.col(f"`{c}`") for c in rows.columns), *(F.col(f"{own}.`{c}`").alias(c) for c in more)))
+        known = known.where(~some)
+        rest = rest.where(~F.col(own).isin([r["k"] for r in heavy]))
+    parts.append(known.join(rest, of == F.col(own), how).drop(own))
+    if how == "left":
+        parts.append(rows.where(of.isNull()).select("*", *(F.lit(None).cast(groups.schema[c].dataType).alias(c) for c in more)))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def partitions(spark: SparkSession) -> int:

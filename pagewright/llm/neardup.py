@@ -10,6 +10,8 @@ only texts of buckets that still hold several components are compared with those
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -18,24 +20,38 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import hold, stored
+from .common import bounded_batches, hold, join_counted, stored
 
 WORDS_PER_SHINGLE = 5
 #: Link: 100 * intersection >= PERCENT * union.
 PERCENT = 75
-#: At the similarity 0.75 a pair shares no band with a probability of (1 - 0.75**ROWS)**BANDS, 2.3e-6.
-BANDS, ROWS = 48, 5
 BITS = 4
-#: Estimates of pairs at 0.75 have a deviation of 0.029; below this (4.5 deviations) a candidate is dropped.
-LEAST_ESTIMATE = 0.62
-#: Buckets up to this size are compared by a join, larger ones in blocks.
-SMALL_BUCKET, BLOCK = 32, 1000
+#: Buckets up to this size are compared by a join, larger ones in blocks of so many texts, or bytes of their full sets.
+SMALL_BUCKET, BLOCK, BLOCK_BYTES = 32, 4000, 16_000_000
 #: Bits of the bitmap of the texts to confirm.
 _BITMAP = 1 << 22
-_HASHES = BANDS * ROWS
 _U = np.uint64
-_MULTIPLIERS = np.random.default_rng(20240917).integers(0, 2**64, _HASHES, dtype=np.uint64) | _U(1)
-_BAND_MULTIPLIERS = np.random.default_rng(20240918).integers(0, 2**64, (BANDS, ROWS), dtype=np.uint64) | _U(1)
+
+
+@dataclass(frozen=True)
+class Plan:
+    """At the similarity 0.75 a pair shares no band with a probability of (1 - 0.75**rows)**bands, 2.3e-6 here; more
+    bands make that smaller. Estimates of pairs at 0.75 have a deviation of 0.029; below least_estimate (4.5
+    deviations) a candidate is dropped: minus infinity confirms every candidate on the full sets."""
+
+    bands: int = 48
+    rows: int = 5
+    least_estimate: float = 0.62
+
+    @property
+    def hashes(self) -> int:
+        return self.bands * self.rows
+
+
+@cache
+def _multipliers(plan: Plan) -> tuple[np.ndarray, np.ndarray]:
+    some = lambda seed, shape: np.random.default_rng(seed).integers(0, 2**64, shape, dtype=np.uint64) | _U(1)
+    return some(20240917, plan.hashes), some(20240918, (plan.bands, plan.rows))
 
 
 class _Words(dict):
@@ -71,39 +87,48 @@ def shingles(text: bytes | None) -> np.ndarray:
     return np.unique(h)
 
 
-def minima(found: np.ndarray) -> np.ndarray:
-    out = np.full(_HASHES, np.iinfo(np.uint64).max, dtype=np.uint64)
+def minima(found: np.ndarray, plan: Plan) -> np.ndarray:
+    factors, _ = _multipliers(plan)
+    out = np.full(plan.hashes, np.iinfo(np.uint64).max, dtype=np.uint64)
     for at in range(0, len(found), 1024):
-        np.minimum(out, (found[at : at + 1024, None] * _MULTIPLIERS).min(axis=0), out=out)
+        np.minimum(out, (found[at : at + 1024, None] * factors).min(axis=0), out=out)
     return out >> _U(32)
 
 
-def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    _hold()
-    for batch in batches:
-        for at in range(0, batch.num_rows, 1000):
-            part = batch.slice(at, 1000)
-            sets = [shingles(t) for t in part.column(1).to_pylist()]
-            low = np.stack([minima(s) for s in sets])
-            bands = (low.reshape(-1, BANDS, ROWS) * _BAND_MULTIPLIERS).sum(axis=2, dtype=np.uint64)
-            bands ^= bands >> _U(29)
-            packed = np.zeros((len(sets), _HASHES // 16), dtype=np.uint64)
-            for j in range(16):
-                packed |= (low[:, j::16] & _U(15)) << _U(4 * j)
-            fixed = lambda m: pa.FixedSizeListArray.from_arrays(pa.array(np.ascontiguousarray(m).view(np.int64).reshape(-1)), m.shape[1]).cast(pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays(
-                [part.column(0), part.column(2), part.column(3), pa.array([len(s) for s in sets], pa.int64()), pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()), fixed(bands), fixed(packed)],
-                ["key", "th1", "th2", "n", "set_hash", "bands", "sig"],
-            )
-
-
-def similarity(a: Column, b: Column) -> Column:
+def _signer(plan: Plan):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _hold()
+        _, factors = _multipliers(plan)
+        fixed = lambda m: pa.FixedSizeListArray.from_arrays(pa.array(np.ascontiguousarray(m).view(np.int64).reshape(-1)), m.shape[1]).cast(pa.list_(pa.int64()))
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                sizes, hashes, rows = [], [], []
+                for t in part.column(1):
+                    own = shingles(t.as_py())
+                    sizes.append(len(own))
+                    hashes.append(xxhash.xxh3_128_digest(own.tobytes()) if len(own) else None)
+                    rows.append(minima(own, plan))
+                low = np.stack(rows)
+                bands = (low.reshape(-1, plan.bands, plan.rows) * factors).sum(axis=2, dtype=np.uint64)
+                bands ^= bands >> _U(29)
+                packed = np.zeros((len(low), -(-plan.hashes // 16)), dtype=np.uint64)
+                for j in range(16):
+                    here = low[:, j::16] & _U(15)
+                    packed[:, : here.shape[1]] |= here << _U(4 * j)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), part.column(2), part.column(3), pa.array(sizes, pa.int64()), pa.array(hashes, pa.binary()), fixed(bands), fixed(packed)],
+                    ["key", "th1", "th2", "n", "set_hash", "bands", "sig"],
+                )
+
+    return run
+
+
+def similarity(a: Column, b: Column, hashes: int = Plan().hashes) -> Column:
     """Estimate from two packed signatures: places whose low bits differ, corrected for equality by chance."""
-    unlike = F.aggregate(
-        F.zip_with(a, b, lambda x, y: F.bit_count(_any_bit(x.bitwiseXOR(y)))), F.lit(0), lambda s, x: s + x
-    )
+    unlike = F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(_any_bit(x.bitwiseXOR(y)))), F.lit(0), lambda s, x: s + x)
     chance = 1 / 2**BITS
-    return (1 - unlike / _HASHES - chance) / (1 - chance)
+    return (1 - unlike / hashes - chance) / (1 - chance)
 
 
 def _any_bit(x: Column) -> Column:
@@ -123,30 +148,30 @@ def components(edges: DataFrame) -> DataFrame:
         near = both.join(labels, F.col("b") == F.col("node")).groupBy(F.col("a").alias("at")).agg(F.min("label").alias("low"))
         met = labels.join(near, F.col("node") == F.col("at")).select("node", F.col("label").alias("old"), F.least("label", "low").alias("new"))
         jump = labels.select(F.col("node").alias("by"), F.col("label").alias("far"))
-        after = stored(met.join(jump, F.col("new") == F.col("by"), "left").select("node", "old", F.least("new", "far").alias("label")), "labels")
-        labels = after.select("node", "label")
+        after = stored(met.join(jump, F.col("new") == F.col("by"), "left").select("node", "old", F.least("new", "far").alias("label")), "labels", labels)
+        labels = after
         if not after.where("old <> label").limit(1).count():
-            return labels
+            return after.select("node", "label")
 
 
 def _full_sets(nodes: DataFrame, docs: DataFrame, signed: DataFrame) -> DataFrame:
     """(uid, found): shingle hashes of the texts of nodes (uid), as bytes."""
-    needed = stored(nodes.join(signed.select("uid", "key", "th1", "th2"), "uid"), "needed").alias("w")
+    needed = stored(nodes.join(signed.select("uid", "key", "th1", "th2"), "uid"), "needed")
     # A bitmap of fixed size drops most other texts before the shuffle; the join that follows is exact.
     slot = lambda: F.pmod(F.col("th1"), F.lit(_BITMAP))
     bits = needed.select(slot().alias("s")).groupBy(F.floor(F.col("s") / 64).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(s % 64 as int))")).alias("bits"))
     some = docs.withColumn("s", slot()).join(F.broadcast(bits), F.floor(F.col("s") / 64) == F.col("word"))  # at most _BITMAP / 64 rows
     some = some.where(F.expr("(shiftrightunsigned(bits, cast(s % 64 as int)) & 1) = 1")).select("key", "text", "th1", "th2")
-    own = some.alias("d").join(needed, F.expr("d.th1 = w.th1 AND d.th2 = w.th2 AND d.key <=> w.key")).select("w.uid", "d.text")
+    own = some.alias("d").join(needed.alias("w"), F.expr("d.th1 = w.th1 AND d.th2 = w.th2 AND d.key <=> w.key")).select("w.uid", "d.text")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _hold()
         for b in batches:
-            for at in range(0, b.num_rows, 1000):
-                part = b.slice(at, 1000)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([shingles(t).tobytes() for t in part.column(1).to_pylist()], pa.binary())], ["uid", "found"])
+            for at in range(0, b.num_rows, 200):
+                part = b.slice(at, 200)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([shingles(t.as_py()).tobytes() for t in part.column(1)], pa.binary())], ["uid", "found"])
 
-    return stored(own.mapInArrow(sets, "uid long, found binary"), "sets")
+    return stored(own.mapInArrow(sets, "uid long, found binary"), "sets", needed)
 
 
 def _is_link(x: np.ndarray, y: np.ndarray) -> bool:
@@ -165,15 +190,15 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, signed: DataFrame) -> DataFram
             keep = [_is_link(*(np.frombuffer(b.column(c)[i].as_buffer(), np.uint64) for c in (2, 3))) for i in range(b.num_rows)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return stored(pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "fa", "fb").mapInArrow(links, "a long, b long").distinct(), "links")
+    return stored(pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "fa", "fb").mapInArrow(links, "a long, b long").distinct(), "links", full)
 
 
-def _likely(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+def _likely(pairs: DataFrame, nodes: DataFrame, plan: Plan) -> DataFrame:
     """Pairs (a, b) with their estimate, where sizes and estimate allow a link."""
     a = nodes.select(F.col("uid").alias("a"), F.col("n").alias("na"), F.col("sig").alias("sa"))
     b = nodes.select(F.col("uid").alias("b"), F.col("n").alias("nb"), F.col("sig").alias("sb"))
     near = pairs.join(a, "a").join(b, "b").where(100 * F.least("na", "nb") >= PERCENT * F.greatest("na", "nb"))
-    return near.select("a", "b", similarity(F.col("sa"), F.col("sb")).alias("estimate")).where(F.col("estimate") >= LEAST_ESTIMATE)
+    return near.select("a", "b", similarity(F.col("sa"), F.col("sb"), plan.hashes).alias("estimate")).where(F.col("estimate") >= plan.least_estimate)
 
 
 def _crossing(pairs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -183,45 +208,88 @@ def _crossing(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     return named.withColumns({"la": F.coalesce("la", "a"), "lb": F.coalesce("lb", "b")}).where("la <> lb")
 
 
-def _across_small(members: DataFrame) -> DataFrame:
+def _across_small(members: DataFrame, plan: Plan) -> DataFrame:
     """(a, b) of all likely pairs of different components in buckets up to SMALL_BUCKET, from members (bucket, uid,
     label, size, n, sig)."""
     small = members.where(F.col("size") <= SMALL_BUCKET)
     x, y = small.alias("x"), small.alias("y")
     sizes = 100 * F.least("x.n", "y.n") >= PERCENT * F.greatest("x.n", "y.n")
     pairs = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.label") < F.col("y.label")) & sizes)
-    likely = pairs.where(similarity(F.col("x.sig"), F.col("y.sig")) >= LEAST_ESTIMATE)
+    likely = pairs.where(similarity(F.col("x.sig"), F.col("y.sig"), plan.hashes) >= plan.least_estimate)
     return likely.select(F.least("x.uid", "y.uid").alias("a"), F.greatest("x.uid", "y.uid").alias("b")).distinct()
 
 
-def _links_of_large(members: DataFrame, docs: DataFrame, signed: DataFrame, nodes: DataFrame) -> DataFrame:
+def _dealt(marked: DataFrame, facts: DataFrame) -> DataFrame:
+    """Rows of marked (bucket, band, uid, label, main, n) in blocks: those outside their bucket's main component (side
+    0) meet all its rows (side 1), a block of the ones with a block of the others in each group (bucket, p, q)."""
+    minor = F.col("label") != F.col("main")
+    blocks = lambda rows, sizes: F.greatest(F.ceil(rows / F.lit(BLOCK)), F.ceil(sizes * 8 / F.lit(BLOCK_BYTES)), F.lit(1)).cast("int")
+    totals = marked.groupBy("bucket").agg(
+        F.count(F.lit(1)).alias("rows"), blocks(F.count_if(minor), F.coalesce(F.sum(F.when(minor, F.col("n"))), F.lit(0))).alias("ps"), blocks(F.count(F.lit(1)), F.sum("n")).alias("qs")
+    )
+    every = lambda of: F.explode(F.sequence(F.lit(0), of - 1))
+    some = lambda k, of: F.pmod(F.xxhash64("uid", F.lit(k)), of).cast("int")
+    known = join_counted(marked, totals, "bucket", "rows", marked.count(), "inner")
+    left = known.where(minor).withColumns({"p": some(1, F.col("ps")), "side": F.lit(0)}).withColumn("q", every(F.col("qs")))
+    right = known.withColumns({"q": some(2, F.col("qs")), "side": F.lit(1)}).withColumn("p", every(F.col("ps")))
+    return left.unionByName(right).select("bucket", "band", "p", "q", "side", "uid", "label").join(facts, "uid")
+
+
+def _likely_in_block(t: pa.Table, plan: Plan) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each row of side 0 that has any: its place, and places and estimates of those rows of side 1 in other
+    components that may be linked with it and share no earlier bucket."""
+    get = lambda c: t[c].combine_chunks().to_numpy(zero_copy_only=False)
+    matrix = lambda c: t[c].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(t.num_rows, -1)
+    label, n, side, band = (get(c) for c in ("label", "n", "side", "band"))
+    sig, bands = matrix("sig").view(np.uint64), matrix("bands")
+    right = np.flatnonzero(side == 1)
+    for i in np.flatnonzero(side == 0):
+        j = right[label[right] != label[i]]
+        j = j[100 * np.minimum(n[i], n[j]) >= PERCENT * np.maximum(n[i], n[j])]
+        d = sig[j] ^ sig[i]
+        d |= d >> _U(1)
+        d |= d >> _U(2)
+        unlike = np.bitwise_count(d & _U(0x1111111111111111)).sum(axis=1)
+        est = (1 - unlike / plan.hashes - 1 / 2**BITS) / (1 - 1 / 2**BITS)
+        ok = est >= plan.least_estimate
+        j, est = j[ok], est[ok]
+        first = (bands[j] == bands[i]).argmax(axis=1) == band[i]
+        if first.any():
+            yield int(i), j[first], est[first]
+
+
+def _links_of_large(members: DataFrame, docs: DataFrame, signed: DataFrame, nodes: DataFrame, plan: Plan) -> DataFrame:
     """Links (a, b) between different components in buckets over SMALL_BUCKET: enough of them to join whatever is linked.
 
     Members outside a bucket's largest component meet all members, in pairs of blocks; a pair is looked at in the
-    first bucket that it shares, first by its packed bits and then on the full sets, unless links found before in
-    the task have joined its components. So a task gives fewer links than it has members.
+    first bucket that it shares. Blocks of packed bits tell which texts have a likely partner at all; only those
+    are dealt out again, with their full sets, and compared unless links found before in the task have joined
+    their components. So a task gives fewer links than it has members.
     """
     large = members.where(F.col("size") > SMALL_BUCKET).select("bucket", "band", "uid", "label", "size")
     by_label = large.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("k"))
-    main = by_label.groupBy("bucket").agg(F.max_by("label", "k").alias("main"), (F.sum("k") - F.max("k")).alias("others"))
-    marked = stored(large.join(main, "bucket"), "large")
+    main = by_label.groupBy("bucket").agg(F.max_by("label", "k").alias("main"), F.sum("k").alias("rows"))
+    marked = join_counted(large, main, "bucket", "rows", large.count(), "inner").drop("rows", "size")
+    marked = stored(marked.join(nodes.select("uid", "n"), "uid"), "large")
     if not marked.limit(1).count():
         return marked.select(F.col("uid").alias("a"), F.col("uid").alias("b")).limit(0)
-    found = _full_sets(marked.select("uid").distinct(), docs, signed)
-    facts = nodes.select("uid", "n", "sig", "bands").join(found, "uid")
-    some = lambda k, of: F.pmod(F.xxhash64("uid", F.lit(k)), F.ceil(of / BLOCK)).cast("int")
-    every = lambda of: F.explode(F.sequence(F.lit(0), F.ceil(of / BLOCK).cast("int") - 1))
-    minor = marked.where("label <> main")
-    left = minor.withColumns({"p": some(1, F.col("others")), "side": F.lit(0)}).withColumn("q", every(F.col("size")))
-    right = marked.withColumns({"q": some(2, F.col("size")), "side": F.lit(1)}).withColumn("p", every(F.col("others")))
-    dealt = left.unionByName(right).select("bucket", "band", "p", "q", "side", "uid", "label").join(facts, "uid")
+
+    def likely(t: pa.Table) -> pa.Table:
+        uid, bucket = (t[c].combine_chunks().to_numpy() for c in ("uid", "bucket"))
+        hit = np.zeros(t.num_rows, bool)
+        for i, j, _ in _likely_in_block(t, plan):
+            hit[i] = True
+            hit[j] = True
+        return pa.table({"at": pa.array(bucket[hit]), "of": pa.array(uid[hit])})
+
+    light = _dealt(marked, nodes.select("uid", "n", "sig", "bands"))
+    hits = light.groupBy("bucket", "p", "q").applyInArrow(likely, "at long, of long").distinct()
+    left = stored(marked.join(hits, (F.col("bucket") == F.col("at")) & (F.col("uid") == F.col("of")), "left_semi"), "hits", marked)
+    found = _full_sets(left.select("uid").distinct(), docs, signed)
 
     def compare(t: pa.Table) -> pa.Table:
-        get = lambda c: t[c].combine_chunks().to_numpy(zero_copy_only=False)
-        matrix = lambda c: np.array(t[c].to_pylist(), dtype=np.int64)
-        uid, label, n, side, band = (get(c) for c in ("uid", "label", "n", "side", "band"))
-        sig, bands, sets = matrix("sig").view(np.uint64), matrix("bands"), t["found"].combine_chunks()
-        right = np.flatnonzero(side == 1)
+        uid, label = (t[c].combine_chunks().to_numpy() for c in ("uid", "label"))
+        sets = t["found"].combine_chunks()
         parent: dict[int, int] = {}
 
         def find(x: int) -> int:
@@ -230,19 +298,8 @@ def _links_of_large(members: DataFrame, docs: DataFrame, signed: DataFrame, node
             return x
 
         out: list[tuple[int, int]] = []
-        for i in np.flatnonzero(side == 0):
-            j = right[label[right] != label[i]]
-            j = j[100 * np.minimum(n[i], n[j]) >= PERCENT * np.maximum(n[i], n[j])]
-            d = sig[j] ^ sig[i]
-            d |= d >> _U(1)
-            d |= d >> _U(2)
-            unlike = np.bitwise_count(d & _U(0x1111111111111111)).sum(axis=1)
-            est = (1 - unlike / _HASHES - 1 / 2**BITS) / (1 - 1 / 2**BITS)
-            ok = est >= LEAST_ESTIMATE
-            j, est = j[ok], est[ok]
-            first = (bands[j] == bands[i]).argmax(axis=1) == band[i]
-            j, est = j[first], est[first]
-            x = np.frombuffer(sets[int(i)].as_buffer(), np.uint64)
+        for i, j, est in _likely_in_block(t, plan):
+            x = np.frombuffer(sets[i].as_buffer(), np.uint64)
             for k in j[np.argsort(-est, kind="stable")]:
                 a, b = find(int(label[i])), find(int(label[k]))
                 if a != b and _is_link(x, np.frombuffer(sets[int(k)].as_buffer(), np.uint64)):
@@ -250,19 +307,21 @@ def _links_of_large(members: DataFrame, docs: DataFrame, signed: DataFrame, node
                     out.append((int(uid[i]), int(uid[k])))
         return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
 
-    return stored(dealt.groupBy("bucket", "p", "q").applyInArrow(compare, "a long, b long").distinct(), "links")
+    full = _dealt(left, nodes.select("uid", "n", "sig", "bands").join(found, "uid"))
+    return stored(full.groupBy("bucket", "p", "q").applyInArrow(compare, "a long, b long").distinct(), "links", found, left)
 
 
-def _labelled(docs: DataFrame, key: str, text: str) -> DataFrame:
+def _labelled(docs: DataFrame, key: str, text: str, plan: Plan) -> DataFrame:
     """(key, th1, th2, n, set_hash, first) for each row of docs: two hashes of its text and the first row (no, key, th1,
     th2) of its component, in order of keys with nulls last; null for a row without shingles."""
+    bounded_batches(docs.sparkSession)
     own = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text"))
     own = own.withColumns({"th1": F.xxhash64("text"), "th2": F.xxhash64(F.lit(1), "text")})
     kind = docs.schema[key].dataType.simpleString()
-    signed = own.select("key", "text", "th1", "th2").mapInArrow(_sign, f"key {kind}, th1 long, th2 long, n long, set_hash binary, bands array<long>, sig array<long>")
+    signed = own.select("key", "text", "th1", "th2").mapInArrow(_signer(plan), f"key {kind}, th1 long, th2 long, n long, set_hash binary, bands array<long>, sig array<long>")
     signed = stored(signed.withColumn("uid", F.monotonically_increasing_id()), "signed")
     row = F.struct(F.col("key").isNull().alias("no"), "key", "th1", "th2")
-    classes = stored(signed.where("n > 0").groupBy("set_hash").agg(F.min("uid").alias("rep"), F.min(row).alias("least")), "classes")
+    classes = stored(signed.where("n > 0").groupBy("set_hash").agg(F.min("uid").alias("rep"), F.min(row).alias("least"), F.count(F.lit(1)).alias("rows")), "classes")
     nodes = stored(signed.join(classes.select(F.col("rep").alias("uid")), "uid", "left_semi").select("uid", "n", "sig", "bands"), "nodes")
 
     # Bucket: a band's number and hash. Only buckets of several texts matter.
@@ -270,35 +329,37 @@ def _labelled(docs: DataFrame, key: str, text: str) -> DataFrame:
     # Its centre is any of them, another one in each bucket, so that a text meets many of its like.
     mask = F.col("bucket").bitwiseAND(F.lit((1 << 62) - 1))
     full = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min(F.col("uid").bitwiseXOR(mask)).alias("low")).where("size > 1")
-    members = stored(buckets.join(full, "bucket").select("bucket", "band", "uid", "size", F.col("low").bitwiseXOR(mask).alias("centre")), "members")
+    full = stored(full, "full")
+    met = join_counted(buckets, full, "bucket", "size", nodes.count() * plan.bands, "inner")
+    members = stored(met.select("bucket", "band", "uid", "size", F.col("low").bitwiseXOR(mask).alias("centre")), "members")
     stars = members.where("uid <> centre").select(F.least("centre", "uid").alias("a"), F.greatest("centre", "uid").alias("b")).distinct()
-    likely = stored(_likely(stars, nodes), "likely")
+    likely = stored(_likely(stars, nodes, plan), "likely")
     likeliest = W.partitionBy("b").orderBy(F.desc("estimate"), "a")
     tested = stored(likely.withColumn("r", F.row_number().over(likeliest)).where("r = 1").select("a", "b"), "tested")
     links = _confirmed(tested, own, signed)
     labels = components(links)
     again = _crossing(likely.join(tested, ["a", "b"], "left_anti"), labels).withColumn("r", F.row_number().over(likeliest)).where("r <= 4")
-    more = stored(again.select("a", "b"), "more")
-    links = stored(links.unionByName(_confirmed(more, own, signed)), "links")
+    more = stored(again.select("a", "b"), "more", likely)
+    links = stored(links.unionByName(_confirmed(more, own, signed)), "links", links)
     labels = components(links)
     tested = tested.unionByName(more)
 
     # What is left: buckets that still hold several components.
     of = members.join(labels, F.col("uid") == F.col("node"), "left").withColumn("label", F.coalesce("label", "uid")).select("bucket", "band", "uid", "size", "label")
-    several = of.groupBy("bucket").agg((F.min("label") != F.max("label")).alias("several")).where("several").select("bucket")
-    mixed = stored(of.join(several, "bucket"), "mixed")
-    waiting = stored(_across_small(mixed.join(nodes.select("uid", "n", "sig"), "uid")).join(tested, ["a", "b"], "left_anti"), "waiting")
-    new = _confirmed(waiting, own, signed).unionByName(_links_of_large(mixed, own, signed, nodes))
+    several = of.groupBy("bucket").agg((F.min("label") != F.max("label")).alias("several"), F.count(F.lit(1)).alias("rows")).where("several").drop("several")
+    mixed = stored(join_counted(of, several, "bucket", "rows", members.count(), "inner").drop("rows"), "mixed", members)
+    waiting = stored(_across_small(mixed.join(nodes.select("uid", "n", "sig"), "uid"), plan).join(tested, ["a", "b"], "left_anti"), "waiting")
+    new = _confirmed(waiting, own, signed).unionByName(_links_of_large(mixed, own, signed, nodes, plan))
     if new.limit(1).count():
         labels = components(links.unionByName(new))
 
     named = classes.join(labels, F.col("rep") == F.col("node"), "left").withColumn("label", F.coalesce("label", "rep"))
     lowest = named.groupBy("label").agg(F.min("least").alias("first"))
-    of = stored(named.join(lowest, "label").select("set_hash", "first"), "components")
-    return signed.select("key", "th1", "th2", "n", "set_hash").join(of, "set_hash", "left")  # a hot class: split by adaptive execution
+    of = stored(named.join(lowest, "label").select("set_hash", "rows", "first"), "components", classes, nodes, mixed)
+    return join_counted(signed.select("key", "th1", "th2", "n", "set_hash"), of, "set_hash", "rows", signed.count()).drop("rows")
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", plan: Plan = Plan()) -> DataFrame:
     """A row for each row of docs: (key, n_shingles, component_id, kept).
 
     component_id: the smallest key that is reachable over links; kept: the row's key is that key. Links hold
@@ -307,15 +368,15 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     gets its component's id, null if that has none. Rows that repeat are linked with each other. Other
     columns of docs play no part. An empty table gives no rows.
     """
-    joined = _labelled(docs, key, text)
+    joined = _labelled(docs, key, text, plan)
     component = F.when(F.col("set_hash").isNull(), F.col("key")).otherwise(F.col("first.key"))
     return joined.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("key").eqNullSafe(component).alias("kept"))
 
 
-def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", plan: Plan = Plan()) -> DataFrame:
     """One row of each component of docs: that of the smallest key (nulls last), of several the one whose text has the
     smallest hash. Rows without shingles are their own components; of rows equal in key and text one stays."""
-    rows = stored(_labelled(docs, key, text).select("key", "th1", "th2", "first"), "rows")
+    rows = stored(_labelled(docs, key, text, plan).select("key", "th1", "th2", "first"), "rows")
     here = F.struct(F.col("key").isNull().alias("no"), "key", "th1", "th2")
     gone = rows.where(F.col("first").isNotNull() & ~here.eqNullSafe(F.col("first"))).select("key", "th1", "th2").distinct()
     own = F.coalesce(F.col(f"d.`{text}`"), F.lit("")).cast("binary")
