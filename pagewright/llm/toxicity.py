@@ -18,13 +18,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name, hold
+from .common import bounded_batches, free_name, hold, stored
 
 BITS = 32
 #: Words of a window; the next one starts half of it later. A text of up to so many words is one window.
 WINDOW = 512
 #: Labelled rows to learn from, at most (about; a hash of doc_id selects them). Documents to score have no bound.
 TRAIN_ROWS = 18_000
+#: Distinct grams of those rows, counted row by row, at most (in order of a hash, whole rows): what the driver holds is
+#: at most four bytes of each. Grams of fewer rows than LEAST_ROWS keep the weight zero.
+TRAIN_GRAMS, LEAST_ROWS = 24_000_000, 3
 THRESHOLD = 0.3
 _U = np.uint64
 
@@ -67,20 +70,11 @@ class Model:
     bias: float = -np.inf
 
 
-def fit(examples: list[tuple[np.ndarray, int]], alpha: float = 0.5, beta: float = 1.0, l1: float = 6.0, l2: float = 1.0, epochs: int = 3, positive: float = 2.0) -> Model:
-    """FTRL-proximal over (distinct places, label 0 or 1) in the order given; an example of label 1 counts `positive` times."""
+def fit(known: np.ndarray, examples: list[tuple[np.ndarray, int]], alpha: float = 0.5, beta: float = 1.0, l1: float = 6.0, l2: float = 1.0, epochs: int = 3, positive: float = 2.0) -> Model:
+    """FTRL-proximal over (numbers of distinct places in `known`, label 0 or 1) in the order given; an example of label
+    1 counts `positive` times."""
     if not examples:
         return Model()
-    # A place's z moves by less than max(1, positive) at each of its examples, so a place of fewer keeps weight 0.
-    known, examples_of = np.unique(np.concatenate([f for f, _ in examples]), return_counts=True)
-    known = known[examples_of * epochs * max(1.0, positive) > l1]
-    del examples_of
-
-    def numbers(f: np.ndarray) -> np.ndarray:
-        at = np.searchsorted(known, f)
-        return at[known.take(at, mode="clip") == f].astype(np.int32) if len(known) else np.zeros(0, np.int32)
-
-    examples = [(numbers(f), y) for f, y in examples]
     z, n = np.zeros(len(known)), np.zeros(len(known))
     bz = bn = 0.0
 
@@ -106,27 +100,48 @@ def held_out(key: str = "doc_id"):
     return F.crc32(F.col(key).cast("string").cast("binary")) % 4 == 2
 
 
-def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, key: str = "doc_id", text: str = "text", label: str = "toxic") -> Model:
-    """Learns from at most about `rows` labelled documents that aren't held out, chosen by a hash of the key.
+def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, grams: int = TRAIN_GRAMS, key: str = "doc_id", text: str = "text", label: str = "toxic") -> Model:
+    """Learns from at most about `rows` labelled documents that aren't held out, chosen by a hash of the key, of at most
+    `grams` distinct grams in all.
 
-    Labels other than 0 and 1 and null keys don't count; of labels that repeat for a key the largest does.
-    The features of the chosen documents (whole texts) come to the driver: `rows` times the distinct grams.
+    Labels other than 0 and 1 and null keys don't count; of labels that repeat for a key the largest does. Texts are
+    learnt from as a whole. Only numbers of grams that LEAST_ROWS rows have come to the driver.
     """
+    bounded_batches(docs.sparkSession)
     own = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull() & ~held_out(key)).groupBy(F.col(key).alias("key")).agg(F.max(label).cast("int").alias("y"))
     share = min(1.0, rows / max(1, own.count()))
     chosen = own.where(F.pmod(F.xxhash64("key", F.lit(7)), F.lit(1 << 30)) < int(share * (1 << 30)))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def grams_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _hold()
         for b in batches:
-            found = [np.unique(features(t)).tobytes() for t in b.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(found, pa.binary())], ["key", "y", "found"])
+            for k, y, t in zip(*(b.column(c) for c in range(3)), strict=True):
+                found = np.unique(features(t.as_py()))
+                rank = [xxhash.xxh3_64_intdigest(x) >> 1 for x in (str(k.as_py()), found.tobytes())]
+                yield pa.RecordBatch.from_arrays([*(pa.array([x], pa.int64()) for x in (*rank, len(found))), pa.array([y.as_py()], pa.int32()), pa.array([found.view(np.int32)], pa.list_(pa.int32()))], ["rank", "tie", "n", "y", "found"])
 
     table = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).join(F.broadcast(chosen), "key").select("key", "y", "text")  # chosen: bounded by rows
-    kind = docs.schema[key].dataType.simpleString()
-    got = table.mapInArrow(run, f"key {kind}, y int, found binary").toArrow()
-    rank = sorted(range(got.num_rows), key=lambda i: (xxhash.xxh3_64_intdigest(str(got["key"][i].as_py())), got["found"][i].as_py()))
-    return fit([(np.frombuffer(got["found"][i].as_py(), np.uint32), got["y"][i].as_py()) for i in rank])
+    found = stored(table.mapInArrow(grams_of, "rank long, tie long, n long, y int, found array<int>"), "grams")
+    order = sorted(map(tuple, found.select("rank", "tie", "n").collect()))  # bounded by rows: three numbers each
+    upto = np.cumsum([n for _, _, n in order])
+    last = next((order[i - 1][:2] if i else (-1, -1) for i in np.flatnonzero(upto > grams)[:1]), None)
+    if last:
+        found = found.where((F.col("rank") < last[0]) | ((F.col("rank") == last[0]) & (F.col("tie") <= last[1])))
+    often = found.select(F.explode("found").alias("place")).groupBy("place").count().where(F.col("count") >= LEAST_ROWS)
+    known = np.sort(often.select("place").toArrow()["place"].to_numpy().view(np.uint32))  # at most grams / LEAST_ROWS
+
+    def numbers_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            numbers = []
+            for x in b.column(3):
+                f = x.values.to_numpy().view(np.uint32)
+                at = np.searchsorted(known, f)
+                numbers.append(at[known.take(at, mode="clip") == f].astype(np.int32).tobytes() if len(known) else b"")
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(numbers, pa.binary())], ["rank", "tie", "y", "numbers"])
+
+    got = found.select("rank", "tie", "y", "found").mapInArrow(numbers_of, "rank long, tie long, y int, numbers binary").toArrow()
+    rank = np.lexsort((got["tie"].to_numpy(), got["rank"].to_numpy()))
+    return fit(known, [(np.frombuffer(got["numbers"][int(i)].as_buffer(), np.int32), got["y"][int(i)].as_py()) for i in rank])
 
 
 def logit(text: str | None, model: Model, some: np.ndarray) -> float:
@@ -157,6 +172,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", score_column: str =
     Every row gets its score, repeats too. The score column goes last; a column of docs by that name is
     replaced. An empty table stays empty.
     """
+    bounded_batches(docs.sparkSession)
     name = free_name(docs, "toxicity_score")
 
     @F.pandas_udf("double")
