@@ -5,30 +5,31 @@ bitmap that says which ids go on; level 1 holds the next chunk of those alone, w
 and so on. A rank directory (ones before every 512 bits) gives an id's place on the next level, so any
 id is found by a few look-ups, without decoding its neighbours.
 
-Segment: magic, then little-endian numbers: documents, ids, levels (u64 each); document ids (i64), a byte
+Segment: magic; documents, ids and levels as decimals of 20 digits; document ids (little-endian i64), a byte
 each that is 1 for a null document id, first ids of the documents (u64, one more than documents); then for
 each level: length (u64), chunks (a byte each), bitmap (64-bit words), ranks (u64 for every 512 bits).
-Segments are rows of a Parquet table, which Spark commits whole and on any file system.
+Each segment is a plain file of its own, written as it is by Spark's text writer (a line break ends it), which commits
+files whole and on any file system; `_index` in the same folder says which ids are where. One id takes a few
+ranged reads of at most 64 bytes (`TokenStore`).
 """
 
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ordered, partitions
+from .common import bounded_batches, ordered, partitions
 from .tokens import encoder
 
-MAGIC = b"PWDAC001"
+MAGIC = b"PWDAC002"
 #: Ids of a segment: it ends with the document that reaches them.
-SEGMENT = 1_000_000
-_BLOCK = 512
+SEGMENT = 4_000_000
+_BLOCK, _HEAD = 512, 68
 
 
 def encode(doc_ids: list[int | None], ids: list[bytes]) -> bytes:
@@ -46,38 +47,54 @@ def encode(doc_ids: list[int | None], ids: list[bytes]) -> bytes:
         left = left[more] >> 8
         if not len(left):
             break
-    head = np.array([len(doc_ids), int(first[-1]), len(levels)], dtype="<u8").tobytes()
+    head = b"%020d%020d%020d" % (len(doc_ids), int(first[-1]), len(levels))
     keys = np.array([x or 0 for x in doc_ids], dtype="<i8").tobytes()
     return MAGIC + head + keys + bytes(x is None for x in doc_ids) + first.tobytes() + b"".join(levels)
 
 
+def _layout(read: Callable[[int, int], bytes]) -> tuple[int, int, list[tuple[int, int, int, int]]]:
+    """Documents, ids and for each level (length, place of its chunks, of its bitmap, of its ranks); read(place, bytes)."""
+    head = bytes(read(0, _HEAD))
+    if head[:8] != MAGIC:
+        raise ValueError("no segment of directly addressable codes")
+    docs, n, levels = (int(head[8 + 20 * k : 28 + 20 * k]) for k in range(3))
+    at, out = _HEAD + 9 * docs + 8 * (docs + 1), []
+    for _ in range(levels):
+        size = int.from_bytes(read(at, 8), "little")
+        blocks = -(-size // _BLOCK)
+        out.append((size, at + 8, at + 8 + size, at + 8 + size + blocks * _BLOCK // 8))
+        at = out[-1][3] + 8 * blocks
+    return docs, n, out
+
+
+def read_id(read: Callable[[int, int], bytes], i: int) -> int:
+    """Id i of a segment of which read(place, bytes) gives any part: a few reads of at most 64 bytes."""
+    _, n, levels = _layout(read)
+    if not 0 <= i < n:
+        raise IndexError(i)
+    value = 0
+    for k, (_, chunks, bits, ranks) in enumerate(levels):
+        value |= read(chunks + i, 1)[0] << 8 * k
+        start = i // _BLOCK * _BLOCK
+        part = np.unpackbits(np.frombuffer(read(bits + start // 8, i // 8 - start // 8 + 1), np.uint8), bitorder="little")
+        if not part[i - start]:
+            break
+        i = int.from_bytes(read(ranks + 8 * (i // _BLOCK), 8), "little") + int(part[: i - start].sum())
+    return value
+
+
 class Segment:
     """Reads a segment: doc_ids, first (first id of each document), segment[i], segment.slice(a, b)."""
 
     def __init__(self, data: bytes):
-        if data[:8] != MAGIC:
-            raise ValueError("no segment of directly addressable codes")
-        docs, self.n, levels = (int(x) for x in np.frombuffer(data, "<u8", 3, 8))
-        at = 32
-        keys = np.frombuffer(data, "<i8", docs, at)
-        at += 8 * docs
-        nulls = np.frombuffer(data, np.uint8, docs, at)
-        at += docs
+        docs, self.n, levels = _layout(lambda at, n: data[at : at + n])
+        keys, nulls = np.frombuffer(data, "<i8", docs, _HEAD), np.frombuffer(data, np.uint8, docs, _HEAD + 8 * docs)
         self.doc_ids = [None if z else int(k) for k, z in zip(keys, nulls, strict=True)]
-        self.first = np.frombuffer(data, "<u8", docs + 1, at).astype(np.int64)
-        at += 8 * (docs + 1)
+        self.first = np.frombuffer(data, "<u8", docs + 1, _HEAD + 9 * docs).astype(np.int64)
         self.levels = []
-        for _ in range(levels):
-            n = int(np.frombuffer(data, "<u8", 1, at)[0])
-            at += 8
-            chunks = np.frombuffer(data, np.uint8, n, at)
-            at += n
+        for n, chunks, bits, ranks in levels:
             blocks = -(-n // _BLOCK)
-            bits = np.frombuffer(data, np.uint8, blocks * _BLOCK // 8, at)
-            at += len(bits)
-            ranks = np.frombuffer(data, "<u8", blocks, at).astype(np.int64)
-            at += 8 * blocks
-            self.levels.append((chunks, bits, ranks))
+            self.levels.append((np.frombuffer(data, np.uint8, n, chunks), np.frombuffer(data, np.uint8, blocks * _BLOCK // 8, bits), np.frombuffer(data, "<u8", blocks, ranks).astype(np.int64)))
 
     def __len__(self) -> int:
         return self.n
@@ -118,25 +135,24 @@ class Segment:
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, key: str = "doc_id", text: str = "text", end_id: int = 2, separator: str = "\n") -> None:
-    """Writes segments (part, segment, n_docs, n_tokens, payload) to a folder, documents in ascending order
-    of key; (part, segment) orders the segments.
+    """Writes segments to files of a folder, documents in ascending order of key, and their index (path, part, segment,
+    n_docs, n_tokens, start) to its `_index`; (part, segment), from the file's name, orders the segments.
 
     Null text is empty: end_id alone. Null keys come last; rows of one key go by a hash of their text, full
     repeats are written as often as they occur. An empty table writes no segment.
     """
     end = np.array([end_id], dtype="<u4").tobytes()
-    schema = pa.schema([("part", pa.int32()), ("segment", pa.int32()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()), ("payload", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, part, segment = encoder(tokenizer, separator), TaskContext.get().partitionId(), 0
+        enc = encoder(tokenizer, separator)
         keys: list[int | None] = []
         ids: list[bytes] = []
         size = 0
 
         def row() -> pa.RecordBatch:
-            nonlocal keys, ids, size, segment
-            out = pa.RecordBatch.from_pylist([{"part": part, "segment": segment, "n_docs": len(keys), "n_tokens": size, "payload": encode(keys, ids)}], schema=schema)
-            keys, ids, size, segment = [], [], 0, segment + 1
+            nonlocal keys, ids, size
+            out = pa.RecordBatch.from_arrays([pa.array([encode(keys, ids)], pa.binary())], ["payload"])
+            keys, ids, size = [], [], 0
             return out
 
         for batch in batches:
@@ -153,25 +169,36 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, key: str = "doc_id"
 
     k, t = F.col(f"`{key}`").cast("long").alias("key"), F.col(f"`{text}`").alias("text")
     order = [F.col("key").asc_nulls_last(), F.xxhash64("text")]
-    dealt = docs.select(k, t).repartitionByRange(partitions(docs.sparkSession), *order).sortWithinPartitions(*order)
-    dealt.mapInArrow(run, "part int, segment int, n_docs long, n_tokens long, payload binary").write.parquet(path)
+    spark = docs.sparkSession
+    bounded_batches(spark)
+    dealt = docs.select(k, t).repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order)
+    payloads = dealt.mapInArrow(run, "payload binary").select(F.col("payload").cast("string").alias("value"))
+    payloads.write.options(maxRecordsPerFile=1, compression="none").text(path)
+    digits = lambda k: F.substring(F.col("content"), 9 + 20 * k, 20).cast("string").cast("long")
+    found = _files(spark, path).select("path", "part", "segment", digits(0).alias("n_docs"), digits(1).alias("n_tokens"))
+    starts = ordered(found, ["part", "segment"], {"start": "n_tokens"})
+    starts.select("path", "part", "segment", "n_docs", "n_tokens", "start").write.parquet(f"{path}/_index")
+
+
+def _files(spark: SparkSession, path: str) -> DataFrame:
+    """(path, part, segment, content): Spark names files by task and by their number in the task."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).where("length > 0")
+    number = lambda pattern: F.regexp_extract("path", pattern, 1).cast("int")
+    return files.select("path", number("/part-([0-9]+)-[^/]*$").alias("part"), number("-c([0-9]+)[^/]*$").alias("segment"), "content")
 
 
-def read_documents(spark, path: str, ids: bool = False) -> DataFrame:
+def read_documents(spark: SparkSession, path: str, ids: bool = False) -> DataFrame:
     """From the files: (doc_id, start, n_tokens, ids_crc32[, ids]) for each document, start over all files."""
-    segments = spark.read.parquet(path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                part, number, payload = (batch.column(c)[i] for c in range(3))
-                s = Segment(payload.as_buffer().to_pybytes())
+                s = Segment(batch.column(2)[i].as_buffer())
                 whole = s.slice(0, len(s)).tobytes()
                 cut = [(int(a), int(b)) for a, b in zip(s.first[:-1], s.first[1:], strict=True)]
                 pieces = [whole[4 * a : 4 * b] for a, b in cut]
-                n = len(cut)
                 cols = [
-                    pa.array(s.doc_ids, pa.int64()), pa.array([part.as_py()] * n, pa.int32()), pa.array([number.as_py()] * n, pa.int32()),
+                    pa.array(s.doc_ids, pa.int64()), *(pa.array([batch.column(c)[i].as_py()] * len(cut), pa.int32()) for c in (0, 1)),
                     pa.array([a for a, _ in cut], pa.int64()), pa.array([b - a for a, b in cut], pa.int64()), pa.array([zlib.crc32(x) for x in pieces], pa.int64()),
                 ]
                 names = ["doc_id", "part", "segment", "at", "n_tokens", "ids_crc32"]
@@ -180,7 +207,32 @@ def read_documents(spark, path: str, ids: bool = False) -> DataFrame:
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(cols, names)
 
-    docs = segments.select("part", "segment", "payload").mapInArrow(run, "doc_id long, part int, segment int, at long, n_tokens long, ids_crc32 long" + ", ids binary" * ids)
-    starts = ordered(segments.select("part", "segment", "n_tokens"), ["part", "segment"], {"before": "n_tokens"})
-    at = docs.join(starts.select("part", "segment", "before"), ["part", "segment"])
+    files = _files(spark, path).select("part", "segment", "content")
+    docs = files.mapInArrow(run, "doc_id long, part int, segment int, at long, n_tokens long, ids_crc32 long" + ", ids binary" * ids)
+    starts = spark.read.parquet(f"{path}/_index").select("part", "segment", F.col("start").alias("before"))
+    at = docs.join(starts, ["part", "segment"])
     return at.select("doc_id", (F.col("before") + F.col("at")).alias("start"), "n_tokens", "ids_crc32", *["ids"] * ids)
+
+
+class TokenStore:
+    """store[i]: id i of all files of a folder, by ranged reads on any file system that Spark reads."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.index = spark, spark.read.parquet(f"{path}/_index")
+
+    def __getitem__(self, i: int) -> int:
+        row = self.index.where((F.col("start") <= i) & (F.col("start") + F.col("n_tokens") > i)).first()
+        if row is None:
+            raise IndexError(i)
+        jvm = self.spark.sparkContext._jvm
+        file = jvm.org.apache.hadoop.fs.Path(row["path"])
+        stream = file.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).open(file)
+
+        def read(at: int, n: int) -> bytes:
+            stream.seek(at)
+            return bytes(jvm.org.apache.commons.io.IOUtils.toByteArray(stream, n))
+
+        try:
+            return read_id(read, i - row["start"])
+        finally:
+            stream.close()
