@@ -1,9 +1,11 @@
 """Exact top-k by inner product with a pivot table.
 
-Distances of all vectors to some pivots are worked out once, and stored with the vectors in blocks. For a
-query, |d(q, p) - d(x, p)| is a lower bound of d(q, x) for each pivot p; the largest over the pivots gives
-an upper bound of the inner product (|q|^2 + |x|^2 - bound^2) / 2. Candidates are evaluated in order of
-that bound until no bound reaches the k-th best score. Queries meet candidates in blocks.
+Distances of all vectors to some pivots are worked out once, and stored with the vectors in blocks, in order of
+their nearest pivots. For a query, |d(q, p) - d(x, p)| is a lower bound of d(q, x) for each pivot p; the largest
+over the pivots gives an upper bound of the inner product (|q|^2 + |x|^2 - bound^2) / 2. Candidates are
+evaluated in order of that bound until no bound reaches the k-th best score. Queries meet candidates in blocks;
+the ranges of two blocks' distances give the same bound for all their pairs, so blocks out of reach never meet, and
+that is known before any vector moves.
 """
 
 from __future__ import annotations
@@ -16,15 +18,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import partitions, stored
 
 PIVOTS = 24
 #: Rows from which pivots are chosen, at most; any choice gives exact results.
 PIVOT_SAMPLE = 1024
-BLOCK = 4096
-QUERY_BLOCK = 2048
+BLOCK = 8192
+QUERY_BLOCK = 8192
 #: Candidates evaluated first; each further step takes eight times as many.
 STEP = 256
+#: What a distance of 1 is rounded by in 24 bits, at most, and some more.
+_ROUNDED = 2.0**-22
 
 
 def quantized(vector):
@@ -55,6 +59,21 @@ def _long(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     return np.array([max(-(2**63), min(2**63 - 1, sum(a * int(b) for a, b in zip(qs, row, strict=True)))) for row in x], dtype=np.int64)
 
 
+def _packed(m: np.ndarray) -> bytes:
+    """Whole numbers in as few bytes as hold them all: a letter for the kind, then the numbers."""
+    top = np.abs(m).max(initial=0)
+    kind = "h" if top < 2**15 else "i" if top < 2**31 else "d"
+    return kind.encode() + m.astype(f"<{_KINDS[kind]}").tobytes()
+
+
+_KINDS = {"h": "i2", "i": "i4", "d": "f8"}
+
+
+def _unpacked(raw: memoryview, rows: int, width: int) -> np.ndarray:
+    kind = _KINDS[bytes(raw[:1]).decode()]
+    return np.frombuffer(raw, f"<{kind}", offset=1).astype(float).reshape(rows, width)
+
+
 def choose_pivots(sample: np.ndarray, n: int = PIVOTS) -> np.ndarray:
     """Farthest-first from the sample's first row."""
     if not len(sample):
@@ -83,10 +102,11 @@ def _search(q: np.ndarray, q_uid: np.ndarray, q_table: np.ndarray, x: np.ndarray
     """
     q_norm, x_norm = (q * q).sum(axis=1), (x * x).sum(axis=1)
     plain = np.abs(q).max(initial=0) * np.abs(x).max(initial=0) * max(1, x.shape[1]) < 2.0**53  # doubles are exact
-    found, evaluated = [], 0
+    found, evaluated, far = [], 0, table.max(initial=0)
     for i in range(len(q)):
         low = np.abs(table - q_table[i]).max(axis=1) if table.shape[1] else np.zeros(len(x))
-        # Distances are rounded: the bound gives way by a little more than that.
+        # Distances are rounded to 24 bits: the bound gives way by a little more than that.
+        low = np.maximum(0, low - _ROUNDED * (far + q_table[i].max(initial=0)))
         upper = (q_norm[i] + x_norm - low * low) / 2 + 1e-9 * (q_norm[i] + x_norm) + 1e-6
         floor = -np.inf if least is None else float(least[i])
         left = np.flatnonzero(upper >= floor)
@@ -129,28 +149,34 @@ def top_k(vectors: DataFrame, is_query, k: int = 5, key: str = "vec_id", vector:
     sample_uids = some["uid"].to_numpy()
     pivots = choose_pivots(sample) if width else np.zeros((0, 0))
 
+    near = "id long, uid long, q boolean, near int, away double, v array<double>"
+    placed = rows.select("id", "uid", "q", "v").mapInArrow(_placer(pivots, width), near)
+    order = ["near", "away", "uid"]
+    dealt = stored(placed.repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order), "placed", rows)
+
     def blocks(size: int, with_least: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 for at in range(0, b.num_rows, size):
                     some = b.slice(at, size)
                     m = _matrix(some.column(1), width)
-                    t = np.sqrt(np.maximum(0, ((m[:, None, :] - pivots[None]) ** 2).sum(axis=2)) if len(m) * len(pivots) * width < 50_000_000 else np.stack([((m - p) ** 2).sum(axis=1) for p in pivots], axis=1))
+                    t = _distances(m, pivots).astype("<f4")
                     uids = some.column(2).to_numpy()
-                    cols = [some.column(0).to_numpy().astype("<i8").tobytes(), uids.astype("<i8").tobytes(), m.astype("<f8").tobytes(), t.astype("<f8").tobytes()]
-                    cols.append(_reached(m, uids, sample, sample_uids, k).astype("<f8").tobytes() if with_least else b"")
-                    yield pa.RecordBatch.from_arrays([pa.array([c], pa.binary()) for c in cols], ["ids", "uids", "m", "t", "least"])
+                    least = _reached(m, uids, sample, sample_uids, k) if with_least else np.zeros(0)
+                    cols = [some.column(0).to_numpy().astype("<i8").tobytes(), uids.astype("<i8").tobytes(), _packed(m), t.tobytes(), least.astype("<f8").tobytes()]
+                    facts = [float((m * m).sum(axis=1).max()), t.min(axis=0).astype(float).tolist(), t.max(axis=0).astype(float).tolist(), float(least.min(initial=np.inf))]
+                    kinds = [pa.binary()] * 5 + [pa.float64(), pa.list_(pa.float64()), pa.list_(pa.float64()), pa.float64()]
+                    yield pa.RecordBatch.from_arrays([pa.array([c], kind) for c, kind in zip(cols + facts, kinds, strict=True)], ["ids", "uids", "m", "t", "least", "norm", "low", "high", "floor"])
 
         return run
 
-    packed = "ids binary, uids binary, m binary, t binary, least binary"
+    packed = "ids binary, uids binary, m binary, t binary, least binary, norm double, low array<double>, high array<double>, floor double"
     numbered = lambda df, name: df.withColumn(name, F.monotonically_increasing_id())
-    x = stored(numbered(rows.select("id", "v", "uid").mapInArrow(blocks(BLOCK, False), packed), "xb"), "blocks")
-    q = stored(numbered(rows.where("q").select("id", "v", "uid").mapInArrow(blocks(QUERY_BLOCK, True), packed), "qb"), "query_blocks")
-    # Every block of queries meets every block of rows, in a task of its own: the pairs of block numbers are dealt out.
-    pairs = q.select("qb").join(x.select("xb"), F.lit(True))
+    x = stored(numbered(dealt.select("id", "v", "uid").mapInArrow(blocks(BLOCK, False), packed), "xb"), "blocks")
+    q = stored(numbered(dealt.where("q").select("id", "v", "uid").mapInArrow(blocks(QUERY_BLOCK, True), packed), "qb"), "query_blocks", dealt)
+    # Each pair of blocks in reach meets in a task of its own: the pairs of block numbers are dealt out.
     met = (
-        pairs.join(x, "xb").join(q.select("qb", F.col("ids").alias("q_ids"), F.col("uids").alias("q_uids"), F.col("m").alias("q_m"), F.col("t").alias("q_t"), F.col("least").alias("q_least")), "qb")
+        block_pairs(q, x).join(x, "xb").join(q.select("qb", F.col("ids").alias("q_ids"), F.col("uids").alias("q_uids"), F.col("m").alias("q_m"), F.col("t").alias("q_t"), F.col("least").alias("q_least")), "qb")
         .select("q_ids", "q_uids", "q_m", "q_t", "ids", "uids", "m", "t", "q_least")
     )
     n_pivots = len(pivots)
@@ -158,10 +184,10 @@ def top_k(vectors: DataFrame, is_query, k: int = 5, key: str = "vec_id", vector:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(b.num_rows):
-                raw = [b.column(c)[i].as_buffer() for c in range(9)]
+                raw = [memoryview(b.column(c)[i].as_buffer()) for c in range(9)]
                 q_ids, q_uids, ids, uids = (np.frombuffer(raw[c], "<i8") for c in (0, 1, 4, 5))
-                qm, xm = np.frombuffer(raw[2], "<f8").reshape(len(q_ids), width), np.frombuffer(raw[6], "<f8").reshape(len(ids), width)
-                qt, xt = np.frombuffer(raw[3], "<f8").reshape(len(q_ids), n_pivots), np.frombuffer(raw[7], "<f8").reshape(len(ids), n_pivots)
+                qm, xm = _unpacked(raw[2], len(q_ids), width), _unpacked(raw[6], len(ids), width)
+                qt, xt = (np.frombuffer(raw[c], "<f4").astype(float).reshape(rows, n_pivots) for c, rows in ((3, len(q_ids)), (7, len(ids))))
                 found, _ = _search(qm, q_uids, qt, xm, ids, uids, xt, k, np.frombuffer(raw[8], "<f8"))
                 if found:
                     a, r, s = (np.array(c) for c in zip(*found, strict=True))
@@ -170,3 +196,32 @@ def top_k(vectors: DataFrame, is_query, k: int = 5, key: str = "vec_id", vector:
     best = met.mapInArrow(run, "query_id long, query_uid long, vec_id long, uid long, score long")
     order = W.partitionBy("query_id", "query_uid").orderBy(F.desc("score"), "vec_id", "uid")
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def _distances(m: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    return np.stack([np.sqrt(((m - p) ** 2).sum(axis=1)) for p in pivots], axis=1) if len(pivots) else np.zeros((len(m), 0))
+
+
+def _placer(pivots: np.ndarray, width: int):
+    """Adds each vector's nearest pivot and the distance to it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, 1024):
+                some = b.slice(at, 1024)
+                t = _distances(_matrix(some.column(3), width), pivots)
+                here = [t.argmin(axis=1), t.min(axis=1)] if t.shape[1] else [np.zeros(len(t)), np.zeros(len(t))]
+                yield pa.RecordBatch.from_arrays([*some.columns[:3], pa.array(here[0].astype(np.int32)), pa.array(here[1].astype(float)), some.column(3)], ["id", "uid", "q", "near", "away", "v"])
+
+    return run
+
+
+def block_pairs(q: DataFrame, x: DataFrame) -> DataFrame:
+    """(qb, xb) of those blocks of queries and rows in reach of each other, from their numbers and ranges alone."""
+    a = q.select("qb", F.col("norm").alias("qn"), F.col("low").alias("ql"), F.col("high").alias("qh"), F.col("floor").alias("floor"))
+    b = x.select("xb", F.col("norm").alias("xn"), F.col("low").alias("xl"), F.col("high").alias("xh"))
+    far = F.greatest(F.array_max("qh"), F.array_max("xh"))
+    apart = F.array_max(F.zip_with(F.zip_with("ql", "xh", lambda l, h: l - h), F.zip_with("xl", "qh", lambda l, h: l - h), lambda p, r: F.greatest(p, r)))
+    apart = F.greatest(F.coalesce(apart - 2 * _ROUNDED * far, F.lit(0.0)), F.lit(0.0))
+    norms = F.col("qn") + F.col("xn")
+    return a.join(b, (norms - apart * apart) / 2 + norms * 1e-9 + 1e-6 >= F.col("floor")).select("qb", "xb")
