@@ -3,8 +3,9 @@
 A text's k-mers are numbered by occurrence, so that repeats count, and hashed. The hash range is cut into
 BUCKETS parts; of each part the two smallest k-mers are selected, put back into the order they have in the
 text, and hashed as a tuple. Texts that share words but not their order share few tuples, so the share of
-equal tuples goes with edit distance. One hash of each k-mer serves all buckets; a bucket without a k-mer
-has no tuple, and the likeness counts the buckets that either text has.
+equal tuples goes with edit distance. One hash of each k-mer serves all buckets: a bucket selects the two smallest
+from its own start on, around the end of the range where need be, so that short texts, whose buckets are mostly
+empty, have a tuple of two in each bucket, too, and keep their order.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name, ordered, stored
+from .common import free_name, let, ordered, stored
 
 BUCKETS_LOG2 = 6
 #: Words of a k-mer.
@@ -21,7 +22,11 @@ K = 2
 _HASH, _PLACE = 33, 30
 _HASH_MASK, _PLACE_MASK = (1 << _HASH) - 1, (1 << _PLACE) - 1
 #: Scripts without blanks between words: each of their characters is a word.
-_SINGLE = "[\\u3040-\\u30FF\\u3400-\\u4DBF\\u4E00-\\u9FFF\\uAC00-\\uD7AF\\uF900-\\uFAFF]"
+_SINGLE = "[\\u0E00-\\u0EFF\\u1000-\\u109F\\u1780-\\u17FF\\u3040-\\u30FF\\u3400-\\u4DBF\\u4E00-\\u9FFF\\uAC00-\\uD7AF\\uF900-\\uFAFF\\x{20000}-\\x{3FFFF}]"
+#: A word goes on character by character after so many, so that a run without blanks is more than one k-mer.
+LONG = 40
+_SPACE = r"\x20\x09-\x0D"
+_LATER = f"(?<=[^{_SPACE}]{{{LONG}}})(?=[^{_SPACE}])"
 
 
 def _shift(x: Column, n: int) -> Column:
@@ -29,16 +34,16 @@ def _shift(x: Column, n: int) -> Column:
 
 
 def with_sketch(df: DataFrame, text: str, name: str) -> DataFrame:
-    """df with `name`: array<int>, one number for each bucket that has a k-mer, in order of buckets: bucket and
-    24 bits of its tuple's hash. Null and empty texts: an empty array. A text with fewer words than K is one
-    k-mer.
+    """df with `name`: array<int>, one number for each bucket: bucket and 24 bits of its tuple's hash. Null and empty
+    texts: an empty array. A text with fewer words than K is one k-mer, and its tuples have one.
 
     Each step is a column of its own, so that sorts of longs run in generated code.
     """
     w, s, g = (free_name(df, f"{name}_{x}") for x in "wsg")
     plain = F.coalesce(F.col(text), F.lit(""))
-    spaced = F.when(plain.rlike(_SINGLE), F.regexp_replace(plain, f"({_SINGLE})", " $1 ")).otherwise(plain)
-    words = F.filter(F.split(spaced, r"[\x20\x09-\x0D]+"), lambda x: x != "")
+    cut = F.regexp_replace(F.regexp_replace(plain, f"({_SINGLE})", " $1 "), _LATER, " ")
+    spaced = F.when(plain.rlike(f"{_SINGLE}|[^{_SPACE}]{{{LONG + 1}}}"), cut).otherwise(plain)
+    words = F.filter(F.split(spaced, f"[{_SPACE}]+"), lambda x: x != "")
     df = df.withColumn(w, words)
 
     place = lambda h, i: F.shiftleft(h.bitwiseAND(F.lit(_HASH_MASK)), _PLACE).bitwiseOR(i.cast("long"))
@@ -46,28 +51,34 @@ def with_sketch(df: DataFrame, text: str, name: str) -> DataFrame:
     few = F.when(F.size(w) > 0, F.array(place(F.xxhash64(F.array_join(F.col(w), " ")), F.lit(0)))).otherwise(F.array().cast("array<bigint>"))
     df = df.withColumn(s, F.sort_array(F.when(F.size(w) >= K, mers).otherwise(few))).drop(w)
 
-    # Equal k-mers now stand together in text order; a k-mer's number is how far back its like reach.
-    def number(x: Column, j: Column) -> Column:
+    # Equal k-mers now stand together in text order; a k-mer's number is how far back its like reach. Number 0 keeps the
+    # k-mer's own hash, so most of the order stays.
+    def numbered(x: Column, j: Column) -> Column:
         same = lambda back: (j >= back) & (_shift(F.get(F.col(s), (j - back).cast("int")), _PLACE) == _shift(x, _PLACE))
         bits = F.sequence(F.floor(F.log2(j + 1)).cast("int"), F.lit(0), F.lit(-1))
         far = F.aggregate(bits, F.lit(0), lambda acc, b: F.when(same(acc + F.pow(F.lit(2), b).cast("int")), acc + F.pow(F.lit(2), b).cast("int")).otherwise(acc))
-        return F.when(~same(F.lit(1)), 0).when(~same(F.lit(2)), 1).when(~same(F.lit(3)), 2).when(~same(F.lit(4)), 3).otherwise(far)
+        number = F.when(~same(F.lit(2)), 1).when(~same(F.lit(3)), 2).when(~same(F.lit(4)), 3).otherwise(far)
+        return F.when(~same(F.lit(1)), x).otherwise(place(F.xxhash64(_shift(x, _PLACE), number), x.bitwiseAND(F.lit(_PLACE_MASK))))
 
-    numbered = F.transform(F.col(s), lambda x, j: place(F.xxhash64(_shift(x, _PLACE), number(x, j)), x.bitwiseAND(F.lit(_PLACE_MASK))))
-    df = df.withColumn(g, F.sort_array(numbered)).drop(s)
+    df = df.withColumn(g, F.sort_array(F.transform(F.col(s), numbered))).drop(s)
 
-    bucket = lambda x: _shift(x, _HASH + _PLACE - BUCKETS_LOG2)
+    n = F.size(g)
+    steps = F.transform(F.sequence(F.floor(F.log2(n)).cast("int"), F.lit(0), F.lit(-1)), lambda b: F.pow(F.lit(2), b).cast("int"))
 
-    def tuple_of(x: Column, j: Column) -> Column:
-        other = F.get(F.col(g), j + 1)
-        a, b = _shift(x, _PLACE), _shift(other, _PLACE)
-        earlier = x.bitwiseAND(F.lit(_PLACE_MASK)) < other.bitwiseAND(F.lit(_PLACE_MASK))
-        pair = F.coalesce(bucket(other) == bucket(x), F.lit(False))
-        hashed = F.when(~pair, F.xxhash64(a)).when(earlier, F.xxhash64(a, b)).otherwise(F.xxhash64(b, a))
-        entry = F.shiftleft(bucket(x), 24).bitwiseOR(hashed.bitwiseAND(F.lit((1 << 24) - 1))).cast("int")
-        return F.when((j == 0) | (bucket(F.get(F.col(g), j - 1)) != bucket(x)), entry)
+    def entry(bucket: Column) -> Column:
+        # How many k-mers lie before the bucket, by halves.
+        low = F.shiftleft(bucket.cast("long"), _HASH + _PLACE - BUCKETS_LOG2)
+        before = F.aggregate(steps, F.lit(0), lambda acc, step: F.when(F.get(F.col(g), acc + step - 1) < low, acc + step).otherwise(acc))
+        return let(F.struct(*(F.get(F.col(g), F.pmod(before + k, n)).alias(f"x{k}") for k in (0, 1))), lambda p: one(bucket, p["x0"], p["x1"]))
 
-    return df.withColumn(name, F.array_compact(F.transform(F.col(g), tuple_of))).drop(g)
+    def one(bucket: Column, x: Column, y: Column) -> Column:
+        a, b = _shift(x, _PLACE), _shift(y, _PLACE)
+        earlier = x.bitwiseAND(F.lit(_PLACE_MASK)) < y.bitwiseAND(F.lit(_PLACE_MASK))
+        hashed = F.when(n == 1, F.xxhash64(a)).when(earlier, F.xxhash64(a, b)).otherwise(F.xxhash64(b, a))
+        return F.shiftleft(bucket, 24).bitwiseOR(hashed.bitwiseAND(F.lit((1 << 24) - 1)).cast("int"))
+
+    every = F.transform(F.sequence(F.lit(0), F.lit((1 << BUCKETS_LOG2) - 1)), entry)
+    return df.withColumn(name, F.when(n > 0, every).otherwise(F.array().cast("array<int>"))).drop(g)
 
 
 def likeness(a: Column, b: Column) -> Column:
