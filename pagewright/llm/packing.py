@@ -20,6 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded_batches
 from .tokens import encoder
 
 #: Ids of a window, at least: a window ends with the document that reaches it.
@@ -33,7 +34,7 @@ class Limits:
     """A sequence's most: tokens (a power of two), segments, loss-bearing tokens."""
 
     tokens: int = 4096
-    segments: int = 1024
+    segments: int = 64
     loss: int = 4096
 
     def __post_init__(self) -> None:
@@ -200,6 +201,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: s
     often as they occur; ties go by the order of the input. Other columns of docs play no part. An empty
     table gives no pieces. Memory: a window of ids and the tokenizer's bounded memory of pieces.
     """
+    bounded_batches(docs.sparkSession)
     end = np.array([end_id], dtype="<u4").tobytes()
     field = docs.schema[key]
     from pyspark.sql.pandas.types import to_arrow_type
