@@ -12,7 +12,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name, ordered, stored
+from .common import free_name, join_counted, ordered, stored
 
 SHARDS = 16
 ROUNDS = 8
@@ -31,6 +31,7 @@ def _share(table: np.ndarray, row: Column) -> Column:
 def propagate(linked: DataFrame, shards: int, room: list[int], rounds: int = ROUNDS) -> DataFrame:
     """linked (id, link, shard) with new shards: no shard takes in more rows in a round than it has room for
     (about: a hash draws the lot). Rows of a link move together where there is room."""
+    total = linked.count()
     for turn in range(rounds):
         counts = linked.groupBy("link", "shard").agg(F.count(F.lit(1)).alias("n"))
         # The shard with most rows of a link; ties go by a hash, so that links spread over shards.
@@ -56,9 +57,9 @@ def propagate(linked: DataFrame, shards: int, room: list[int], rounds: int = ROU
         # One lot for a link's rows in a shard; where only some may move, a lot for each row.
         pair = F.col("shard") * shards + F.col("wanted")
         lot = F.when(F.col("together"), _hash("link", "shard", F.lit(turn))).otherwise(_hash("id", "link", F.lit(turn)))
-        plan = moves.select(F.col("link").alias("of"), F.col("shard").alias("from"), "wanted", (F.col("n") <= F.lit(float(max(1.0, free.mean() / 8)))).alias("together"))
-        joined = linked.join(plan, (F.col("link") == F.col("of")) & (F.col("shard") == F.col("from")), "left")
-        linked = stored(joined.select("id", "link", F.when(F.col("wanted").isNotNull() & (lot < _share(table, pair)), F.col("wanted")).otherwise(F.col("shard")).alias("shard")), "round")
+        plan = moves.select(F.xxhash64("link", "shard").alias("pair"), F.col("n").alias("rows"), "wanted", (F.col("n") <= F.lit(float(max(1.0, free.mean() / 8)))).alias("together"))
+        joined = join_counted(linked.withColumn("pair", F.xxhash64("link", "shard")), plan, "pair", "rows", total)
+        linked = stored(joined.select("id", "link", F.when(F.col("wanted").isNotNull() & (lot < _share(table, pair)), F.col("wanted")).otherwise(F.col("shard")).alias("shard")), "round", linked)
         if not table.any():
             break
     return linked
@@ -77,14 +78,15 @@ def shard_rows(rows: DataFrame, link: str, key: str, shards: int = SHARDS, round
     base = stored(rows.withColumns({uid: F.monotonically_increasing_id(), lk: F.xxhash64(link)}), "shard_rows")
     total = base.count()
     room = [(s + 1) * total // shards - s * total // shards for s in range(shards)]
-    groups = base.where(F.col(link).isNotNull()).groupBy(F.col(link).alias("__g")).agg(F.count(F.lit(1)).alias("__n")).where("__n > 1")
-    links = base.where(F.col(link).isNotNull()).join(groups, F.col(link) == F.col("__g"), "left_semi").select(F.col(uid).alias("id"), F.col(lk).alias("link"))
+    known = base.where(F.col(f"`{link}`").isNotNull()).select(F.col(uid).alias("id"), F.col(lk).alias("link"), F.col(f"`{link}`").alias("whole"))
+    groups = known.groupBy("whole").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1")
+    links = join_counted(known, groups, "whole", "rows", total, "inner").select("id", "link")
     linked = stored(links.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int")), "linked")
     linked = propagate(linked, shards, room, rounds)
     # What a link could not bring to its main shard is dealt out in one piece, with the rows without links.
     counts = linked.groupBy("link", "shard").agg(F.count(F.lit(1)).alias("n"))
-    main = counts.groupBy("link").agg(F.max(F.struct("n", "shard")).alias("top")).select(F.col("link").alias("of"), F.col("top.shard").alias("main"))
-    linked = stored(linked.join(main, (F.col("link") == F.col("of")) & (F.col("shard") == F.col("main")), "left_semi"), "whole")
+    main = counts.groupBy("link").agg(F.max(F.struct("n", "shard")).alias("top"), F.sum("n").alias("rows")).select("link", "rows", F.col("top.shard").alias("main"))
+    linked = stored(join_counted(linked, main, "link", "rows", linked.count(), "inner").where("shard = main").select("id", "link", "shard"), "whole", linked)
     # Quotas: of a shard's linked rows as many stay as it holds, the rest are dealt out with those without links.
     ranked = ordered(linked, ["shard", "link", "id"])
     held = {r["shard"]: r["count"] for r in linked.groupBy("shard").count().collect()}  # a row for each shard
