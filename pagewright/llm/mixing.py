@@ -1,27 +1,35 @@
 """Mixing sources to target weights by entropy balancing.
 
-Every word of a source is tilted by exp(lambda_source); the lambdas are the optimum of the convex dual
-sum(size * exp(lambda)) - sum(target * lambda). With one token constraint for each source its Hessian
-is diagonal, so a Newton step is a step for each source, on totals that Spark has summed before any
-shuffle. The tilt is a rate of copies for each document, rounded systematically along the documents
-of a source in order of size, so that rounding errors cancel between neighbours; the shortest documents
-make up for what remains.
+Every document is tilted by exp(lambda_source + mu . z), where z says which values it has of some margins (its
+language, say; none by default). The multipliers are the optimum of the convex dual
+sum(size * exp(lambda + mu . z)) - sum(target * lambda) - goal . mu, with a token constraint for each source and,
+softly, for each margin value. Newton iterations find it: each is one distributed aggregate over cells of documents
+(of one source and the same margins), which gives gradient and Hessian source by source. The Hessian is an arrow: its
+source block is diagonal and stays in the table of sources, and only the Schur complement, of the margins' size, goes
+to the driver. The tilt is a rate of copies for each document, rounded systematically along the documents of a source
+in order of size, so that rounding errors cancel between neighbours; the shortest documents make up for what remains.
 """
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import free_name, ordered, stored
+from .common import forget, free_name, ordered, stored
 
 #: Weights that sources take in turn, in code point order.
 WEIGHTS = (5.0, 2.0, 1.0)
 #: A source's target is at most so many times its size.
 MOST = 3.0
-#: Newton steps at most; they stop to change anything after about ten, and 60 serve a target of 1e-20 of the size.
-STEPS = 64
+#: Newton iterations at most: about ten serve targets between a thousandth and three times the size, as each can lower
+#: a rate by a factor of e. They end when no source is off its target by more than this share of it.
+STEPS, CLOSE = 64, 1e-13
+#: Values of all margins at most; their sums go to the driver. Weight of the squared multipliers of margins.
+MARGINS, RIDGE = 64, 1e-4
+#: Rates are rounded to so many parts of a copy, and summed as whole numbers.
+_UNIT = 1 << 24
 
 
 def words(text):
@@ -30,11 +38,11 @@ def words(text):
 
 
 def source_targets(sizes: DataFrame, weights=WEIGHTS, most: float = MOST) -> DataFrame:
-    """(source, source_size, target, rate) from (source, size).
+    """(source, source_size, target) from (source, size).
 
     Sources in code point order, null last, take the weights in turn and share all sizes by them. A
     target stops at `most` times its source's size; the excess goes to the others by weight, until none is
-    above. rate = exp(lambda) by Newton steps on the dual. A source without words has target and rate 0.
+    above. A source without words has the target 0.
     """
     totals = stored(sizes.groupBy("source").agg(F.sum("size").cast("long").alias("source_size")), "sources")
     turn = F.element_at(F.array(*map(F.lit, weights)), (F.col("rank") % len(weights) + 1).cast("int"))
@@ -49,39 +57,99 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, most: float = MOST) -> Dat
             break
         level = new
     target = F.least(F.col("top"), F.col("weight") * F.lit(float(level or 0.0)))
-    step = lambda lam, _: lam + F.greatest(F.lit(-1.0), F.col("target") / (F.col("source_size") * F.exp(lam)) - 1)
-    solved = F.exp(F.aggregate(F.sequence(F.lit(1), F.lit(STEPS)), F.lit(0.0), step))
-    return ranked.select("source", "source_size", target.cast("double").alias("target")).withColumn(
-        "rate", F.when((F.col("source_size") > 0) & (F.col("target") > 0), solved).otherwise(F.lit(0.0))
-    )
+    return ranked.select("source", "source_size", target.cast("double").alias("target"))
 
 
-def entropy_balance(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", weights=WEIGHTS, most: float = MOST) -> DataFrame:
+def solve(cells: DataFrame, targets: DataFrame, goals: np.ndarray, most: float = MOST) -> DataFrame:
+    """cells (source, z array<double>, size, ...) with the rate of each, by Newton iterations on the dual.
+
+    targets: (source, target). goals: words that the mix is to have of each component of z. A rate stops at `most`: such
+    cells count for the gradient alone. Cells without words and sources without a target have the rate 0.
+    """
+    m = len(goals)
+    state = stored(targets.where("target > 0").select(F.col("source").alias("of"), "target", F.lit(0.0).alias("lam")), "multipliers")
+    mu = np.zeros(m)
+    ridge = RIDGE * max(1.0, float(goals.sum()))
+
+    def tilted() -> DataFrame:
+        tilt = F.exp(sum((F.get("z", F.lit(j)) * float(mu[j]) for j in range(m)), F.col("lam")))
+        return cells.where("size > 0").join(state, F.expr("source <=> of")).withColumn("rate", F.least(tilt, F.lit(float(most)))).withColumn("free", tilt < most)
+
+    z = lambda j: F.get("z", F.lit(j))
+    places = [(j, k) for j in range(m) for k in range(j, m)]
+    for _ in range(STEPS):
+        w = F.col("size") * F.col("rate")
+        h = F.when(F.col("free"), w).otherwise(0.0)
+        sums = [F.sum(w).alias("s"), F.sum(h).alias("h")]
+        sums += [x for j in range(m) for x in (F.sum(w * z(j)).alias(f"g{j}"), F.sum(h * z(j)).alias(f"b{j}"))] + [F.sum(h * z(j) * z(k)).alias(f"c{j}_{k}") for j, k in places]
+        per = stored(tilted().groupBy("of", "target", "lam").agg(*sums), "newton")
+        # One row: how far the worst source is off, and the margins' gradient and Schur complement.
+        gap = F.col("target") - F.col("s")
+        share = lambda x: F.sum(F.when(F.col("h") > 0, x).otherwise(0.0))
+        row = per.agg(
+            F.max(F.abs(gap) / F.col("target")).alias("off"),
+            *(F.sum(f"g{j}").alias(f"g{j}") for j in range(m)), *(share(F.col(f"b{j}") * gap / F.col("h")).alias(f"r{j}") for j in range(m)),
+            *((F.sum(f"c{j}_{k}") - share(F.col(f"b{j}") * F.col(f"b{k}") / F.col("h"))).alias(f"c{j}_{k}") for j, k in places),
+        ).first()
+        if row["off"] is None:
+            break
+        step = np.zeros(m)
+        if m:
+            schur = np.zeros((m, m))
+            for j, k in places:
+                schur[j, k] = schur[k, j] = row[f"c{j}_{k}"] or 0.0
+            gradient = np.array([goals[j] - row[f"g{j}"] - row[f"r{j}"] for j in range(m)]) - ridge * mu
+            step = np.clip(np.linalg.solve(schur + ridge * np.eye(m), gradient), -1.0, 1.0)
+        if row["off"] <= CLOSE and np.abs(step).max(initial=0) <= 1e-9:
+            break
+        move = (gap - sum((F.col(f"b{j}") * float(step[j]) for j in range(m)), F.lit(0.0))) / F.col("h")
+        move = F.when(F.col("h") > 0, F.greatest(F.lit(-1.0), F.least(move, F.lit(2.0)))).when(gap < 0, -0.5).otherwise(0.0)
+        state = stored(per.select("of", "target", (F.col("lam") + move).alias("lam")), "multipliers", state)
+        forget(per)
+        mu = mu + step
+    rates = tilted().select(F.struct("source", "z").alias("cell"), "rate")
+    own = cells.alias("c").join(rates.alias("r"), F.struct("c.source", "c.z").eqNullSafe(F.col("r.cell")), "left")
+    return own.select("c.*", F.coalesce("rate", F.lit(0.0)).alias("rate"))
+
+
+def entropy_balance(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", weights=WEIGHTS, most: float = MOST, margins: tuple[str, ...] = ()) -> DataFrame:
     """One row for each row of docs: (key, source, size, source_size, target, rate, copies).
 
-    copies is the number of times (0 to ceil(most)) that the mix takes the document. Null text: no words.
-    Null source: a source of its own, last in order. Rows that repeat count as often as they occur. Within
-    a source ties of size are ordered by key and by a hash of the text; full ties may swap their copies,
-    which leaves the result the same. An empty table gives an empty result.
+    copies is the number of times (0 to ceil(most)) that the mix takes the document. margins: columns whose values,
+    MARGINS of them at most, are to keep their shares of all words as far as the sources' targets allow. Null text: no
+    words. Null source: a source of its own, last in order; a null margin is a value. Rows that repeat count as often
+    as they occur. Within a source ties of size are ordered by key and by a hash of the text; full ties may swap their
+    copies, which leaves the result the same. An empty table gives an empty result.
     """
-    light = stored(docs.select(F.col(key).alias("key"), F.col(source).alias("source"), words(F.col(text)).alias("size"), F.xxhash64(F.col(text)).alias("tie")), "sizes")
+    marked = F.array(*(F.to_json(F.struct(F.col(f"`{c}`").alias("v"))) for c in margins)).cast("array<string>")
+    light = stored(docs.select(F.col(key).alias("key"), F.col(source).alias("source"), words(F.col(text)).alias("size"), F.xxhash64(F.col(text)).alias("tie"), marked.alias("marks")), "sizes")
     targets = stored(source_targets(light.select("source", "size"), weights, most), "targets")
-    ranked = ordered(light, ["source", "size", "key", "tie"])
-    starts = ordered(light.groupBy("source").agg(F.count(F.lit(1)).alias("n")), ["source"], {"start": "n"})
-    of = targets.alias("t").join(starts.alias("s"), F.expr("t.source <=> s.source")).select("t.*", "s.start")
-    at = F.col("rank") - F.col("start")
-    # A rate is a double; the product is rounded to 1e-9 so that a whole rate gives whole copies.
-    upto = lambda n: F.floor(F.round(n * F.col("rate"), 9) + 0.5)
-    least = F.floor(F.round("rate", 9)).cast("int")
+    sums = stored(light.groupBy("source", "marks").agg(F.sum("size").alias("size")), "cells")
+    values = sums.select(F.posexplode("marks").alias("place", "value"), "size").groupBy("place", "value").agg(F.sum("size").alias("n")).orderBy("place", "value").limit(MARGINS + 1).collect() if margins else []
+    if len(values) > MARGINS:
+        raise ValueError(f"margins have more than {MARGINS} values")
+    z = F.array(*(F.when(F.get("marks", F.lit(v["place"])) == v["value"], 1.0).otherwise(0.0) for v in values)).cast("array<double>")
+    whole = targets.agg(F.sum("target"), F.sum("source_size")).first()
+    share = (whole[0] or 0.0) / (whole[1] or 1)
+    rates = stored(solve(sums.withColumn("z", z), targets, np.array([v["n"] * share for v in values]), most), "rates")
+    of = rates.alias("r").join(targets.alias("t"), F.expr("r.source <=> t.source")).select(F.struct("r.source", "r.marks").alias("cell"), "t.source_size", "t.target", "r.rate")
+    known = light.withColumn("cell", F.struct("source", "marks")).alias("d").join(of.alias("t"), F.expr("d.cell <=> t.cell"))
+    known = known.select("d.key", "d.source", "d.size", "d.tie", "source_size", "target", "rate", F.round(F.col("rate") * _UNIT).cast("long").alias("units"))
+    order = ["source", "size", "key", "tie"]
+    ranked = ordered(known, order, {"before": "units"})
+    starts = ordered(known.groupBy("source").agg(F.sum("units").alias("n")), ["source"], {"start": "n"})
+    at = F.col("before") - F.col("start")
+    upto = lambda n: F.floor(n / _UNIT + 0.5)
+    least = F.floor(F.col("units") / _UNIT).cast("int")
     dealt = stored(
-        ranked.alias("d").join(of.alias("t"), F.expr("d.source <=> t.source"))
-        .select("d.key", "d.source", "d.tie", "size", "source_size", "target", "rate", (upto(at + 1) - upto(at)).cast("int").alias("copies"))
+        ranked.alias("d").join(starts.select(F.col("source").alias("of"), "start"), F.expr("d.source <=> of"))
+        .select("key", "source", "tie", "size", "source_size", "target", "rate", "units", (upto(at + F.col("units")) - upto(at)).cast("int").alias("copies"))
         .withColumn("up", F.when(F.col("copies") > least, F.col("size")).otherwise(F.lit(0)))
-        .withColumn("down", F.when((F.col("copies") <= least) & (F.round("rate", 9) > least), F.col("size")).otherwise(F.lit(0))),
+        .withColumn("down", F.when((F.col("copies") <= least) & (F.col("units") > least * _UNIT), F.col("size")).otherwise(F.lit(0))),
         "dealt",
     )
     # What is over or under a source's target is made up by its shortest documents that went the other way.
-    summed = ordered(dealt, ["source", "size", "key", "tie"], {"up_before": "up", "down_before": "down"})
+    summed = ordered(dealt, order, {"up_before": "up", "down_before": "down"})
     over = dealt.groupBy("source").agg((F.sum(F.col("size") * F.col("copies")) - F.max("target")).alias("over"))
     first = summed.groupBy("source").agg(F.min("up_before").alias("up_first"), F.min("down_before").alias("down_first"))
     fix = over.alias("o").join(first.alias("f"), F.expr("o.source <=> f.source")).select("o.*", "up_first", "down_first")
@@ -93,18 +161,24 @@ def entropy_balance(docs: DataFrame, key: str = "doc_id", source: str = "source"
     )
 
 
-def apply_mix(docs: DataFrame, mix: DataFrame, key: str = "doc_id") -> DataFrame:
-    """docs with each document as often as its copies say (none for 0). Where rows share a key, the
-    copies of all rows of that key are dealt over them, so `mix` and `docs` agree in number."""
-    n, r = free_name(docs, "mix_copies"), free_name(docs, "mix_rows")
-    per = stored(mix.groupBy(F.col(key).alias("mixed_key")).agg(F.sum("copies").cast("int").alias("copies"), F.count(F.lit(1)).alias("rows")), "copies")
-    joined = docs.alias("d").join(per.select("mixed_key", F.col("copies").alias(n), F.col("rows").alias(r)).alias("m"), F.expr(f"d.`{key}` <=> m.mixed_key")).select("d.*", n, r)
+def apply_mix(docs: DataFrame, mix: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
+    """docs with each document as often as its copies say (none for 0).
+
+    Rows are told apart by key, source, size and a hash of their text; rows equal in all of these are dealt the copies of
+    all of them, so `mix` and `docs` agree in number and a source's words come near its target whatever keys repeat.
+    """
+    n, r, at = free_name(docs, "mix_copies"), free_name(docs, "mix_rows"), free_name(docs, "mix_row")
     columns = [F.col(f"`{c}`") for c in docs.columns]
+    row = F.xxhash64(F.col(f"`{key}`"), F.col(f"`{source}`"), words(F.col(f"`{text}`")))
+    per = mix.groupBy(F.xxhash64(F.col(key), F.col("source"), F.col("size")).alias("mixed")).agg(F.sum("copies").cast("int").alias("copies"), F.count(F.lit(1)).alias("rows"))
+    per = stored(per, "copies")
+    joined = docs.withColumn(at, row).alias("d").join(per.select("mixed", F.col("copies").alias(n), F.col("rows").alias(r)).alias("m"), F.col(f"d.{at}") == F.col("m.mixed")).select("d.*", n, r)
     repeat = lambda df, times: df.withColumn(n, F.explode(F.array_repeat(F.lit(0), times.cast("int")))).select(*columns)
     single = repeat(joined.where(F.col(r) == 1), F.col(n))
     if not per.where("rows > 1").limit(1).count():
         return single
-    row = free_name(joined, "mix_row")
-    shared = joined.where(F.col(r) > 1).withColumn(row, F.row_number().over(W.partitionBy(F.col(f"`{key}`")).orderBy(F.xxhash64(*columns))))
-    upto = lambda at: F.floor(at * F.col(n) / F.col(r))
-    return single.unionByName(repeat(shared, upto(F.col(row)) - upto(F.col(row) - 1)))
+    # Rows alike are numbered on hashes alone; each takes its part of their copies.
+    number = free_name(joined, "mix_number")
+    shared = joined.where(F.col(r) > 1).withColumn(number, F.row_number().over(W.partitionBy(at).orderBy(F.xxhash64(*columns))))
+    upto = lambda k: F.floor(k * F.col(n) / F.col(r))
+    return single.unionByName(repeat(shared, upto(F.col(number)) - upto(F.col(number) - 1)))
