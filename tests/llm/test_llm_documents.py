@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 import zlib
 from collections import Counter, defaultdict
 from itertools import combinations
@@ -9,12 +10,14 @@ from itertools import combinations
 import numpy as np
 import public_tokenizers
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
 from pagewright.llm import dac, mixing, neardup, ordermin, packing, sharding, toxicity
-from pagewright.llm.common import ordered
+from pagewright.llm import common
+from pagewright.llm.common import join_counted, ordered
 from pagewright.llm.tokens import PieceEncoder
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, rank int, shard string, key string, label string, copies string"
@@ -64,6 +67,29 @@ def test_ordered(spark):
     assert [(r["k"], r["id"]) for r in got] == sorted((i % 7, i) for i in range(1000))
 
 
+@pytest.mark.parametrize("kind", ["long", "binary"])
+def test_join_counted(spark, monkeypatch, kind):
+    """Heavy keys, keys of one row, null keys and keys that groups don't have."""
+    monkeypatch.setattr(common, "HEAVY", 4)
+    df = spark.range(100).select(F.when(F.col("id") % 10 < 9, F.least(F.col("id") % 10, F.lit(4)) + F.when(F.col("id") > 90, 50).otherwise(0)).cast("string").cast(kind).alias("k"), "id", F.lit("x").alias("heavy_key"))
+    groups = df.where("k IS NOT NULL").groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", F.lit(None).cast("string").alias("z"))).alias("first")).where("n > 1")
+    rows = [(r["k"], r["id"]) for r in df.collect()]
+    counts = Counter(k and bytes(k) if kind == "binary" else k for k, _ in rows)
+    low = {}
+    for k, i in rows:
+        k = k and bytes(k) if kind == "binary" else k
+        low[k] = min(low.get(k, i), i)
+    for how in ("left", "inner"):
+        got = join_counted(df, groups, "k", "n", 100, how).collect()
+        want = Counter()
+        for k, i in rows:
+            k = k and bytes(k) if kind == "binary" else k
+            met = k is not None and counts[k] > 1
+            if met or how == "left":
+                want[k, i, "x", counts[k] if met else None, low[k] if met else None] += 1
+        assert Counter((r["k"] and bytes(r["k"]) if kind == "binary" else r["k"], r["id"], r["heavy_key"], r["n"], r["first"] and r["first"]["id"]) for r in got) == want
+
+
 def test_op1_texts(docs, rows, empty):
     got = ordermin.fingerprints(docs).collect()
     assert len(got) == len(rows) and ordermin.fingerprints(empty).count() == 0
@@ -83,38 +109,68 @@ def test_op1_texts(docs, rows, empty):
     assert long["near_edited"] > 0.2 > long["near_next"]
 
 
-def test_op1_order_counts(spark):
-    r = random.Random(1)
-    w = words(r, 400).split()
-    texts = [" ".join(w), " ".join(w[200:] + w[:200]), " ".join(reversed(w)), "a " * 500, "a " * 501, "a " * 30]
-    got = ordermin.with_sketch(spark.createDataFrame(list(enumerate(texts)), "i int, t string"), "t", "s")
-    s = {x["i"]: x["s"] for x in got.collect()}
+def spark_hash(*values):
+    """xxhash64 of strings, and of ints as 4 or (longs, given as a tuple) 8 bytes."""
+    h = 42
+    for v in values:
+        raw = v.encode() if isinstance(v, str) else (v[0] % 2**64).to_bytes(8, "little") if isinstance(v, tuple) else v.to_bytes(4, "little")
+        h = xxhash.xxh64_intdigest(raw, seed=h)
+    return h
 
-    def brute(text):
-        from pyspark.sql.functions import xxhash64  # the same hash, one k-mer at a time
 
-        return xxhash64, text
+def brute_sketch(text):
+    """Order MinHash of a text, k-mer by k-mer."""
+    found = [w for w in re.split("[ \t-\r]+", re.sub("([\u3040-\u30ff\u4e00-\u9fff])", r" \1 ", text or "")) if w]
+    found = [x for w in found for x in (w[:40], *w[40:])]
+    mask = (1 << 33) - 1
+    mers = [spark_hash(*p) & mask for p in zip(found[:-1], found[1:], strict=True)] if len(found) > 1 else [spark_hash(w) & mask for w in found]
+    seen, own = Counter(), []
+    for place, h in enumerate(mers):
+        own.append((h if not seen[h] else spark_hash((h,), seen[h]) & mask, place))
+        seen[h] += 1
+    own.sort()
+    out = []
+    for bucket in range(64) if own else ():
+        first = [x for x in own if x[0] >= bucket << 27] + own
+        pair = [(h,) for h, _ in sorted(first[:2] if len(own) > 1 else own, key=lambda x: x[1])]
+        out.append(bucket << 24 | spark_hash(*pair) & (1 << 24) - 1)
+    return out
+
 
-    like = lambda a, b: len(set(s[a]) & set(s[b])) / len({x >> 24 for x in s[a] + s[b]})
-    assert like(0, 0) == 1 and 0.2 < like(0, 1) < 1 and like(0, 2) < 0.2
-    assert like(3, 4) > 0.8 > like(3, 5)  # repeats count
+def test_op1_against_brute_force(spark, docs, rows):
+    texts = [None, "", " ", "one", "one two", "a " * 300, "b a " * 77, "x" * 41, "x" * 90 + " y", "日本語の text", *(t for _, t, _ in rows[:70]), rows[-1][1]]
+    got = ordermin.with_sketch(spark.createDataFrame(list(enumerate(texts)), "i int, t string"), "t", "s").collect()
+    for r in got:
+        assert r["s"] == brute_sketch(r["t"]), r["t"]
+    order = sorted(((i, t or "") for i, t, _ in rows), key=lambda x: key(x[0]))
+    like = lambda a, b: sum(x == y for x, y in zip(a, b, strict=True)) / 64 if a and b else float(not a and not b)
+    want = Counter()
+    for (i, t), (_, after) in zip(order, order[1:] + order[:1], strict=True):
+        cut = len(t) // 4
+        own, other = brute_sketch(t), brute_sketch(t[: len(t) - cut] + after[:cut])
+        want[i, "".join(f"{x:08x}" for x in own), "".join(f"{x:08x}" for x in other), like(own, other), like(own, brute_sketch(after))] += 1
+    fields = ("doc_id", "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+    assert Counter(tuple(r[f] for f in fields) for r in ordermin.fingerprints(docs).collect()) == want
 
 
-def test_op1_occurrences(spark):
-    """Numbers of equal k-mers are exact for runs of any length."""
-    n = 300
-    text = "b " * n
-    got = ordermin.with_sketch(spark.createDataFrame([(text,)], "t string"), "t", "s").first()["s"]
-    mask = (1 << 33) - 1
-    h = spark.range(1).select(F.xxhash64(F.lit("b"), F.lit("b")).alias("h")).first()["h"] & mask
-    hashed = spark.range(n - 1).select("id", F.xxhash64(F.lit(h), F.col("id").cast("int")).bitwiseAND(F.lit(mask)).alias("f")).collect()
-    buckets = defaultdict(list)
-    for r in hashed:
-        buckets[r["f"] >> 27].append((r["f"], r["id"]))
-    pairs = [(b, [f for f, _ in sorted(sorted(v)[:2], key=lambda x: x[1])]) for b, v in sorted(buckets.items())]
-    frame = spark.createDataFrame([(b, v[0], v[1] if len(v) > 1 else None) for b, v in pairs], "b long, x long, y long")
-    low = F.when(F.col("y").isNull(), F.xxhash64("x")).otherwise(F.xxhash64("x", "y")).bitwiseAND(F.lit((1 << 24) - 1))
-    assert got == [r["e"] for r in frame.orderBy("b").select((F.shiftleft("b", 24).bitwiseOR(low)).alias("e")).collect()]
+def test_op1_order_counts(spark):
+    r = random.Random(1)
+    texts = []
+    for n in (10, 20, 40, 80, 150, 400):
+        for _ in range(8):
+            w = [f"w{r.randrange(10**6)}" for _ in range(n)]
+            texts += [(n, " ".join(w)), (n, " ".join(w[n // 2 :] + w[: n // 2])), (n, " ".join(reversed(w)))]
+    texts += [(0, "a " * 500), (0, "a " * 501), (0, "a " * 30)]
+    got = ordermin.with_sketch(spark.createDataFrame([(i, t) for i, (_, t) in enumerate(texts)], "i int, t string"), "t", "s")
+    s = [x["s"] for x in sorted(got.collect(), key=lambda x: x["i"])]
+    like = lambda a, b: len(set(s[a]) & set(s[b])) / 64
+    swapped = defaultdict(list)
+    for i in range(0, len(texts) - 3, 3):
+        swapped[texts[i][0]].append(like(i, i + 1))
+        assert like(i, i) == 1 and like(i, i + 2) < 0.2
+    assert all(0.2 < np.mean(v) < 0.65 for v in swapped.values()), swapped  # whatever the length
+    n = len(texts) - 3
+    assert like(n, n + 1) > 0.8 > like(n, n + 2)  # repeats count
 
 
 def test_op2(spark, empty):
@@ -168,7 +224,7 @@ def test_pieces_give_the_librarys_ids(name, separator):
     r = random.Random(2)
     abc = "ab  \n\t.'sSİiıÀǅtτςΣé́ \x1c\x1f<|>end\x01 　中1_9,A "
     texts = ["".join(r.choice(abc) for _ in range(r.randint(0, 60))) for _ in range(3000)]
-    texts += ["İ.", "aİ, İİ!", "".join(map(chr, range(0xC0, 0x250))), *(chr(c) + "." for c in range(0xC0, 0x250)), "<|endoftext|> a <|startoftext|>", "one two.\nthree, four's 'five' 3.14 a_b", "x!.y é.", "it's we'll I'd."]
+    texts += ["", " ", "a ", " a", "İ.", "aİ, İİ!", "".join(map(chr, range(0xC0, 0x250))), *(chr(c) + "." for c in range(0xC0, 0x250)), "<|endoftext|> a <|startoftext|>", "one two.\nthree, four's 'five' 3.14 a_b", "x!.y é.", "it's we'll I'd."]
     t = Tokenizer.from_file(public_tokenizers.path(name))
     want = [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
     enc = PieceEncoder(public_tokenizers.path(name), separator, memory=500)
@@ -188,6 +244,17 @@ def test_dac_segments():
             b = r.randint(a, n)
             assert s.slice(a, b).tolist() == ids[a:b].tolist()
         assert all(s[i] == ids[i] for i in range(0, n, 37))
+        reads = []
+        data = dac.encode([None, 7], [ids[: n // 3].tobytes(), ids[n // 3 :].tobytes()])
+
+        def read(at, size, data=data, reads=reads):
+            reads.append(size)
+            return data[at : at + size]
+
+        for i in range(0, n, 41):
+            assert dac.read_id(read, i) == ids[i]
+            assert sum(reads) < 500  # of thousands of bytes
+            reads.clear()
 
 
 def _ids(text, name):
@@ -206,6 +273,11 @@ def test_op3(spark, docs, rows, empty, tmp_path, monkeypatch):
         raw = np.array(ids, dtype="<u4").tobytes()
         assert (r["start"], r["n_tokens"], r["ids_crc32"], bytes(r["ids"])) == (at, len(ids), zlib.crc32(raw), raw)
         at += len(ids)
+    every = np.concatenate([np.frombuffer(r["ids"], "<u4") for r in got])
+    store = dac.TokenStore(spark, str(tmp_path / "t"))
+    assert store.index.count() > 4 and all(store[i] == every[i] for i in (0, 1, 501, 1234, len(every) - 1))
+    with pytest.raises(IndexError):
+        store[len(every)]
     dac.write_tokens(empty, str(tmp_path / "e"), public_tokenizers.path("byte_bpe_50k.json"))
     assert dac.read_documents(spark, str(tmp_path / "e")).count() == 0
 
@@ -361,6 +433,43 @@ def test_op7(docs, rows, empty):
     assert mixed.columns == docs.columns and Counter(r["doc_id"] for r in mixed.collect()) == +want
 
 
+def test_op7_margins(spark):
+    """Newton's multipliers of sources and margins against a plain optimizer's rates: token constraints hold."""
+    r = random.Random(4)
+    langs = {"a": "eedf", "b": "edf", "c": "ffde"}
+    rows = [(i, words(r, r.randint(1, 60)), s, r.choice(langs[s])) for i, s in enumerate("aaabbbbccc" * 60)] + [(900, None, "a", None), (901, "some words", "c", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string").repartition(3)
+    plain, got = (mixing.entropy_balance(docs, margins=m).collect() for m in ((), ("lang",)))
+    lang = {i: x for i, _, _, x in rows}
+    whole = sum(x["size"] for x in got)
+    share = lambda rates: {v: sum(x["size"] * x["rate"] for x in rates if lang[x["doc_id"]] == v) / whole for v in "edf"}
+    want = {v: sum(x["size"] for x in got if lang[x["doc_id"]] == v) / whole for v in "edf"}
+    assert max(abs(share(plain)[v] - want[v]) for v in want) > 0.05 and max(abs(share(got)[v] - want[v]) for v in want) < 0.002
+    for s in "abc":
+        own = [x for x in got if x["source"] == s]
+        assert sum(x["size"] * x["rate"] for x in own) == pytest.approx(own[0]["target"], rel=1e-9)
+        assert abs(sum(x["size"] * x["copies"] for x in own) - own[0]["target"]) <= max(x["size"] for x in own)
+    assert all(0 <= x["copies"] <= 3 for x in got) and len({round(x["rate"], 6) for x in got if x["source"] == "a"}) >= 3
+    # The optimum's form: log rates are a sum of a source's and a language's multiplier.
+    rate = {(x["source"], lang[x["doc_id"]]): x["rate"] for x in got if x["size"] and x["rate"] < 2.999}
+    if {("a", "e"), ("a", "d"), ("b", "e"), ("b", "d")} <= set(rate):
+        assert rate["a", "e"] / rate["a", "d"] == pytest.approx(rate["b", "e"] / rate["b", "d"], rel=1e-6)
+    with pytest.raises(ValueError, match="margins"):
+        mixing.entropy_balance(docs, margins=("doc_id",))
+
+
+def test_apply_mix_of_equal_keys(spark):
+    """A source's words come near its target although all keys are null."""
+    r = random.Random(7)
+    docs = spark.createDataFrame([(None, words(r, r.randint(1, 50)), "ab"[i % 5 == 0]) for i in range(400)], "doc_id long, text string, source string")
+    mix = mixing.entropy_balance(docs).collect()
+    taken = defaultdict(int)
+    for x in mixing.apply_mix(docs, mixing.entropy_balance(docs)).collect():
+        taken[x["source"]] += len(x["text"].split())
+    for s in "ab":
+        assert taken[s] == sum(x["size"] * x["copies"] for x in mix if x["source"] == s)
+
+
 def test_pipeline(spark, docs, rows, tmp_path):
     r = random.Random(8)
     bad = [(3000 + i, words(r, 30) + " vile foul nasty " + words(r, 5), "s1") for i in range(60)]
