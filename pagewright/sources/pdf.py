@@ -1,4 +1,5 @@
-"""PDF files as DataFrames. A file that can't be read gives a row with its error; it never fails the job."""
+"""PDF files as DataFrames. A file that can't be read gives a row with its error; it never fails the job. doc_id is a long, or
+can be cast to one; null and repeated ids give rows like any other."""
 
 from __future__ import annotations
 

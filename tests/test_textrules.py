@@ -51,3 +51,12 @@ def test_options(spark):
     off = md.MarkdownOptions(detect_lists=False, detect_code=False)
     assert apply(spark, lambda c: md.to_markdown(c, off), ["• Item\nconst x = 5;"]) == ["• Item\nconst x = 5;\n"]
     assert apply(spark, md.to_markdown, [None]) == [None]
+
+
+def test_nulls_and_empty(spark):
+    """Null in, null out, for every rule; an empty text is no error."""
+    df = spark.createDataFrame([(0, None), (1, "")], "i int, x string")
+    rules = [r for r, _ in RULES] + [t.has_cjk]
+    rows = sorted(df.select("i", *(r(F.col("x")).alias(f"r{k}") for k, r in enumerate(rules))).collect(), key=lambda r: r["i"])
+    assert [rules[k].__name__ for k in range(len(rules)) if rows[0][f"r{k}"] is not None] == []
+    assert all(rows[1][f"r{k}"] is not None for k in range(len(rules)))
