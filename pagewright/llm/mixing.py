@@ -164,8 +164,8 @@ def entropy_balance(docs: DataFrame, key: str = "doc_id", source: str = "source"
 def apply_mix(docs: DataFrame, mix: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
     """docs with each document as often as its copies say (none for 0).
 
-    Rows are told apart by key, source, size and a hash of their text; rows equal in all of these are dealt the copies of
-    all of them, so `mix` and `docs` agree in number and a source's words come near its target whatever keys repeat.
+    Rows are told apart by key, source and size; rows equal in all of these are dealt the copies of all of them, so a
+    source's words come near its target whatever keys repeat. `mix` and `docs` agree in number.
     """
     n, r, at = free_name(docs, "mix_copies"), free_name(docs, "mix_rows"), free_name(docs, "mix_row")
     columns = [F.col(f"`{c}`") for c in docs.columns]

@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from pagewright.llm import dac, mixing, neardup, ordermin, packing, sharding, toxicity
+from oracle import SF_DIR
+from pagewright.llm import dac, mixing, neardup, ordermin, packing, queries, sharding, toxicity
 from pagewright.llm import common
 from pagewright.llm.common import join_counted, ordered
 from pagewright.llm.tokens import PieceEncoder
@@ -491,3 +492,60 @@ def test_pipeline(spark, docs, rows, tmp_path):
     pieces = corpus_pipeline.run(spark, str(tmp_path)).collect()
     text = {i: t for i, t, _ in every}
     check_pieces(pieces, [(i, text[i], None) for i, n in copies.items() for _ in range(n)], "word_bpe_49k.json", 4096, packing.Limits())
+
+
+def test_op2_ftrl_by_hand():
+    """Weights against FTRL-proximal written out place by place."""
+    r = random.Random(3)
+    examples = [(np.array(sorted(r.sample(range(30), r.randint(0, 8))), dtype=np.int32), int(r.random() < 0.4)) for _ in range(200)]
+    alpha, beta, l1, l2, epochs, positive = 0.3, 1.5, 0.7, 0.5, 2, 3.0
+    z, n, bias = defaultdict(float), defaultdict(float), [0.0, 0.0]
+    weight = lambda i: 0.0 if abs(z[i]) <= l1 else -(z[i] - np.sign(z[i]) * l1) / ((beta + n[i] ** 0.5) / alpha + l2)
+    for _ in range(epochs):
+        for f, y in examples:
+            w, b = {int(i): weight(int(i)) for i in f}, -bias[0] * alpha / (beta + bias[1] ** 0.5)
+            g = (1 / (1 + np.exp(-(sum(w.values()) + b))) - y) * (positive if y else 1)
+            for i, v in w.items():
+                z[i] += g - ((n[i] + g * g) ** 0.5 - n[i] ** 0.5) / alpha * v
+                n[i] += g * g
+            bias[0] += g - ((bias[1] + g * g) ** 0.5 - bias[1] ** 0.5) / alpha * b
+            bias[1] += g * g
+    known = np.arange(100, 130, dtype=np.uint32)
+    model = toxicity.fit(known, examples, alpha, beta, l1, l2, epochs, positive)
+    want = {100 + i: weight(i) for i in range(30) if weight(i)}
+    assert dict(zip(model.places.tolist(), model.weights, strict=True)) == pytest.approx(want) and 0 < len(want) < 30
+    assert model.bias == pytest.approx(-bias[0] * alpha / (beta + bias[1] ** 0.5))
+
+
+def test_queries_over_documents(spark):
+    """The registered queries without SQL, on a whole table."""
+    rows = [(r["doc_id"], r["text"], None) for r in spark.read.parquet(f"{SF_DIR}/documents.parquet").collect()]
+    text = {i: t or "" for i, t, _ in rows}
+    ids = {i: np.array(_ids(t, "byte_bpe_50k.json"), dtype="<u4").tobytes() for i, t in text.items()}
+    run = lambda name: queries.QUERIES[name](spark, SF_DIR).collect()
+    order = sorted(text)
+    start = dict(zip(order, np.cumsum([0] + [len(ids[i]) // 4 for i in order]).tolist(), strict=False))
+    assert sorted((r["doc_id"], r["start"], r["n_tokens"], r["ids_crc32"]) for r in run("op3_dac_tokens")) == [(i, start[i], len(ids[i]) // 4, zlib.crc32(ids[i])) for i in order]
+    check_pieces(run("op5_vector_packing"), rows, "word_bpe_49k.json", 4096, packing.Limits())
+    scored = run("op2_ftrl_toxicity")
+    assert sorted(r["doc_id"] for r in scored) == order
+    assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2) and 0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.3) for r in scored)
+    sharded = run("op6_label_propagation_shards")
+    for r in sharded:
+        raw = text[r["doc_id"]].encode()
+        assert (r["size"], r["text_crc32"], r["law"], r["grown_shard"]) == (len(raw) + 1, zlib.crc32(raw), "rows", None)
+    slots = defaultdict(list)
+    for r in sharded:
+        slots[r["shard"]].append(r["slot"])
+    sizes = [len(slots[s]) for s in range(16)]
+    assert sum(sizes) == len(order) and max(sizes) - min(sizes) <= 1 and all(sorted(v) == list(range(len(v))) for v in slots.values())
+    of = defaultdict(Counter)
+    for r in sharded:
+        of[text[r["doc_id"]]][r["shard"]] += 1
+    held, groups = sum(max(c.values()) for c in of.values() if c.total() > 1), sum(c.total() for c in of.values() if c.total() > 1)
+    assert held >= 0.9 * groups  # equal texts stay together: by chance a sixteenth or so of them would
+    for r in run("op1_order_minhash"):
+        k = order.index(r["doc_id"])
+        after, own = text[order[(k + 1) % len(order)]], text[r["doc_id"]]
+        cut = len(own) // 4
+        assert (r["n_chars"], r["edited_sha256"]) == (len(own), hashlib.sha256((own[: len(own) - cut] + after[:cut]).encode()).hexdigest())
