@@ -25,7 +25,7 @@ WEIGHTS = (5.0, 2.0, 1.0)
 MOST = 3.0
 #: Newton iterations at most: about ten serve targets between a thousandth and three times the size, as each can lower
 #: a rate by a factor of e. They end when no source is off its target by more than this share of it.
-STEPS, CLOSE = 64, 1e-13
+STEPS, CLOSE, NEAR = 64, 1e-13, 0.01
 #: Values of all margins at most; their sums go to the driver. Weight of the squared multipliers of margins.
 MARGINS, RIDGE = 64, 1e-4
 #: Rates are rounded to so many parts of a copy, and summed as whole numbers.
@@ -68,7 +68,7 @@ def solve(cells: DataFrame, targets: DataFrame, goals: np.ndarray, most: float =
     """
     m = len(goals)
     state = stored(targets.where("target > 0").select(F.col("source").alias("of"), "target", F.lit(0.0).alias("lam")), "multipliers")
-    mu = np.zeros(m)
+    mu, part, last = np.zeros(m), 1.0, np.inf
     ridge = RIDGE * max(1.0, float(goals.sum()))
 
     def tilted() -> DataFrame:
@@ -93,14 +93,16 @@ def solve(cells: DataFrame, targets: DataFrame, goals: np.ndarray, most: float =
         ).first()
         if row["off"] is None:
             break
-        step = np.zeros(m)
-        if m:
+        # Margins move only once the sources are near their targets, and by less after a step that made things worse.
+        step, miss = np.zeros(m), np.array([goals[j] - row[f"g{j}"] for j in range(m)]) - ridge * mu
+        far = np.abs(miss).max(initial=0)
+        if m and row["off"] <= NEAR:
             schur = np.zeros((m, m))
             for j, k in places:
                 schur[j, k] = schur[k, j] = row[f"c{j}_{k}"] or 0.0
-            gradient = np.array([goals[j] - row[f"g{j}"] - row[f"r{j}"] for j in range(m)]) - ridge * mu
-            step = np.clip(np.linalg.solve(schur + ridge * np.eye(m), gradient), -1.0, 1.0)
-        if row["off"] <= CLOSE and np.abs(step).max(initial=0) <= 1e-9:
+            part, last = (max(part / 2, 1 / 64) if far > last else min(1.0, 2 * part)), far
+            step = part * np.clip(np.linalg.solve(schur + ridge * np.eye(m), miss - [row[f"r{j}"] for j in range(m)]), -1.0, 1.0)
+        if row["off"] <= CLOSE and far <= 1e-9 * goals.sum():
             break
         move = (gap - sum((F.col(f"b{j}") * float(step[j]) for j in range(m)), F.lit(0.0))) / F.col("h")
         move = F.when(F.col("h") > 0, F.greatest(F.lit(-1.0), F.least(move, F.lit(2.0)))).when(gap < 0, -0.5).otherwise(0.0)
