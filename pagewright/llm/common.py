@@ -34,7 +34,7 @@ def hold(name: str, clear) -> None:
 
 
 def release() -> None:
-    """Hands a worker's free memory back to the system."""
+    """Hands a process's free memory back to the system."""
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):  # another C library
         ctypes.CDLL("libc.so.6").malloc_trim(0)

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, free_name, hold, stored
+from .common import bounded_batches, free_name, hold, release, stored
 
 BITS = 32
 #: Words of a window; the next one starts half of it later. A text of up to so many words is one window.
@@ -105,8 +105,15 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, grams: int
     `grams` distinct grams in all.
 
     Labels other than 0 and 1 and null keys don't count; of labels that repeat for a key the largest does. Texts are
-    learnt from as a whole. Only numbers of grams that LEAST_ROWS rows have come to the driver.
+    learnt from as a whole. Only numbers of grams that LEAST_ROWS rows have come to the driver, which gives their memory
+    back once it has learnt.
     """
+    model = _learnt(docs, labels, rows, grams, key, text, label)
+    release()
+    return model
+
+
+def _learnt(docs: DataFrame, labels: DataFrame, rows: int, grams: int, key: str, text: str, label: str) -> Model:
     bounded_batches(docs.sparkSession)
     own = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull() & ~held_out(key)).groupBy(F.col(key).alias("key")).agg(F.max(label).cast("int").alias("y"))
     share = min(1.0, rows / max(1, own.count()))

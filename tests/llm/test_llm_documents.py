@@ -3,9 +3,11 @@
 import hashlib
 import random
 import re
+import resource
 import zlib
 from collections import Counter, defaultdict
 from itertools import combinations
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -494,6 +496,23 @@ def test_pipeline(spark, docs, rows, tmp_path):
     check_pieces(pieces, [(i, text[i], None) for i, n in copies.items() for _ in range(n)], "word_bpe_49k.json", 4096, packing.Limits())
 
 
+def test_op2_gives_the_drivers_memory_back(spark, monkeypatch):
+    """What training took is not held by the driver through the stages that follow."""
+    resident = lambda: int(Path("/proc/self/statm").read_text().split()[1]) * resource.getpagesize() / 1e6
+    pinned = []
+
+    def fit(known, examples):
+        some = [bytearray(1000) for _ in range(200_000)]
+        pinned.append(some[-1])  # above all the others, so that they go back only if asked to
+        return toxicity.Model()
+
+    monkeypatch.setattr(toxicity, "fit", fit)
+    docs = spark.createDataFrame([(k, "some words") for k in range(20)], "doc_id long, text string")
+    before = resident()
+    toxicity.train(docs, spark.createDataFrame([(k, k % 2) for k in range(20)], "doc_id long, toxic int"))
+    assert len(pinned) == 1 and resident() - before < 100
+
+
 def test_op2_ftrl_by_hand():
     """Weights against FTRL-proximal written out place by place."""
     r = random.Random(3)
