@@ -181,10 +181,11 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, key: str = "doc_id"
 
 
 def _files(spark: SparkSession, path: str) -> DataFrame:
-    """(path, part, segment, content): Spark names files by task and by their number in the task."""
+    """(path, part, segment, content): Spark names files by task, a random id (which may have "-c" and digits, too) and
+    their number in the task, which the file's ending follows."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).where("length > 0")
     number = lambda pattern: F.regexp_extract("path", pattern, 1).cast("int")
-    return files.select("path", number("/part-([0-9]+)-[^/]*$").alias("part"), number("-c([0-9]+)[^/]*$").alias("segment"), "content")
+    return files.select("path", number("/part-([0-9]+)-[^/]*$").alias("part"), number(r"-c([0-9]+)\.[^/]*$").alias("segment"), "content")
 
 
 def read_documents(spark: SparkSession, path: str, ids: bool = False) -> DataFrame:

@@ -265,6 +265,16 @@ def _ids(text, name):
     return t.encode(text or "", add_special_tokens=False).ids + [2]
 
 
+@pytest.mark.parametrize("name", ["0a1b2c3d-c123-4abc-8def-0123456789ab", "0a1b2c3d-4567-4abc-8def-c12345678901", "2c6154ff-117f-4377-94be-ac92dc655d5e"])
+def test_op3_numbers_of_segments(spark, tmp_path, name):
+    """Segments of one task keep their own numbers, whatever random id is in the names of their files."""
+    for part in range(2):
+        for k in range(3):
+            (tmp_path / f"part-0000{part}-{name}-c00{k}.txt").write_bytes(b"x")
+    found = dac._files(spark, str(tmp_path)).select("part", "segment").collect()
+    assert sorted(map(tuple, found)) == [(part, k) for part in range(2) for k in range(3)]
+
+
 def test_op3(spark, docs, rows, empty, tmp_path, monkeypatch):
     monkeypatch.setattr(dac, "SEGMENT", 500)
     dac.write_tokens(docs, str(tmp_path / "t"), public_tokenizers.path("byte_bpe_50k.json"))
