@@ -156,14 +156,12 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, key: str = "doc_id"
             return out
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                some = batch.slice(at, 512)
-                for k, raw in zip(some.column(0).to_pylist(), enc.ids([t or "" for t in some.column(1).to_pylist()]), strict=True):
-                    keys.append(k)
-                    ids.append(raw + end)
-                    size += len(raw) // 4 + 1
-                    if size >= SEGMENT:
-                        yield row()
+            for k, raw in zip(batch.column(0).to_pylist(), enc.ids(batch.column(1)), strict=True):
+                keys.append(k)
+                ids.append(raw + end)
+                size += len(raw) // 4 + 1
+                if size >= SEGMENT:
+                    yield row()
         if keys:
             yield row()
 

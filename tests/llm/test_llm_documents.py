@@ -11,6 +11,7 @@ from pathlib import Path
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -235,6 +236,27 @@ def test_pieces_give_the_librarys_ids(name, separator):
         assert [np.frombuffer(x, "<u4").tolist() for x in enc.ids(texts)] == want
 
 
+@pytest.mark.parametrize(("name", "separator"), [("byte_bpe_50k.json", "\n"), ("word_bpe_49k.json", " \x01 ")])
+def test_pieces_go_to_the_library_once(name, separator):
+    """A word is one piece (or two, after a blank and without), whatever stands beside it; pieces used last are kept."""
+    r = random.Random(9)
+    words = sorted({"".join(r.choice("abcdefgàéжß") for _ in range(8)) + r.choice("xyz") for _ in range(200)})
+    texts = [f'{w} ({w}) "{w}" {w}-{w}, {w}/{w}: {w}1 {w}=2;\n{w}\n\n{w}\t{w}  {w}' for w in words if w[0].isascii()]
+    t = Tokenizer.from_file(public_tokenizers.path(name))
+    want = [np.array(e.ids, dtype="<u4").tobytes() for e in t.encode_batch(texts, add_special_tokens=False)]
+    enc = PieceEncoder(public_tokenizers.path(name), separator)
+    assert enc.ids(texts) == want
+    assert len(enc.known) <= 2 * len(texts) + 40
+    assert enc.ids(pa.array([None, "x", *texts]).slice(2)) == want and enc.ids(pa.array([None, *texts])) == [b"", *want]
+    enc = PieceEncoder(public_tokenizers.path(name), separator, memory=100)
+    for _ in range(2):
+        for part in (words[:60], words[60:120]):
+            line = " ".join(part)
+            assert enc.ids([line]) == [np.array(t.encode(line, add_special_tokens=False).ids, dtype="<u4").tobytes()]
+            assert len(enc.known) <= 50 + 61
+    assert sum(f" {w}" in enc.known for w in words[:60]) >= 45
+
+
 def test_dac_segments():
     r = random.Random(4)
     for n in (0, 1, 511, 512, 513, 3000):
