@@ -148,7 +148,7 @@ class Packer:
         self._close()
 
 
-def _batches(ids_of: Callable[[list[str]], list[bytes]], end: bytes, limits: Limits, loss_from: int, key_type: pa.DataType) -> Callable:
+def _batches(ids_of: Callable[[pa.Array], list[bytes]], end: bytes, limits: Limits, loss_from: int, key_type: pa.DataType) -> Callable:
     schema = pa.schema([("key", key_type), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("ids", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,19 +173,16 @@ def _batches(ids_of: Callable[[list[str]], list[bytes]], end: bytes, limits: Lim
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
 
         for batch in batches:
-            keys, texts = batch.column(0), batch.column(1)
-            for at in range(0, len(texts), 512):
-                part = ["" if t is None else t for t in texts.slice(at, 512).to_pylist()]
-                for key, raw in zip(keys.slice(at, 512).to_pylist(), ids_of(part), strict=True):
-                    raw += end
-                    n = len(raw) // 4
-                    docs[count] = key, raw
-                    new.append((count, n, max(0, n - loss_from)))
-                    count, held = count + 1, held + n
-                    if held >= WINDOW:
-                        packer.pack(new)
-                        new = []
-                        yield rows()
+            for key, raw in zip(batch.column(0).to_pylist(), ids_of(batch.column(1)), strict=True):
+                raw += end
+                n = len(raw) // 4
+                docs[count] = key, raw
+                new.append((count, n, max(0, n - loss_from)))
+                count, held = count + 1, held + n
+                if held >= WINDOW:
+                    packer.pack(new)
+                    new = []
+                    yield rows()
         packer.pack(new)
         packer.finish()
         yield rows()

@@ -8,6 +8,7 @@ import zlib
 from collections import Counter, defaultdict
 from itertools import combinations
 from pathlib import Path
+from types import SimpleNamespace
 
 import numpy as np
 import public_tokenizers
@@ -407,6 +408,29 @@ def test_op5(docs, rows, empty, limits):
     assert packing.pack_documents(empty, path).count() == 0
 
 
+def test_op5_encodes_whole_batches(monkeypatch):
+    """Arrow's texts go to the encoder as they are, a batch at a time, and every id comes out once."""
+    monkeypatch.setattr(packing.TaskContext, "get", lambda: SimpleNamespace(partitionId=lambda: 0))
+    r = random.Random(11)
+    texts = [r.choice([None, "", words(r, r.randint(1, 90)), "<|endoftext|> (A) b's"]) for _ in range(1000)]
+    enc, calls = PieceEncoder(public_tokenizers.path("word_bpe_49k.json"), " \x01 "), []
+
+    def ids_of(part):
+        calls.append((isinstance(part, pa.Array), len(part)))
+        return enc.ids(part)
+
+    end = np.array([2], dtype="<u4").tobytes()
+    batch = pa.RecordBatch.from_arrays([pa.array(range(1000)), pa.array(texts)], ["key", "text"])
+    out = [x for b in packing._batches(ids_of, end, packing.Limits(), 0, pa.int64())(iter([batch])) for x in b.to_pylist()]
+    assert calls == [(True, 1000)]
+    whole = defaultdict(bytes)
+    for x in sorted(out, key=lambda x: (x["key"], x["start"])):
+        assert x["start"] == len(whole[x["key"]]) // 4
+        whole[x["key"]] += x["ids"]
+    t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    assert whole == {i: np.array(t.encode(x or "", add_special_tokens=False).ids + [2], dtype="<u4").tobytes() for i, x in enumerate(texts)}
+
+
 def test_op6(docs, rows, empty):
     prepared = docs.withColumn("link", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256))
     got = sharding.shard_rows(prepared, "link", "doc_id").collect()
