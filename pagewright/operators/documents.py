@@ -17,7 +17,6 @@ from pyspark.sql.types import StructType
 
 from ..functions.markdown import MarkdownOptions, clean_markdown
 from .detect import DetectionConfig
-from .items import modal_sizes
 from ..sources.pdf import detect_pdf_types, inspect, text_items  # noqa: F401  two are called by these names, too
 
 _FIELDS = ("text", "x", "y", "width", "height", "font", "font_size", "page", "is_bold", "is_italic", "item_type", "seq")
@@ -73,19 +72,21 @@ def lines(items: DataFrame) -> DataFrame:
 
 
 def tables(items: DataFrame) -> DataFrame:
-    """(doc_id, page, table_no, columns, rows, cells, markdown): tables of each page, found by page."""
+    """(doc_id, page, table_no, columns, rows, cells, markdown): tables of each page. Items meet by document, for its base
+    size; many documents are looked at together."""
+    exact = items.schema["font_size"].dataType.typeName() in ("float", "double")
+    size = F.col("font_size") if exact else F.col("font_size").cast("double")
+    own = items.where("page IS NOT NULL AND doc_id IS NOT NULL AND item_type = 'text'")
+    columns = [F.col("doc_id").cast("long"), F.col("page").cast("int"), F.col("seq").cast("long"), "text", *(F.col(c).cast("double") for c in "xy"), size.alias("font_size")]
 
-    def work(key, more, own):
-        from ..layout.tables import detect_tables, table_to_markdown
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from ..layout.table_batches import tables_of, whole_documents
 
-        found = detect_tables([i for i in own if i.item_type == "text"], more[0])
-        return [
-            {"doc_id": key[0], "page": key[1], "table_no": n, "columns": x.columns, "rows": x.rows, "cells": x.cells, "markdown": table_to_markdown(x.cells)} for n, x in enumerate(found)
-        ]
+        for batch in whole_documents(batches):
+            yield tables_of(batch)
 
-    known = _known(items)
-    sized = known.join(modal_sizes(known.where("item_type = 'text'").select("doc_id", "font_size")), "doc_id")
-    return _fold(sized, ["doc_id", "page"], work, "doc_id long, page int, table_no int, columns array<double>, rows array<double>, cells array<array<string>>, markdown string", ("base_size",))
+    schema = "doc_id long, page int, table_no int, columns array<double>, rows array<double>, cells array<array<string>>, markdown string"
+    return own.select(*columns).repartition("doc_id").sortWithinPartitions("doc_id").mapInArrow(run, schema)
 
 
 def markdown(items: DataFrame, options: MarkdownOptions = MarkdownOptions()) -> DataFrame:

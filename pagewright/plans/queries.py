@@ -341,10 +341,17 @@ ORACLE_SQL["api3_detect_pdf"] = f"""
 
 QUERIES["api1_process_pdf"] = lambda spark, d: documents.process_pdfs(fx_pdfs(spark, d)).select("doc_id", "pdf_type", "page_count", "markdown")
 QUERIES["md17_document_markdown"] = lambda spark, d: documents.markdown(pdf.text_items(fx_pdfs(spark, d)))
-QUERIES["tab12_tables"] = lambda spark, d: documents.tables(
-    fx_cells(spark, d).select("doc_id", F.lit(1).alias("page"), "seq", F.concat((F.col("seq") % 4).cast("string"), F.lit("."), F.col("seq").cast("string")).alias("text"), "x", "y", F.lit(10.0).alias("width"), F.lit(8.0).alias("height"), F.lit(8.0).alias("font_size"), F.lit("text").alias("item_type"))
-    .unionByName(fx_cells(spark, d).where("seq % 4 = 0").select("doc_id", F.lit(2).alias("page"), "seq", F.lit("Body words in the text").alias("text"), "x", "y", F.lit(100.0).alias("width"), F.lit(10.0).alias("height"), F.lit(10.0).alias("font_size"), F.lit("text").alias("item_type")))
-).select("doc_id", "page", "table_no", F.size("columns").alias("n_columns"), F.size("rows").alias("n_rows"), "markdown")
+
+
+def _table_items(spark: SparkSession, d: str) -> DataFrame:
+    """Items of two pages: the cells of fx_cells in small print; at the first cell of each row, body text on the other page."""
+    cells = fx_cells(spark, d).drop("page").join(F.broadcast(spark.range(1, 3).select(F.col("id").cast("int").alias("page"))), F.expr("page = 1 OR seq % 4 = 0"))
+    first = lambda a, b: F.when(F.col("page") == 1, a).otherwise(b)
+    text = first(F.concat((F.col("seq") % 4).cast("string"), F.lit("."), F.col("seq").cast("string")), F.lit("Body words in the text"))
+    return cells.select("doc_id", "page", "seq", text.alias("text"), "x", "y", first(10.0, 100.0).alias("width"), first(8.0, 10.0).alias("height"), first(8.0, 10.0).alias("font_size"), F.lit("text").alias("item_type"))
+
+
+QUERIES["tab12_tables"] = lambda spark, d: documents.tables(_table_items(spark, d)).select("doc_id", "page", "table_no", F.size("columns").alias("n_columns"), F.size("rows").alias("n_rows"), "markdown")
 
 
 def _two_columns(spark: SparkSession, d: str) -> DataFrame:
