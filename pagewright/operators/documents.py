@@ -7,7 +7,8 @@ by hash. Items are small (a few hundred bytes); a document of a million items is
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from itertools import groupby
+from itertools import groupby, repeat
+from operator import itemgetter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -26,49 +27,55 @@ def _known(items: DataFrame) -> DataFrame:
     return items.where("page IS NOT NULL").select("doc_id", *(c for c in _FIELDS if c in items.columns))
 
 
-def _fold(items: DataFrame, keys: list[str], work: Callable, schema: str, more: tuple[str, ...] = ()) -> DataFrame:
-    """work(key values, more values, Items in order) -> rows, for each key. Rows of a key come to one task in order of
-    page and seq, and a task folds one key at a time."""
+def _values(column: pa.Array) -> list:
+    return column.to_pylist() if column.null_count or not pa.types.is_floating(column.type) else column.to_numpy(zero_copy_only=False).tolist()
+
+
+def _fold(items: DataFrame, work: Callable, schema: str) -> DataFrame:
+    """work(doc_id, Items in order) -> rows, for each document. Its rows come to one task in order of page and seq, and a task
+    folds one document at a time. There are as many tasks as set for shuffles: folds take longer than their bytes tell."""
     names = [f for f in _FIELDS if f in items.columns]
-    width = len(keys)
     kind = StructType.fromDDL(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from ..layout.spacing import Item
 
         out_schema = to_arrow_schema(kind)
+        blank = Item("", 0.0, 0.0)
         out: list[dict] = []
-        key, extra, own = None, (), []
+        key, own = None, []
         for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in range(batch.num_columns)), strict=True):
-                if row[:width] != key:
+            known = {n: _values(batch.column(n)) for n in names}
+            found = map(Item, *(known.get(f) or repeat(getattr(blank, f), batch.num_rows) for f in _FIELDS))
+            for doc_id, rows in groupby(zip(batch.column("key_doc_id").to_pylist(), found, strict=True), key=itemgetter(0)):
+                if doc_id != key:
                     if own:
-                        out += work(key, extra, own)
-                    key, extra, own = row[:width], row[width : width + len(more)], []
+                        out += work(key, own)
+                    key, own = doc_id, []
                     if len(out) >= 2000:
                         yield pa.RecordBatch.from_pylist(out, schema=out_schema)
                         out = []
-                own.append(Item(**dict(zip(names, row[width + len(more) :], strict=True))))
+                own += [i for _, i in rows]
         if own:
-            out += work(key, extra, own)
+            out += work(key, own)
         if out:
             yield pa.RecordBatch.from_pylist(out, schema=out_schema)
 
-    columns = [F.col(k).alias(f"key_{k}") for k in keys] + [F.col(m).alias(f"more_{m}") for m in more] + [F.col(n) for n in names]
-    order = [f"key_{k}" for k in keys] + ["page", "seq"]
-    return items.select(*columns).repartition(*(F.col(f"key_{k}") for k in keys)).sortWithinPartitions(*order).mapInArrow(run, kind)
+    tasks = int(items.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keyed = items.select(F.col("doc_id").alias("key_doc_id"), *names)
+    return keyed.repartition(tasks, "key_doc_id").sortWithinPartitions("key_doc_id", "page", "seq").mapInArrow(run, kind)
 
 
 def lines(items: DataFrame) -> DataFrame:
     """(doc_id, page, line_no, y, font_size, text) in reading order, without page numbers."""
 
-    def work(key, _, own):
+    def work(doc_id, own):
         from ..layout.lines import group_into_lines
 
         found = group_into_lines([i for i in own if i.item_type == "text"])
-        return [{"doc_id": key[0], "page": x.page, "line_no": n, "y": x.y, "font_size": x.items[0].font_size, "text": x.text()} for n, x in enumerate(found, 1)]
+        return [{"doc_id": doc_id, "page": x.page, "line_no": n, "y": x.y, "font_size": x.items[0].font_size, "text": x.text()} for n, x in enumerate(found, 1)]
 
-    return _fold(_known(items), ["doc_id"], work, "doc_id long, page int, line_no int, y double, font_size double, text string")
+    return _fold(_known(items), work, "doc_id long, page int, line_no int, y double, font_size double, text string")
 
 
 def tables(items: DataFrame) -> DataFrame:
@@ -92,7 +99,7 @@ def tables(items: DataFrame) -> DataFrame:
 def markdown(items: DataFrame, options: MarkdownOptions = MarkdownOptions()) -> DataFrame:
     """(doc_id, markdown) from items: the fold in Python, the cleaning in generated code. Documents without an item have
     no row."""
-    raw = _fold(_known(items), ["doc_id"], lambda key, _, own: [{"doc_id": key[0], "raw": _markdown(own, options)}], "doc_id long, raw string")
+    raw = _fold(_known(items), lambda doc_id, own: [{"doc_id": doc_id, "raw": _markdown(own, options)}], "doc_id long, raw string")
     return raw.select("doc_id", clean_markdown(F.col("raw"), options).alias("markdown"))
 
 
@@ -144,7 +151,7 @@ def lines_markdown(lines: DataFrame, options: MarkdownOptions = MarkdownOptions(
     """(doc_id, markdown) from prepared lines: items with the line_no of their line in the document and their seq in it.
     No tables or images are looked for; a line's height is that of its first item."""
 
-    def work(key, _, own):
+    def work(doc_id, own):
         from ..layout.assemble import lines_to_markdown
         from ..layout.spacing import Line
 
@@ -152,8 +159,8 @@ def lines_markdown(lines: DataFrame, options: MarkdownOptions = MarkdownOptions(
         for number, items in groupby(own, key=lambda i: i.seq >> 32):
             row = list(items)
             found.append(Line(row, row[0].y, row[0].page))
-        return [{"doc_id": key[0], "raw": lines_to_markdown(found, options)}]
+        return [{"doc_id": doc_id, "raw": lines_to_markdown(found, options)}]
 
     numbered = lines.where("page IS NOT NULL AND line_no IS NOT NULL").withColumn("seq", F.shiftleft(F.col("line_no").cast("long"), 32) + F.coalesce("seq", F.lit(0)))
-    ordered = _fold(_known(numbered), ["doc_id"], work, "doc_id long, raw string")
+    ordered = _fold(_known(numbered), work, "doc_id long, raw string")
     return ordered.select("doc_id", clean_markdown(F.col("raw"), options).alias("markdown"))

@@ -49,10 +49,10 @@ def each_document(docs: DataFrame, work, schema: str) -> DataFrame:
                     rows = [{"doc_id": doc_id, "error": {"kind": "parse", "message": f"{type(e).__name__}: {e}"}}]
                 held += rows
                 while len(held) >= _ROWS or (held and i % 64 == 63):
-                    yield pa.RecordBatch.from_pylist([{f.name: r.get(f.name) for f in out} for r in held[:_ROWS]], schema=out)
+                    yield pa.RecordBatch.from_pylist(held[:_ROWS], schema=out)
                     held = held[_ROWS:]
             if held:
-                yield pa.RecordBatch.from_pylist([{f.name: r.get(f.name) for f in out} for r in held], schema=out)
+                yield pa.RecordBatch.from_pylist(held, schema=out)
                 held = []
 
     return docs.select(F.col("doc_id").cast("long"), "content").mapInArrow(run, kind)

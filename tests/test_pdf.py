@@ -129,3 +129,38 @@ def test_styles():
 
 from pagewright.pdf.content import is_bold, is_italic  # noqa: E402
 from pagewright.pdf.fonts import raw_stream  # noqa: E402
+
+
+def test_tokens_and_comments_at_the_end():
+    from pagewright.pdf.objects import Lexer, Op
+
+    def every(data):
+        lex, out = Lexer(data), []
+        while True:
+            try:
+                out.append(lex.next())
+            except EOFError:
+                return out
+
+    assert every(b" 12 -3.5 +4 .5 1. /A#42 /  <4 1 4> <414> <> (a\\(b) [1 2 R /x] <</K 3>> true null q % no (tokens\n T* ]>>} %%EOF") == [
+        12, -3.5, 4, 0.5, 1.0, "AB", "", b"A@", b"A@", b"", b"a(b", [Ref(1, 2), "x"], {"K": 3}, True, None, "q", "T*", "]", ">>", "}",
+    ]
+    assert every(b"%%EOF") == [] and every(b"  ") == [] and isinstance(every(b"1-2")[0], Op)
+
+
+def test_a_wide_line_costs_no_bins():
+    from pagewright.layout.lines import columns
+    from pagewright.layout.spacing import Item
+
+    items = [Item("w" * 5, 72.0, 700.0 - 12 * k, 1e12) for k in range(20)]  # before: 5e11 bins
+    assert columns(items) == [(72.0, 72.0 + 1e12)]
+
+
+def test_files_are_spread_over_the_tasks_of_shuffles(spark):
+    from oracle import SF_DIR
+
+    from pagewright.plans.queries import QUERIES
+
+    for name in ("md17_document_markdown", "api1_process_pdf"):
+        plan = QUERIES[name](spark, SF_DIR)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("REPARTITION_BY_NUM") == plan.count("Exchange") > 0  # adaptive execution leaves these as they are
