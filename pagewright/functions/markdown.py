@@ -30,8 +30,13 @@ class MarkdownOptions:
 
 def lines(text: Column) -> Column:
     """array<string>: lines without their ends; a last, empty one isn't a line."""
-    cut = F.transform(F.split(text, "\n", -1), lambda x: F.regexp_replace(x, r"\r$", ""))
-    return F.when(text == "", F.array().cast("array<string>")).when(text.endswith("\n"), F.slice(cut, 1, F.size(cut) - 1)).otherwise(cut)
+    bare = lambda x: F.when(x.contains("\r"), F.regexp_replace(x, r"\r$", "")).otherwise(x)
+
+    def of(whole: Column) -> Column:
+        cut = F.split(whole, "\n", -1)
+        return F.when(whole == "", F.array().cast("array<string>")).otherwise(F.transform(F.when(whole.endswith("\n"), let(cut, lambda c: F.slice(c, 1, F.size(c) - 1))).otherwise(cut), bare))
+
+    return let(text, of)
 
 
 def line_class(line: Column, options: MarkdownOptions = MarkdownOptions()) -> Column:
@@ -80,7 +85,9 @@ def remove_page_numbers(text: Column) -> Column:
                 edge = lambda j: at(j).isin("", "---")
                 isolated = ((i == 0) | edge(i - 1)) & ((i + 1 == n) | edge(i + 1))
                 before = (at(i + 1) == "---") | ((at(i + 1) == "") & (at(i + 2) == "---"))
-                return ~(t.is_page_number_line(at(i)) & (F.coalesce(isolated, F.lit(False)) | F.coalesce(before, F.lit(False))))
+                # The cheap tests first: most lines stand in text, and page numbers have digits or begin with "page".
+                likely = at(i).rlike("[0-9]") | F.lower(at(i)).startswith("page")
+                return ~((F.coalesce(isolated, F.lit(False)) | F.coalesce(before, F.lit(False))) & likely & t.is_page_number_line(at(i)))
 
             return F.array_join(F.filter(all_lines, stays), "\n")
 

@@ -13,6 +13,8 @@ from .arrays import let, running
 
 #: The code points of Unicode White_Space, for a character class.
 WS = r"\x{9}-\x{D} \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+#: The characters of WS.
+_BLANKS = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 
 # What a line must begin with, or hold, to count as a caption, a bullet, code, a font style.
 CAPTION_PREFIXES = ("Figure ", "Figura ", "Fig. ", "Fig ", "Table ", "Tabela ", "Source:", "Fonte:", "Source ", "Fonte ", "Note:", "Nota:", "Chart ", "Gráfico ", "Graph ", "Diagram ", "Image ", "Imagem ", "Photo ", "Foto ")
@@ -44,7 +46,7 @@ URL = f"https?://[^{WS}<>)\\]]+[^{WS}<>)\\].,;]"
 
 
 def trim(c: Column) -> Column:
-    return F.regexp_replace(c, f"^[{WS}]+|[{WS}]+$", "")
+    return F.trim(c, F.lit(_BLANKS))
 
 
 def trim_start(c: Column) -> Column:

@@ -60,3 +60,20 @@ def test_nulls_and_empty(spark):
     rows = sorted(df.select("i", *(r(F.col("x")).alias(f"r{k}") for k, r in enumerate(rules))).collect(), key=lambda r: r["i"])
     assert [rules[k].__name__ for k in range(len(rules)) if rows[0][f"r{k}"] is not None] == []
     assert all(rows[1][f"r{k}"] is not None for k in range(len(rules)))
+
+
+def test_trim_and_lines_of_every_blank(spark):
+    blanks = [chr(c) for c in range(0x3001) if chr(c).isspace() and not 0x1C <= c <= 0x1F]
+    texts = [b + "a" + b + "ä" + b + "\n" + b for b in blanks] + ["\x1ca\x1c", "​a​", "", "".join(blanks), "a\r\nb\r\r\n\rc\n", "\r", "\n", "\n\n", "a\r \nb"]
+    rows = spark.createDataFrame([(x,) for x in texts], "x string")
+    got = [tuple(r) for r in rows.select("x", t.trim(F.col("x")), md.lines(F.col("x"))).collect()]
+    by_regex = F.regexp_replace("x", f"^[{t.WS}]+|[{t.WS}]+$", "")
+    cut = F.transform(F.split("x", "\n", -1), lambda y: F.regexp_replace(y, r"\r$", ""))
+    of = F.when(F.col("x") == "", F.array().cast("array<string>")).when(F.col("x").endswith("\n"), F.slice(cut, 1, F.size(cut) - 1)).otherwise(cut)
+    assert got == [tuple(r) for r in rows.select("x", by_regex, of).collect()]
+
+
+def test_page_lines_without_digits_go(spark):
+    texts = ["a\n\nPAGE\n\nb", "a\n\npage of x\n\nb", "Page 3 of 9\n\nb", "a\n\n- 7 -", "a\n\nPages\n\nb", "a\nPage 3\nb", "12\n---\nb"]
+    got = [r[0] for r in spark.createDataFrame([(x,) for x in texts], "x string").select(md.remove_page_numbers(F.col("x"))).collect()]
+    assert got == ["a\n\n\nb", "a\n\n\nb", "\nb", "a\n", "a\n\nPages\n\nb", "a\nPage 3\nb", "---\nb"]
